@@ -1,0 +1,5 @@
+"""Intentionally empty: the operator list has no streaming source, sink or state.
+
+The operators are batch DataFrame functions.  None of them needs a watermark
+or a state store, so nothing is built here.
+"""
