@@ -119,13 +119,19 @@ def quality_summary(df: DataFrame, numeric: Sequence[str], categories: Sequence[
         *[F.min(c).cast("double").alias(f"lo_{c}") for c in numeric],
         *[F.max(c).cast("double").alias(f"hi_{c}") for c in numeric],
     )
-    none = F.lit(None).cast("string")
-    entries = [F.struct(F.lit("rows").alias("check"), none.alias("item"), F.col("n").cast("double").alias("v"), F.lit("sum").alias("how"))]
+
+    def entry(check: str, item: Column, value: Column, how: str) -> Column:
+        return F.struct(
+            F.lit(check).alias("check"), item.cast("string").alias("item"), value.cast("double").alias("v"), F.lit(how).alias("how")
+        )
+
+    none = F.lit(None)
+    entries = [entry("rows", none, F.col("n"), "sum")]
     for c in numeric:
-        entries.append(F.struct(F.lit(f"min_{c}"), none, F.col(f"lo_{c}"), F.lit("min")))
-        entries.append(F.struct(F.lit(f"max_{c}"), none, F.col(f"hi_{c}"), F.lit("max")))
+        entries.append(entry(f"min_{c}", none, F.col(f"lo_{c}"), "min"))
+        entries.append(entry(f"max_{c}", none, F.col(f"hi_{c}"), "max"))
     for c in categories:
-        entries.append(F.struct(F.lit(c), F.col(c).cast("string"), F.col("n").cast("double"), F.lit("sum")))
+        entries.append(entry(c, F.col(c), F.col("n"), "sum"))
     value = (
         F.when(F.col("how") == "min", F.min("v")).when(F.col("how") == "max", F.max("v")).otherwise(F.sum("v"))
     )

@@ -31,23 +31,34 @@ def attrition(df: DataFrame, min_age: int = 40, last_diagnosis: str = "2018-12-3
     return co.attrition_cascade(df, criteria(min_age, last_diagnosis))
 
 
-def analysis_cohort(df: DataFrame, min_age: int = 40, last_diagnosis: str = "2018-12-31") -> DataFrame:
-    """Persons who meet every criterion, with imputed measures and derived columns."""
+def select_cohort(df: DataFrame, min_age: int = 40, last_diagnosis: str = "2018-12-31") -> DataFrame:
+    """Persons who meet every criterion."""
     kept = df
     for _, test in criteria(min_age, last_diagnosis):
         kept = kept.filter(test)
-    return derive(impute_median(kept, ["hba1c", "bmi"]))
+    return kept
+
+
+def analysis_cohort(df: DataFrame, min_age: int = 40, last_diagnosis: str = "2018-12-31") -> DataFrame:
+    """The selected persons with imputed measures and derived columns.
+
+    Medians are taken over the selected persons, so the selection is read a few
+    times; store it first when it is expensive to derive.
+    """
+    kept = impute_median(select_cohort(df, min_age, last_diagnosis), ["hba1c", "bmi"])
+    return derive_events(kept).withColumn(
+        "bmi_category", band_right_closed(F.col("bmi_imputed"), BMI_EDGES, BMI_LABELS)
+    )
 
 
-def derive(df: DataFrame) -> DataFrame:
-    """0/1 copies of the booleans and the BMI category."""
+def derive_events(df: DataFrame) -> DataFrame:
+    """0/1 copies of the booleans."""
     return df.withColumns(
         {
             "event": F.col("cv_event_occurred").cast("int"),
             "has_hypertension_int": F.col("has_hypertension").cast("int"),
             "has_dyslipidemia_int": F.col("has_dyslipidemia").cast("int"),
             "has_ckd_int": F.col("has_ckd").cast("int"),
-            "bmi_category": band_right_closed(F.col("bmi_imputed"), BMI_EDGES, BMI_LABELS),
         }
     )
 
