@@ -41,8 +41,8 @@ def age_at(on_date: Column, birth_date: Column) -> Column:
 
 
 def service_month(day: Column) -> Column:
-    """``yyyyMM`` text of a date."""
-    return F.date_format(day, "yyyyMM")
+    """``yyyyMM`` text of a date, from its calendar fields alone (no time zone involved)."""
+    return F.concat(F.lpad(F.year(day).cast("string"), 4, "0"), F.lpad(F.month(day).cast("string"), 2, "0"))
 
 
 def month_index(day: Column) -> Column:

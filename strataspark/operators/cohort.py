@@ -16,11 +16,28 @@ def distinct_keys(df: DataFrame, key: str = "common_key") -> DataFrame:
     return df.select(key).distinct()
 
 
+def _claims_of(facts: DataFrame, claims: DataFrame, claim: str) -> DataFrame:
+    """Claims that occur among the facts, each fact's claim counted once."""
+    return claims.join(distinct_keys(facts, claim), claim, "left_semi")
+
+
 def cohort_by_code(
-    facts: DataFrame, codes: Sequence[str], key: str = "common_key", code: str = "code"
+    facts: DataFrame,
+    codes: Sequence[str],
+    key: str = "common_key",
+    code: str = "code",
+    claims: DataFrame | None = None,
+    claim: str = "receipt_id",
 ) -> DataFrame:
-    """Persons with at least one fact whose code is listed."""
-    return distinct_keys(facts.filter(in_list(F.col(code), codes)), key)
+    """Persons with at least one fact whose code is listed.
+
+    Facts without a person key are resolved through ``claims``: only distinct
+    claim keys take part in that join, never the facts themselves.
+    """
+    listed = facts.filter(in_list(F.col(code), codes))
+    if key in facts.columns:
+        return distinct_keys(listed, key)
+    return distinct_keys(_claims_of(listed, claims.select(key, claim), claim), key)
 
 
 def exposure_months(
@@ -43,7 +60,7 @@ def exposure_months(
     if key in facts.columns:
         dated = listed.select(key, claim).distinct().join(claims.select(claim, month), claim)
     else:
-        dated = claims.select(key, claim, month).join(distinct_keys(listed, claim), claim, "left_semi")
+        dated = _claims_of(listed, claims.select(key, claim, month), claim)
     return dated.groupBy(key).agg(F.countDistinct(month).alias("prescription_months"))
 
 
@@ -106,24 +123,66 @@ def attrition_cascade(df: DataFrame, steps: Sequence[tuple[str, Column]], start:
     return wide.select(F.inline(F.array(*entries)))
 
 
+def _group_flags(groups: Mapping[str, Sequence[str]], code: str) -> list[Column]:
+    return [F.max(F.when(in_list(F.col(code), codes), 1).otherwise(0)).alias(name) for name, codes in groups.items()]
+
+
 def flag_pivot(
     facts: DataFrame,
     groups: Mapping[str, Sequence[str]],
     key: str = "common_key",
     code: str = "code",
     listed_only: bool = False,
+    claims: DataFrame | None = None,
+    claim: str = "receipt_id",
 ) -> DataFrame:
     """Long facts to one row per key with a 0/1 column per code group.
 
     Groups nobody has still get a column of zeros.  ``listed_only`` drops facts
     outside every group before the shuffle; keys without a listed code are then
-    absent and left to the caller's left join.
+    absent and left to the caller's left join.  Facts without the key become
+    one row of flags per claim first, and those rows meet ``claims``.
     """
     rows = facts.filter(in_list(F.col(code), flatten(groups))) if listed_only else facts
-    flags = [
-        F.max(F.when(in_list(F.col(code), codes), 1).otherwise(0)).alias(name) for name, codes in groups.items()
-    ]
-    return rows.groupBy(key).agg(*flags)
+    if key in facts.columns:
+        return rows.groupBy(key).agg(*_group_flags(groups, code))
+    per_claim = rows.groupBy(claim).agg(*_group_flags(groups, code))
+    return (
+        per_claim.join(claims.select(claim, key), claim)
+        .groupBy(key)
+        .agg(*[F.max(name).alias(name) for name in groups])
+    )
+
+
+def flags_and_months(
+    facts: DataFrame,
+    claims: DataFrame,
+    groups: Mapping[str, Sequence[str]],
+    codes: Sequence[str],
+    key: str = "common_key",
+    claim: str = "receipt_id",
+    month: str = "service_month",
+    code: str = "code",
+) -> DataFrame:
+    """Code-group flags and exposure months per person from a single pass over the facts.
+
+    Equal to :func:`flag_pivot` (listed codes only) beside
+    :func:`exposure_months`, at the price of one scan and one join.  Persons
+    without exposure have 0 months.
+    """
+    wanted = {**groups, "__exposed": list(codes)}
+    listed = facts.filter(in_list(F.col(code), flatten(wanted)))
+    if key in facts.columns:
+        per_claim = listed.groupBy(key, claim).agg(*_group_flags(wanted, code))
+        # A fact whose claim is unknown keeps its flags and adds no month.
+        dated = per_claim.join(claims.select(claim, month), claim, "left")
+    else:
+        per_claim = listed.groupBy(claim).agg(*_group_flags(wanted, code))
+        dated = per_claim.join(claims.select(claim, key, month), claim)
+    exposed_month = F.when(F.col("__exposed") == 1, F.col(month))
+    return dated.groupBy(key).agg(
+        F.countDistinct(exposed_month).alias("prescription_months"), *[F.max(name).alias(name) for name in groups]
+    )
 
 
 def coalesce_flags(df: DataFrame, flags: Sequence[str]) -> DataFrame:

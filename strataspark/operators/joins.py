@@ -8,13 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def join_facts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join of two fact tables on a claim key.
-
-    No hint is given: the planner picks the strategy by size and adaptive
-    execution splits a partition that one hot key makes too large.
+def join_facts(
+    facts: DataFrame, claims: DataFrame, key: str, salts: int | None = None, spread_by: Sequence[str] = ()
+) -> DataFrame:
+    """Inner join of facts with the claims they belong to.
+
+    The planner picks the strategy by size, and adaptive execution splits a
+    partition that one hot claim makes too large.  ``salts`` does the split in
+    the plan itself, for sessions without adaptive execution: every claim is
+    repeated once per salt and each fact meets one of the copies.  The salt is a
+    hash of the ``spread_by`` columns (a line number, say), so a task that is
+    run again sends every row to the same place as before.
     """
-    return left.join(right, key)
+    if salts is None:
+        return facts.join(claims, key)
+    if not spread_by:
+        raise ValueError("name the columns that tell the facts of one claim apart")
+    spread = facts.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts).cast("long")))
+    copies = claims.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(copies, [key, "__salt"]).drop("__salt")
 
 
 def enrich(master: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
@@ -29,10 +41,14 @@ def semi(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def month_sequence(first: str, last: str) -> Column:
-    """Literal array of ``yyyyMM`` texts from the first to the last month."""
-    start, end = (F.to_date(F.lit(m + "01"), "yyyyMMdd") for m in (first, last))
-    return F.transform(F.sequence(start, end, F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyyMM"))
+def month_list(first: str, last: str) -> list[str]:
+    """``yyyyMM`` texts from the first to the last month of a study period."""
+    start, end = (int(m[:4]) * 12 + int(m[4:]) - 1 for m in (first, last))
+    return [f"{i // 12:04d}{i % 12 + 1:02d}" for i in range(start, end + 1)]
+
+
+def _month_array(months: Sequence[str]) -> Column:
+    return F.array(*[F.lit(m) for m in months])
 
 
 def entity_panel(entities: DataFrame, first: str, last: str, month: str = "service_month") -> DataFrame:
@@ -41,7 +57,32 @@ def entity_panel(entities: DataFrame, first: str, last: str, month: str = "servi
     Months come from a constant array exploded beside each row, so there is no
     join at all and the row count is exactly entities x months.
     """
-    return entities.withColumn(month, F.explode(month_sequence(first, last)))
+    return entities.withColumn(month, F.explode(_month_array(month_list(first, last))))
+
+
+def activity_panel(
+    entities: DataFrame,
+    activity: DataFrame,
+    key: str,
+    first: str,
+    last: str,
+    month: str = "service_month",
+    measure: str = "n",
+) -> DataFrame:
+    """A panel of entity and month with the activity of each month, zero where there was none.
+
+    Activity is counted into one array per entity and unfolded after the join,
+    so entities are shuffled once each and not once per month.
+    """
+    months = month_list(first, last)
+    counts = activity.filter(F.col(month).between(first, last)).groupBy(key).agg(
+        F.array(*[F.count_if(F.col(month) == m) for m in months]).alias("__counts")
+    )
+    none = F.array_repeat(F.lit(0).cast("long"), len(months))
+    rows = F.arrays_zip(
+        _month_array(months).alias(month), F.coalesce(F.col("__counts"), none).alias(measure)
+    )
+    return entities.join(counts, key, "left").select(*[F.col(c) for c in entities.columns], F.inline(rows))
 
 
 def lookup_left(df: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strataspark.functions.hashing import keyed_uniform
 
-SALTS = 32
+SALTS = 256
 
 
 def hash_sample(df: DataFrame, key: Column, salt: str, rate: float | Column) -> DataFrame:
@@ -17,19 +17,32 @@ def hash_sample(df: DataFrame, key: Column, salt: str, rate: float | Column) ->
     return df.filter(keyed_uniform(key, salt) < bound)
 
 
-def pick_n_per_key(df: DataFrame, key: str, row_id: str, salt: str, n: int | Column) -> DataFrame:
+def pick_n_per_key(
+    df: DataFrame, key: str, row_id: str, salt: str, n: int | Column, at_most: int | None = None
+) -> DataFrame:
     """``n`` repeatable random rows per key, all rows of keys that have fewer.
 
     With a constant ``n`` the planner keeps only ``n`` rows per key in every
-    task before the shuffle.  With ``n`` from a column, constant within a key,
-    rows compete inside salted parts of their key first; each part keeps ``n``,
-    so no winner is lost and no single task ranks a hot key's rows.
+    task before the shuffle, so a hot key is no burden.  When ``n`` is a column
+    (constant within a key) ``at_most`` gives its bound and allows the same; a
+    larger ``n`` fails the job.  Without a bound, rows compete inside salted
+    parts of their key first: each part keeps its best ``n``, so no winner is
+    lost and no single task ranks a hot key's rows.
     """
     drawn = df.withColumn("__u", keyed_uniform(F.col(row_id), salt))
     order = [F.col("__u"), F.col(row_id)]
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     if isinstance(n, int):
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
         return drawn.withColumn("pick", rank).filter(F.col("pick") <= n).drop("__u")
+    if at_most is not None:
+        excess = F.raise_error(F.lit(f"more than {at_most} rows per key were asked for")).cast("int")
+        wanted = F.when(F.col("__n") > at_most, excess).otherwise(F.col("__n"))
+        return (
+            drawn.withColumn("__n", n)
+            .withColumn("pick", rank)
+            .filter((F.col("pick") <= at_most) & (F.col("pick") <= wanted))
+            .drop("__u", "__n")
+        )
     part = F.pmod(F.xxhash64(row_id), F.lit(SALTS))
     local = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order))
     semifinal = (
@@ -37,9 +50,8 @@ def pick_n_per_key(df: DataFrame, key: str, row_id: str, salt: str, n: int | Col
         .withColumn("__local", local)
         .filter(F.col("__local") <= F.col("__n"))
     )
-    final = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return (
-        semifinal.withColumn("pick", final)
+        semifinal.withColumn("pick", rank)
         .filter(F.col("pick") <= F.col("__n"))
         .drop("__u", "__part", "__n", "__local")
     )
@@ -48,11 +60,3 @@ def pick_n_per_key(df: DataFrame, key: str, row_id: str, salt: str, n: int | Col
 def explode_n(df: DataFrame, n: Column, ordinal: str = "seq") -> DataFrame:
     """Each row ``n`` times with its ordinal; rows with ``n`` below 1 or null give none."""
     return df.withColumn(ordinal, F.explode(F.when(n >= 1, F.sequence(F.lit(1), n.cast("int")))))
-
-
-def activity_panel(
-    panel: DataFrame, activity: DataFrame, keys: tuple[str, str], measure: str = "n"
-) -> DataFrame:
-    """A panel of entity and month with activity counted, zero where there was none."""
-    counted = activity.groupBy(*keys).agg(F.count(F.lit(1)).alias(measure))
-    return panel.join(counted, list(keys), "left").fillna(0, subset=[measure])

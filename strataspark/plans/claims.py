@@ -75,15 +75,9 @@ class ClaimsTables:
             ),
         )
 
-    def by_person(self, facts: DataFrame) -> DataFrame:
-        """Facts with their person; claims are consulted only where the facts lack one."""
-        if "common_key" in facts.columns:
-            return facts.select("common_key", "code")
-        return facts.join(self.receipts.select("receipt_id", "common_key"), "receipt_id").select("common_key", "code")
-
 
 def candidates(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
-    return co.cohort_by_code(tables.by_person(tables.disease), spec.diagnosis_codes)
+    return co.cohort_by_code(tables.disease, spec.diagnosis_codes, claims=tables.receipts)
 
 
 def exposure(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
@@ -95,18 +89,24 @@ def members(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
 
 
 def master(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
-    """One row per member with attributes, months and flags."""
-    drugs = co.flag_pivot(tables.by_person(tables.medication), spec.drug_groups, listed_only=True)
-    procedures = co.flag_pivot(tables.by_person(tables.procedure), spec.procedure_groups, listed_only=True)
+    """One row per member with attributes, months and flags.
+
+    Months and drug flags come from one pass over the medication facts; with a
+    threshold of 0 months, members without any listed drug are kept as well.
+    """
+    drugs = co.flags_and_months(tables.medication, tables.receipts, spec.drug_groups, spec.exposure_codes)
+    procedures = co.flag_pivot(
+        tables.procedure, spec.procedure_groups, listed_only=True, claims=tables.receipts
+    )
+    found = candidates(tables, spec)
+    if spec.min_months > 0:
+        chosen = co.cohort_by_exposure(found, drugs, spec.min_months)
+    else:
+        chosen = co.coalesce_flags(found.join(drugs, "common_key", "left"), ["prescription_months", *spec.drug_groups])
     persons = tables.patients.withColumn(
         "age_group", band_left_closed(F.col("age"), spec.age_edges, spec.age_labels)
     )
-    return co.cohort_master(
-        members(tables, spec),
-        persons,
-        [(drugs, list(spec.drug_groups)), (procedures, list(spec.procedure_groups))],
-        spec.composites,
-    )
+    return co.cohort_master(chosen, persons, [(procedures, list(spec.procedure_groups))], spec.composites)
 
 
 def definitions(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:

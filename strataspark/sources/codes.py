@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # --- Fixed values: clinical code lists, age bands and published results ------
 
@@ -95,7 +95,9 @@ JAPANESE_COLUMNS = {
 
 # --- end of fixed values -------------------------------------------------------
 
-LITERAL_TABLE_ROWS = 10_000
+_ARROW_TYPES = {
+    "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(),
+}
 
 
 def flatten(groups: Mapping[str, Sequence[str]]) -> list[str]:
@@ -104,9 +106,17 @@ def flatten(groups: Mapping[str, Sequence[str]]) -> list[str]:
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small driver-side table, marked for broadcast only because its size is known here."""
-    frame = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(frame) if len(rows) <= LITERAL_TABLE_ROWS else frame
+    """A driver-side table of constants with a schema such as ``"code string, n long"``.
+
+    It becomes a local relation of known size, so the planner broadcasts it
+    when it is small and does not when a long code list makes it large.
+    """
+    fields = [column.split() for column in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    table = pa.table(
+        {name: pa.array(values, _ARROW_TYPES[kind]) for (name, kind), values in zip(fields, columns)}
+    )
+    return spark.createDataFrame(table)
 
 
 def code_set(spark: SparkSession, groups: Mapping[str, Sequence[str]]) -> DataFrame:

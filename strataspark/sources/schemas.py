@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strataspark.sources.codes import DRUG_GROUPS, PROCEDURE_TYPES
+from strataspark.sources.codes import DRUG_GROUPS, PROCEDURE_TYPES, literal_table
 
 _FLAGS = [*DRUG_GROUPS, "CS", "bDMARDs", "any_DMARD", *PROCEDURE_TYPES, "any_RA_surgery"]
 _MEDICATION_RATES = [*DRUG_GROUPS, "CS", "bDMARDs"]
@@ -135,6 +135,6 @@ def schema_table(spark: SparkSession, schema: StructType) -> DataFrame:
         (i, f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("comment"))
         for i, f in enumerate(schema, start=1)
     ]
-    return spark.createDataFrame(
-        rows, "position int, column_name string, data_type string, nullable boolean, comment string"
+    return literal_table(
+        spark, rows, "position int, column_name string, data_type string, nullable boolean, comment string"
     )

@@ -96,8 +96,8 @@ def _(spark, sf):
 
 @query("flag_pivot", with_("drug_flags") + "SELECT * FROM drug_flags")
 def _(spark, sf):
-    facts = star.with_person(star.medication_lines(spark, sf), star.receipts(spark, sf))
-    return co.flag_pivot(facts, star.TYPE_GROUPS)
+    facts = star.medication_lines(spark, sf)
+    return co.flag_pivot(facts, star.TYPE_GROUPS, claims=star.receipts(spark, sf))
 
 
 @query(
@@ -108,8 +108,9 @@ def _(spark, sf):
     + " FROM patients JOIN drug_flags USING (common_key) GROUP BY age_group",
 )
 def _(spark, sf):
-    facts = star.with_person(star.medication_lines(spark, sf), star.receipts(spark, sf))
-    wide = star.patients(spark, sf).join(co.flag_pivot(facts, star.TYPE_GROUPS), "common_key")
+    facts = star.medication_lines(spark, sf)
+    flags = co.flag_pivot(facts, star.TYPE_GROUPS, claims=star.receipts(spark, sf))
+    wide = star.patients(spark, sf).join(flags, "common_key")
     return ra.stratified_rates(wide, "age_group", FLAG_NAMES)
 
 
@@ -125,8 +126,9 @@ _TOTALS = ", ".join(f"round(avg({f}) * 100, 2) AS {f}" for f in FLAG_NAMES)
     + f"SELECT *, {ordinal('age_group', codes.AGE_LABELS)} AS sort_key FROM rows_",
 )
 def _(spark, sf):
-    facts = star.with_person(star.medication_lines(spark, sf), star.receipts(spark, sf))
-    wide = star.patients(spark, sf).join(co.flag_pivot(facts, star.TYPE_GROUPS), "common_key")
+    facts = star.medication_lines(spark, sf)
+    flags = co.flag_pivot(facts, star.TYPE_GROUPS, claims=star.receipts(spark, sf))
+    wide = star.patients(spark, sf).join(flags, "common_key")
     return ra.rates_with_total(wide, "age_group", FLAG_NAMES, codes.AGE_LABELS)
 
 

@@ -28,7 +28,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     receipts = star.receipts(spark, sf)
-    found = co.cohort_by_code(star.with_person(star.disease_lines(spark, sf), receipts), star.DIAGNOSIS_BRANDS)
+    found = co.cohort_by_code(star.disease_lines(spark, sf), star.DIAGNOSIS_BRANDS, claims=receipts)
     months = co.exposure_months(star.medication_lines(spark, sf), receipts, star.EXPOSURE_TYPES)
     return found.join(months, "common_key")
 
@@ -42,7 +42,7 @@ def _(spark, sf):
 def _(spark, sf):
     receipts = star.receipts(spark, sf)
     months = co.exposure_months(star.medication_lines(spark, sf), receipts, star.EXPOSURE_TYPES)
-    flags = co.flag_pivot(star.with_person(star.procedure_lines(spark, sf), receipts), star.RETURN_FLAGS)
+    flags = co.flag_pivot(star.procedure_lines(spark, sf), star.RETURN_FLAGS, claims=receipts)
     return jo.enrich(star.patients(spark, sf).select("common_key", "age_group"), [months, flags], "common_key")
 
 
@@ -52,7 +52,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     found = co.cohort_by_code(
-        star.with_person(star.disease_lines(spark, sf), star.receipts(spark, sf)), star.DIAGNOSIS_BRANDS
+        star.disease_lines(spark, sf), star.DIAGNOSIS_BRANDS, claims=star.receipts(spark, sf)
     )
     orders = star.read(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return jo.semi(orders, found.select(F.col("common_key").alias("o_custkey")), "o_custkey")
@@ -79,7 +79,7 @@ def _(spark, sf):
 def _(spark, sf):
     receipts, persons = star.receipts(spark, sf), star.patients(spark, sf)
     members = co.cohort_by_exposure(
-        co.cohort_by_code(star.with_person(star.disease_lines(spark, sf), receipts), star.DIAGNOSIS_BRANDS),
+        co.cohort_by_code(star.disease_lines(spark, sf), star.DIAGNOSIS_BRANDS, claims=receipts),
         co.exposure_months(star.medication_lines(spark, sf), receipts, star.EXPOSURE_TYPES),
         2,
     )
@@ -98,8 +98,8 @@ def _(spark, sf):
     + ") r(age_group, v) USING (age_group)",
 )
 def _(spark, sf):
-    facts = star.with_person(star.medication_lines(spark, sf), star.receipts(spark, sf))
-    flags = co.flag_pivot(facts, {"mtx": ["ECONOMY"]})
+    facts = star.medication_lines(spark, sf)
+    flags = co.flag_pivot(facts, {"mtx": ["ECONOMY"]}, claims=star.receipts(spark, sf))
     rates = stratified_rates(star.patients(spark, sf).join(flags, "common_key"), "age_group", ["mtx"], 1)
     published = codes.reference_values(spark, codes.PUBLISHED_MTX, "age_group", ["mtx_published"])
     return jo.lookup_inner(rates.select("age_group", "mtx"), published, ["age_group"])
@@ -113,7 +113,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     found = co.cohort_by_code(
-        star.with_person(star.disease_lines(spark, sf), star.receipts(spark, sf)), star.DIAGNOSIS_BRANDS
+        star.disease_lines(spark, sf), star.DIAGNOSIS_BRANDS, claims=star.receipts(spark, sf)
     )
     people = star.read(spark, sf, "customer").agg(F.count(F.lit(1))).scalar()
     return found.agg(F.count(F.lit(1)).alias("n_patients")).withColumn(

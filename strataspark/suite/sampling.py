@@ -69,9 +69,10 @@ def _(spark, sf):
        LEFT JOIN receipts r ON r.common_key = c_custkey AND r.service_month = m.service_month GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    panel = jo.entity_panel(star.patients(spark, sf).select("common_key"), "199604", "199703")
-    period = star.receipts(spark, sf).filter(F.col("service_month").between("199604", "199703"))
-    return sa.activity_panel(panel, period, ("common_key", "service_month"), "n_claims")
+    persons = star.patients(spark, sf).select("common_key")
+    return jo.activity_panel(
+        persons, star.receipts(spark, sf), "common_key", "199604", "199703", measure="n_claims"
+    )
 
 
 @query("mask_at_rate", f"SELECT c_custkey, {masked('c_acctbal', 'c_custkey', 'missing1', 0.08)} AS balance FROM customer")

@@ -194,8 +194,8 @@ _ECONOMY = {"MTX": ["ECONOMY"], "LEF": ["ABSENT"]}
          (SELECT common_key, 1 AS MTX, 0 AS LEF FROM medication WHERE code = 'ECONOMY' GROUP BY common_key) f USING (common_key)""",
 )
 def _(spark, sf):
-    facts = star.with_person(star.medication_lines(spark, sf), star.receipts(spark, sf))
-    wide = flag_pivot(facts, _ECONOMY, listed_only=True)
+    facts = star.medication_lines(spark, sf)
+    wide = flag_pivot(facts, _ECONOMY, listed_only=True, claims=star.receipts(spark, sf))
     persons = star.patients(spark, sf).select("common_key")
     return coalesce_flags(persons.join(wide, "common_key", "left"), list(_ECONOMY))
 
@@ -207,8 +207,8 @@ def _(spark, sf):
          CASE WHEN MTX = 1 OR LEF = 1 THEN 1 ELSE 0 END AS oral FROM drug_flags""",
 )
 def _(spark, sf):
-    facts = star.with_person(star.medication_lines(spark, sf), star.receipts(spark, sf))
-    wide = flag_pivot(facts, star.TYPE_GROUPS)
+    facts = star.medication_lines(spark, sf)
+    wide = flag_pivot(facts, star.TYPE_GROUPS, claims=star.receipts(spark, sf))
     return add_composites(wide, {"bDMARDs": ["TNFI", "IL6I", "ABT"], "oral": ["MTX", "LEF"]}).select(
         "common_key", "bDMARDs", "oral"
     )
