@@ -19,10 +19,12 @@ Z_95 = 1.959963984540054
 
 
 def erfc(z: Column) -> Column:
-    """Complementary error function for z >= 0."""
+    """Complementary error function for z >= 0; null stays null."""
     t = F.lit(1.0) / (F.lit(1.0) + z * F.lit(0.5))
     series = reduce(lambda acc, c: F.lit(c) + t * acc, reversed(ERFC_COEFFICIENTS[:-1]), F.lit(ERFC_COEFFICIENTS[-1]))
-    return F.least(F.lit(1.0), t * F.exp(-z * z + series))
+    value = t * F.exp(-z * z + series)
+    # least() skips nulls, so the cap must not see one.
+    return F.when(value.isNotNull(), F.least(F.lit(1.0), value))
 
 
 def chi2_upper_tail_df1(chi2: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,80 +12,110 @@ SKETCH_ACCURACY = 10_000
 BUCKETS = 1_000
 
 
-def exact_quantile(df: DataFrame, column: str, q: float = 0.5, name: str | None = None) -> DataFrame:
-    """One row with the exact quantile, linearly interpolated between neighbours.
+def _quantile_map(df: DataFrame, columns: Sequence[str], q: float) -> Column:
+    """Scalar subquery: map of column position to the exact quantile of that column.
 
-    A sketch first gives two values that surround the wanted rank.  The second
-    pass counts what lies below them as one group and keeps the distinct values
-    in between with their counts, well under a thousandth of the rows.  Those
-    counts are summed over buckets to find the bucket of the rank, and only
-    that bucket's values are put in order.  Values that repeat very often are
-    one counted row throughout.
+    All columns share two passes over the rows.  The first sketches, per
+    column, two values that surround the wanted rank.  The second counts what
+    lies below them as one group and keeps the distinct values in between with
+    their counts, well under a thousandth of the rows.  Those counts are summed
+    over buckets to find the bucket of the rank, and only that bucket's values
+    are put in order.  A value that repeats very often is one counted row
+    throughout.
     """
-    name = name or column
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    values = [F.col(c).cast("double") for c in columns]
     slack = 4.0 / SKETCH_ACCURACY
     probes = [max(0.0, q - slack), min(1.0, q + slack)]
-    head = values.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", probes, SKETCH_ACCURACY).alias("around")
+    sketch = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.percentile_approx(v, probes, SKETCH_ACCURACY).alias(f"p{i}") for i, v in enumerate(values)],
     )
-    low = head.select(F.col("around")[0]).scalar()
-    high = head.select(F.col("around")[1]).scalar()
-
-    below = F.col("v") < low
-    counted = (
-        values.filter(F.col("v") <= high)
-        .groupBy(F.when(~below, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    place = F.floor(F.try_divide(F.col("v") - low, high - low) * BUCKETS)
-    # Bucket -1 holds the single row of everything below the bracket.
-    bucketed = counted.withColumn(
-        "bucket", F.when(F.col("v").isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce(place, F.lit(0).cast("long")))
+    bounds = sketch.select(
+        F.array(
+            *[
+                F.struct(
+                    F.col(f"n{i}").alias("n"), F.get(f"p{i}", F.lit(0)).alias("low"), F.get(f"p{i}", F.lit(1)).alias("high")
+                )
+                for i in range(len(columns))
+            ]
+        )
+    ).scalar()
+    # The bounds are attached as a column, once before and once after the counting.
+    rows = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)], bounds.alias("bounds"))
+    bound = [F.get("bounds", F.lit(i)) for i in range(len(columns))]
+    # Of each row, the columns whose value is not above the bracket; null stands for "below it".
+    kept = [
+        F.when(
+            F.col(f"v{i}") <= b["high"],
+            F.struct(F.lit(i).alias("c"), F.when(F.col(f"v{i}") >= b["low"], F.col(f"v{i}")).alias("v")),
+        )
+        for i, b in enumerate(bound)
+    ]
+    counted = rows.select(F.inline(F.array_compact(F.array(*kept)))).groupBy("c", "v").agg(F.count(F.lit(1)).alias("size"))
+    here = F.col("here")
+    place = F.floor(F.try_divide(F.col("v") - here["low"], here["high"] - here["low"]) * BUCKETS)
+    rank = (here["n"] - 1) * F.lit(float(q))
+    # Bucket -1 holds the one row that stands for everything below the bracket.
+    bucketed = counted.withColumn("here", F.get(bounds, F.col("c"))).select(
+        "c",
+        "v",
+        "size",
+        F.when(F.col("v").isNotNull(), F.coalesce(place, F.lit(0).cast("long"))).otherwise(F.lit(-1).cast("long")).alias("bucket"),
+        F.floor(rank).alias("lower"),
+        F.ceil(rank).alias("upper"),
+        (rank - F.floor(rank)).alias("part"),
     )
-
-    rank = (head.select("n").scalar() - 1) * F.lit(float(q))
-    lower, upper = F.floor(rank), F.ceil(rank)
-    totals = bucketed.groupBy("bucket").agg(F.sum("c").alias("size"))
-    # At most BUCKETS + 2 rows reach this window.
-    before = totals.withColumn(
-        "before", F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    # BUCKETS + 2 rows per column at most reach the first window.
+    across = Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("c", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    totals = bucketed.groupBy("c", "bucket", "lower", "upper").agg(F.sum("size").alias("rows"))
+    wanted = (
+        totals.withColumn("upto", F.sum("rows").over(across))
+        .withColumn("before", F.col("upto") - F.col("rows"))
+        .filter((F.col("before") <= F.col("upper")) & (F.col("upto") > F.col("lower")))
+        .select("c", "bucket", "before")
     )
-    wanted = before.filter((F.col("before") <= upper) & (F.col("before") + F.col("size") > lower))
-    inner = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        bucketed.join(F.broadcast(wanted.select("bucket", "before")), "bucket")  # two rows at most
-        .withColumn("upto", F.col("before") + F.sum("c").over(inner))
+    ranked = bucketed.join(F.broadcast(wanted), ["c", "bucket"]).withColumn(  # two rows per column at most
+        "upto", F.col("before") + F.sum("size").over(within)
     )
-    picked = ranked.agg(
-        F.min(F.when(F.col("upto") > lower, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > upper, F.col("v"))).alias("b"),
+    picked = ranked.groupBy("c", "part").agg(
+        F.min(F.when(F.col("upto") > F.col("lower"), F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > F.col("upper"), F.col("v"))).alias("b"),
     )
-    result = F.col("a") + (F.col("b") - F.col("a")) * (rank - lower)
     found = F.col("a").isNotNull() & F.col("b").isNotNull()
     missed = F.raise_error(F.lit("quantile bracket missed the rank")).cast("double")
-    return picked.select(F.when(found, result).when(rank >= 0, missed).alias(name))
+    between = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    value = F.when(found, between).otherwise(missed).alias("value")
+    # One entry per column.
+    return picked.select("c", value).agg(F.map_from_entries(F.collect_list(F.struct("c", "value")))).scalar()
 
 
-def exact_median(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    return exact_quantile(df, column, 0.5, name)
+def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5, name: str = "value") -> DataFrame:
+    """One row per column: its name and exact quantile, interpolated between neighbours.
+
+    Null for a column without values.
+    """
+    rows = [
+        F.struct(F.lit(c).alias("column_name"), F.try_element_at("found", F.lit(i)).alias(name))
+        for i, c in enumerate(columns)
+    ]
+    found = df.sparkSession.range(1).select(_quantile_map(df, columns, q).alias("found"))
+    return found.select(F.inline(F.array(*rows)))
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: its name and exact median."""
-    parts = [
-        exact_median(df, c, "median").select(F.lit(c).alias("column_name"), "median") for c in columns
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return exact_quantiles(df, columns, 0.5, "median")
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], suffix: str = "_imputed") -> DataFrame:
     """Add ``<column>_imputed`` where nulls are replaced by the column's exact median.
 
-    Medians are scalar subqueries, so the rows themselves are neither shuffled
-    nor joined.
+    The medians arrive as one scalar subquery, so the rows themselves are
+    neither shuffled nor joined.
     """
-    filled: dict[str, Column] = {
-        c + suffix: F.coalesce(F.col(c).cast("double"), exact_median(df, c).scalar()) for c in columns
+    filled = {
+        c + suffix: F.coalesce(F.col(c).cast("double"), F.try_element_at("__medians", F.lit(i)))
+        for i, c in enumerate(columns)
     }
-    return df.withColumns(filled)
+    return df.withColumn("__medians", _quantile_map(df, columns, 0.5)).withColumns(filled).drop("__medians")

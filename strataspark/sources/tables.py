@@ -99,7 +99,8 @@ def describe_extended(spark: SparkSession, table: str) -> DataFrame:
 
 
 def show_tables(spark: SparkSession, database: str) -> DataFrame:
-    return spark.sql(f"SHOW TABLES IN `{database}`").select("tableName").toDF("table_name")
+    """Stored tables of a database, without the session's temporary views."""
+    return spark.sql(f"SHOW TABLES IN `{database}`").filter(~F.col("isTemporary")).select("tableName").toDF("table_name")
 
 
 def localize_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
