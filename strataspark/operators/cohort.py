@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,33 +72,28 @@ def cohort_by_exposure(
     return candidates.join(months, key).filter(F.col("prescription_months") >= min_months)
 
 
-def _counts_by_threshold(
-    candidates: DataFrame, months: DataFrame, thresholds: Mapping[str, int], key: str
-) -> DataFrame:
-    """One row with one count per threshold, from one pass over the joined persons."""
-    person = candidates.join(months, key, "left")
-    held = F.coalesce(F.col("prescription_months"), F.lit(0))
-    return person.agg(*[F.count_if(held >= t).alias(name) for name, t in thresholds.items()])
+def with_exposure(candidates: DataFrame, exposure: DataFrame, key: str = "common_key") -> DataFrame:
+    """Candidates with their exposure columns, 0 where they have none."""
+    added = [c for c in exposure.columns if c != key]
+    return candidates.join(exposure, key, "left").fillna(0, subset=added)
 
 
-def threshold_sensitivity(
-    candidates: DataFrame, months: DataFrame, thresholds: Sequence[int], key: str = "common_key"
-) -> DataFrame:
-    """Cohort size for every threshold; 0 counts the candidates themselves."""
-    wide = _counts_by_threshold(candidates, months, {f"t{t}": t for t in thresholds}, key)
+def _counts_by_threshold(exposed: DataFrame, thresholds: Mapping[str, int]) -> DataFrame:
+    """One row with one count per threshold, from one pass over the persons."""
+    held = F.col("prescription_months")
+    return exposed.agg(*[F.count_if(held >= t).alias(name) for name, t in thresholds.items()])
+
+
+def threshold_sensitivity(exposed: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Cohort size for every threshold on exposure months; 0 counts all candidates."""
+    wide = _counts_by_threshold(exposed, {f"t{t}": t for t in thresholds})
     entries = [F.struct(F.lit(t).alias("threshold"), F.col(f"t{t}").alias("n_patients")) for t in thresholds]
     return wide.select(F.inline(F.array(*entries)))
 
 
-def definition_summary(
-    candidates: DataFrame,
-    months: DataFrame,
-    population: DataFrame,
-    definitions: Mapping[str, int],
-    key: str = "common_key",
-) -> DataFrame:
-    """Members and prevalence per named definition."""
-    wide = _counts_by_threshold(candidates, months, definitions, key)
+def definition_summary(exposed: DataFrame, population: DataFrame, definitions: Mapping[str, int]) -> DataFrame:
+    """Members and prevalence per named definition (its least number of exposure months)."""
+    wide = _counts_by_threshold(exposed, definitions)
     entries = [F.struct(F.lit(d).alias("definition"), F.col(d).alias("n_patients")) for d in definitions]
     people = population.agg(F.count(F.lit(1))).scalar()
     return wide.select(F.inline(F.array(*entries))).withColumn(
@@ -123,8 +119,39 @@ def attrition_cascade(df: DataFrame, steps: Sequence[tuple[str, Column]], start:
     return wide.select(F.inline(F.array(*entries)))
 
 
-def _group_flags(groups: Mapping[str, Sequence[str]], code: str) -> list[Column]:
-    return [F.max(F.when(in_list(F.col(code), codes), 1).otherwise(0)).alias(name) for name, codes in groups.items()]
+_BITS = 62
+
+
+def _mask_name(position: int) -> str:
+    return f"__mask{position // _BITS}"
+
+
+def _masks(groups: Mapping[str, Sequence[str]], code: str) -> list[Column]:
+    """Aggregates that collect which groups occur, one bit per group.
+
+    A whole set of flags travels through shuffles as one number instead of one
+    column each.
+    """
+    bits: dict[str, list[Column]] = {}
+    for i, codes in enumerate(groups.values()):
+        hit = F.when(in_list(F.col(code), codes), F.lit(1 << (i % _BITS))).otherwise(F.lit(0)).cast("long")
+        bits.setdefault(_mask_name(i), []).append(hit)
+    return [
+        F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), column)).alias(name) for name, column in bits.items()
+    ]
+
+
+def _merged(groups: Mapping[str, Sequence[str]]) -> list[Column]:
+    """Aggregates that unite masks of parts."""
+    return [F.bit_or(name).alias(name) for name in dict.fromkeys(_mask_name(i) for i in range(len(groups)))]
+
+
+def _bit(position: int) -> Column:
+    return F.getbit(F.col(_mask_name(position)), F.lit(position % _BITS)).cast("int")
+
+
+def _flags(groups: Mapping[str, Sequence[str]]) -> list[Column]:
+    return [_bit(i).alias(name) for i, name in enumerate(groups)]
 
 
 def flag_pivot(
@@ -141,17 +168,15 @@ def flag_pivot(
     Groups nobody has still get a column of zeros.  ``listed_only`` drops facts
     outside every group before the shuffle; keys without a listed code are then
     absent and left to the caller's left join.  Facts without the key become
-    one row of flags per claim first, and those rows meet ``claims``.
+    one row per claim first, and those rows meet ``claims``.
     """
     rows = facts.filter(in_list(F.col(code), flatten(groups))) if listed_only else facts
     if key in facts.columns:
-        return rows.groupBy(key).agg(*_group_flags(groups, code))
-    per_claim = rows.groupBy(claim).agg(*_group_flags(groups, code))
-    return (
-        per_claim.join(claims.select(claim, key), claim)
-        .groupBy(key)
-        .agg(*[F.max(name).alias(name) for name in groups])
-    )
+        per_key = rows.groupBy(key).agg(*_masks(groups, code))
+    else:
+        per_claim = rows.groupBy(claim).agg(*_masks(groups, code))
+        per_key = per_claim.join(claims.select(claim, key), claim).groupBy(key).agg(*_merged(groups))
+    return per_key.select(key, *_flags(groups))
 
 
 def flags_and_months(
@@ -173,16 +198,15 @@ def flags_and_months(
     wanted = {**groups, "__exposed": list(codes)}
     listed = facts.filter(in_list(F.col(code), flatten(wanted)))
     if key in facts.columns:
-        per_claim = listed.groupBy(key, claim).agg(*_group_flags(wanted, code))
+        per_claim = listed.groupBy(key, claim).agg(*_masks(wanted, code))
         # A fact whose claim is unknown keeps its flags and adds no month.
         dated = per_claim.join(claims.select(claim, month), claim, "left")
     else:
-        per_claim = listed.groupBy(claim).agg(*_group_flags(wanted, code))
+        per_claim = listed.groupBy(claim).agg(*_masks(wanted, code))
         dated = per_claim.join(claims.select(claim, key, month), claim)
-    exposed_month = F.when(F.col("__exposed") == 1, F.col(month))
-    return dated.groupBy(key).agg(
-        F.countDistinct(exposed_month).alias("prescription_months"), *[F.max(name).alias(name) for name in groups]
-    )
+    exposed_month = F.when(_bit(len(groups)) == 1, F.col(month))
+    per_key = dated.groupBy(key).agg(F.countDistinct(exposed_month).alias("prescription_months"), *_merged(wanted))
+    return per_key.select(key, "prescription_months", *_flags(groups))
 
 
 def coalesce_flags(df: DataFrame, flags: Sequence[str]) -> DataFrame:

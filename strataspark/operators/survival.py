@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 
 from strataspark.functions.scalar import safe_ratio
 from strataspark.functions.stats import Z_95, chi2_upper_tail_df1, significance
-from strataspark.operators.rates import top_k
 
 _BUCKET = "__bucket"
 
@@ -54,21 +53,31 @@ def running_sums(
     return added.drop(_BUCKET, *[f"__{n}" for n in sums], *[f"__k_{k}" for k in keys])
 
 
-def event_table(
-    df: DataFrame, time: str, event: str, by: Sequence[str] = (), bucket: float | None = None
-) -> DataFrame:
-    """Per group and time: persons at risk, events and censored persons."""
-    per_time = (
-        df.filter(F.col(time).isNotNull())
-        .groupBy(*by, F.col(time).alias("t"))
-        .agg(F.count(F.lit(1)).alias("leaving"), F.sum(F.col(event).cast("long")).alias("n_events"))
+def _leaving(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFrame:
+    """Persons and events per group and time; the one pass over the persons."""
+    return df.groupBy(*by, F.col(time).alias("t")).agg(
+        F.count(F.lit(1)).alias("leaving"), F.sum(F.col(event).cast("long")).alias("n_events")
     )
-    at_risk = running_sums(per_time, by, "t", {"n_at_risk": F.col("leaving")}, descending=True, bucket=bucket)
+
+
+def _at_risk(leaving: DataFrame, by: Sequence[str], bucket: float | None) -> DataFrame:
+    known = leaving.filter(F.col("t").isNotNull())
+    at_risk = running_sums(known, by, "t", {"n_at_risk": F.col("leaving")}, descending=True, bucket=bucket)
     return at_risk.select(
         *by, "t", "n_at_risk", "n_events", (F.col("leaving") - F.col("n_events")).alias("n_censored")
     )
 
 
+def event_table(
+    df: DataFrame, time: str, event: str, by: Sequence[str] = (), bucket: float | None = None
+) -> DataFrame:
+    """Per group and time: persons at risk, events and censored persons.
+
+    Persons without a time are left out.
+    """
+    return _at_risk(_leaving(df, time, event, by), by, bucket)
+
+
 def with_origin(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add a row at time 0 to groups that have none, with everybody at risk.
 
@@ -100,7 +109,10 @@ def kaplan_meier(
     zero, at the time the last persons at risk all have the event, and makes
     the curve zero from there on.
     """
-    events = event_table(df, time, event, by, bucket)
+    return _curve(event_table(df, time, event, by, bucket), by, bucket, origin)
+
+
+def _curve(events: DataFrame, by: Sequence[str], bucket: float | None, origin: bool) -> DataFrame:
     if origin:
         events = with_origin(events, by)
     alive = F.col("n_at_risk") - F.col("n_events")
@@ -177,17 +189,21 @@ def logrank_pvalue(test: DataFrame) -> DataFrame:
 
 
 def km_by_pattern(df: DataFrame, time: str, event: str, pattern: str, k: int = 5) -> DataFrame:
-    """Curves of the ``k`` most frequent categories with their sizes, in one job."""
+    """Curves of the ``k`` most frequent categories with their sizes, in one job.
+
+    Sizes are sums over the per-time counts, so the persons are read once.
+    """
+    leaving = _leaving(df, time, event, [pattern])
     sizes = (
-        df.filter(F.col(pattern).isNotNull())
+        leaving.filter(F.col(pattern).isNotNull())
         .groupBy(pattern)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("events"))
+        .agg(F.sum("leaving").alias("n"), F.sum("n_events").alias("events"))
         .orderBy(F.desc("n"), pattern)
         .limit(k)
     )
-    kept = df.join(F.broadcast(top_k(df, pattern, k).select(pattern)), pattern, "left_semi")  # k rows
-    curves = kaplan_meier(kept, time, event, [pattern]).drop("greenwood")
-    return curves.join(F.broadcast(sizes), pattern)  # k rows
+    kept = leaving.join(F.broadcast(sizes), pattern)  # k rows
+    by = [pattern, "n", "events"]
+    return _curve(_at_risk(kept, by, None), by, None, True).drop("greenwood")
 
 
 def subgroup_logrank(

@@ -88,31 +88,40 @@ def members(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
     return co.cohort_by_exposure(candidates(tables, spec), exposure(tables, spec), spec.min_months)
 
 
-def master(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
-    """One row per member with attributes, months and flags.
+def exposed_candidates(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
+    """Every candidate with exposure months and drug flags, one row per person.
 
-    Months and drug flags come from one pass over the medication facts; with a
-    threshold of 0 months, members without any listed drug are kept as well.
+    One pass over the diagnosis facts and one over the medication facts; each
+    definition of the cohort is a filter on the result.
     """
     drugs = co.flags_and_months(tables.medication, tables.receipts, spec.drug_groups, spec.exposure_codes)
+    return co.with_exposure(candidates(tables, spec), drugs)
+
+
+def master(tables: ClaimsTables, spec: CohortSpec, exposed: DataFrame | None = None) -> DataFrame:
+    """One row per member with attributes, months and flags.
+
+    ``exposed`` is :func:`exposed_candidates`, given when it is already stored.
+    """
+    exposed = exposed_candidates(tables, spec) if exposed is None else exposed
     procedures = co.flag_pivot(
         tables.procedure, spec.procedure_groups, listed_only=True, claims=tables.receipts
     )
-    found = candidates(tables, spec)
-    if spec.min_months > 0:
-        chosen = co.cohort_by_exposure(found, drugs, spec.min_months)
-    else:
-        chosen = co.coalesce_flags(found.join(drugs, "common_key", "left"), ["prescription_months", *spec.drug_groups])
     persons = tables.patients.withColumn(
         "age_group", band_left_closed(F.col("age"), spec.age_edges, spec.age_labels)
     )
-    return co.cohort_master(chosen, persons, [(procedures, list(spec.procedure_groups))], spec.composites)
+    return co.cohort_master(
+        exposed.filter(F.col("prescription_months") >= spec.min_months),
+        persons,
+        [(procedures, list(spec.procedure_groups))],
+        spec.composites,
+    )
 
 
-def definitions(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
-    return co.definition_summary(
-        candidates(tables, spec), exposure(tables, spec), tables.patients, spec.definitions
-    )
+def definitions(tables: ClaimsTables, spec: CohortSpec, exposed: DataFrame | None = None) -> DataFrame:
+    if exposed is None:
+        exposed = co.with_exposure(candidates(tables, spec), exposure(tables, spec))
+    return co.definition_summary(exposed, tables.patients, spec.definitions)
 
 
 def age_distribution(cohort: DataFrame, population: DataFrame, spec: CohortSpec, published: DataFrame | None = None) -> DataFrame:
@@ -166,13 +175,14 @@ def run(tables: ClaimsTables, spec: CohortSpec, target: str) -> dict[str, int]:
     spark = tables.patients.sparkSession
     written: dict[str, int] = {}
 
-    def store(layer: str, name: str, df: DataFrame, schema) -> DataFrame:
+    def store(layer: str, name: str, df: DataFrame, schema=None) -> DataFrame:
         path = f"{target}/{layer}/{name}"
         written[name] = write_overwrite(df, path, schema)
         return scan_table(spark, path)
 
-    cohort = store("silver", "cohort", master(tables, spec), SILVER["cohort"])
-    store("silver", "definitions_summary", definitions(tables, spec), SILVER["definitions_summary"])
+    exposed = store("silver", "candidates", exposed_candidates(tables, spec))
+    cohort = store("silver", "cohort", master(tables, spec, exposed), SILVER["cohort"])
+    store("silver", "definitions_summary", definitions(tables, spec, exposed), SILVER["definitions_summary"])
     published = codes.reference_values(
         spark, codes.PUBLISHED_AGE_TABLE, "age_group", ["paper_pct", "paper_prevalence"]
     )

@@ -52,10 +52,17 @@ def write_overwrite(
     """Replace a table (catalog name) or parquet folder (path); returns the rows written.
 
     The count is observed while the rows are written, so the table is not read
-    back for it.  ``bucket_by`` (catalog tables only) stores rows hashed by a
-    key, which later joins and group-bys on that key use without a shuffle.
+    back for it.  A partitioned write is rebalanced first: each value gets files
+    of a sensible size, and a value that holds much of the data is split over
+    tasks.  ``bucket_by`` (catalog tables only) stores rows hashed by a key,
+    one file per bucket, which later joins and group-bys on that key use
+    without a shuffle; it suits tables with about one row per key.
     """
     out = conform(df, schema) if schema is not None else df
+    if partition_by:
+        out = out.hint("rebalance", *partition_by)
+    if bucket_by:
+        out = out.repartition(bucket_by[0], bucket_by[1])
     seen = Observation()
     writer = out.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format("parquet")
     if partition_by:
@@ -130,8 +137,8 @@ def append_snapshot(df: DataFrame, path: str, snapshot_date: str) -> None:
 def snapshot_as_of(spark: SparkSession, path: str, day: str) -> DataFrame:
     """The latest stored state on or before a day.
 
-    Both filters are on the partition column: the inner one reads directory
-    names only, the outer one opens a single snapshot.
+    Both filters are on the partition column: the inner scan reads no data
+    column, the outer one is pruned to a single snapshot.
     """
     stored = spark.read.parquet(path)
     date = F.to_date(F.lit(day))

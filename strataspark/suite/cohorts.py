@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from strataspark.operators import cohort as co
 from strataspark.plans import claims, survival_study
 from strataspark.sources import star
@@ -31,9 +29,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     tables = star_claims(spark, sf)
-    return co.threshold_sensitivity(
-        claims.candidates(tables, STAR_SPEC), claims.exposure(tables, STAR_SPEC), [0, 1, 2, 3, 6, 12]
-    )
+    exposed = co.with_exposure(claims.candidates(tables, STAR_SPEC), claims.exposure(tables, STAR_SPEC))
+    return co.threshold_sensitivity(exposed, [0, 1, 2, 3, 6, 12])
 
 
 @query(

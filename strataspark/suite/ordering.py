@@ -133,8 +133,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     tables = star_claims(spark, sf)
-    found, months = claims.candidates(tables, STAR_SPEC), claims.exposure(tables, STAR_SPEC)
+    exposed = co.with_exposure(claims.candidates(tables, STAR_SPEC), claims.exposure(tables, STAR_SPEC))
     # The two counts of one population share a pass; only the other population is a branch.
-    counted = co.definition_summary(found, months, tables.patients, {"diagnosis": 0, "one month": 1})
+    counted = co.definition_summary(exposed, tables.patients, {"diagnosis": 0, "one month": 1})
     people = tables.patients.agg(F.count(F.lit(1)).alias("n")).select(F.lit("everybody").alias("definition"), "n")
     return counted.select("definition", F.col("n_patients").alias("n")).unionByName(people)

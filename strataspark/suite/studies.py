@@ -26,9 +26,12 @@ _PROC_PCT = ", ".join(f"round(avg({f}) * 100, 2) AS {f}" for f in _PROC)
         SELECT *, {ordinal('age_group', AGE_LABELS)} AS sort_key, (SELECT COUNT(*) FROM master) AS cohort_rows FROM rows_""",
 )
 def _(spark, sf):
-    """Store the silver cohort, then build the procedure table from the stored files."""
+    """Store the candidates and the cohort, then build the procedure table from the stored files."""
     path = scratch_path(spark, "claims_study")
-    written = tables.write_overwrite(claims.master(star_claims(spark, sf), STAR_SPEC), f"{path}/silver/cohort")
+    bronze = star_claims(spark, sf)
+    tables.write_overwrite(claims.exposed_candidates(bronze, STAR_SPEC), f"{path}/silver/candidates")
+    exposed = tables.scan_table(spark, f"{path}/silver/candidates")
+    written = tables.write_overwrite(claims.master(bronze, STAR_SPEC, exposed), f"{path}/silver/cohort")
     cohort = tables.scan_table(spark, f"{path}/silver/cohort")
     return claims.procedure_usage(cohort, STAR_SPEC).withColumn("cohort_rows", F.lit(written).cast("long"))
 

@@ -78,7 +78,7 @@ def test_thresholds_fall_and_start_at_candidates(world, rows):
     claims, by_claim, *_ = world
     found = co.cohort_by_code(by_claim, ["b1"], claims=claims)
     months = co.exposure_months(by_claim, claims, ["a1"])
-    sizes = [n for _, n in sorted(rows(co.threshold_sensitivity(found, months, [0, 1, 2, 3, 6])))]
+    sizes = [n for _, n in sorted(rows(co.threshold_sensitivity(co.with_exposure(found, months), [0, 1, 2, 3, 6])))]
     assert sizes[0] == found.count()
     assert sizes == sorted(sizes, reverse=True)
     for t, n in zip([1, 2, 3, 6], sizes[1:]):
@@ -88,7 +88,7 @@ def test_thresholds_fall_and_start_at_candidates(world, rows):
 def test_definition_summary_of_nobody(spark, rows):
     keys = spark.createDataFrame([], "common_key string")
     months = spark.createDataFrame([], "common_key string, prescription_months long")
-    got = co.definition_summary(keys, months, keys, {"def_0": 0, "def_2": 1})
+    got = co.definition_summary(co.with_exposure(keys, months), keys, {"def_0": 0, "def_2": 1})
     assert rows(got) == [("def_0", 0, None), ("def_2", 0, None)]
 
 
@@ -130,3 +130,11 @@ def test_semi_does_not_multiply(spark, rows):
     df = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     keys = spark.createDataFrame([(1,), (1,), (1,)], "k int")
     assert rows(jo.semi(df, keys, "k")) == [(1, "x")]
+
+
+def test_more_groups_than_bits_in_one_number(spark):
+    groups = {f"g{i}": [f"c{i}", "all"] for i in range(130)}
+    facts = spark.createDataFrame([(1, "c0"), (1, "c61"), (1, "c62"), (1, "c129"), (2, "all"), (3, "none")], "common_key int, code string")
+    got = {r["common_key"]: r.asDict() for r in co.flag_pivot(facts, groups).collect()}
+    assert {k for k, v in got[1].items() if v == 1 and k != "common_key"} == {"g0", "g61", "g62", "g129"}
+    assert all(got[2][g] == 1 for g in groups) and all(got[3][g] == 0 for g in groups)

@@ -55,7 +55,7 @@ def test_facts_meet_claims_only_after_aggregation(plans):
     # Below the join on the claim key, facts are already one row per claim.
     for name in ("cohort_by_code", "exposure_months"):
         assert re.search(r"LeftSemi[\s\S]*HashAggregate\(keys=\[receipt_id", plans[name]), name
-    assert re.search(r"HashAggregate\(keys=\[receipt_id[^\]]*\], functions=\[partial_max", plans["flag_pivot"])
+    assert re.search(r"HashAggregate\(keys=\[receipt_id[^\]]*\], functions=\[partial_bit_or", plans["flag_pivot"])
 
 
 def test_constant_n_limits_before_the_shuffle(plans):
