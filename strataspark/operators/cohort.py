@@ -17,7 +17,7 @@ def distinct_keys(df: DataFrame, key: str = "common_key") -> DataFrame:
     return df.select(key).distinct()
 
 
-def _claims_of(facts: DataFrame, claims: DataFrame, claim: str) -> DataFrame:
+def claims_with(facts: DataFrame, claims: DataFrame, claim: str = "receipt_id") -> DataFrame:
     """Claims that occur among the facts, each fact's claim counted once."""
     return claims.join(distinct_keys(facts, claim), claim, "left_semi")
 
@@ -38,7 +38,7 @@ def cohort_by_code(
     listed = facts.filter(in_list(F.col(code), codes))
     if key in facts.columns:
         return distinct_keys(listed, key)
-    return distinct_keys(_claims_of(listed, claims.select(key, claim), claim), key)
+    return distinct_keys(claims_with(listed, claims.select(key, claim), claim), key)
 
 
 def exposure_months(
@@ -61,7 +61,7 @@ def exposure_months(
     if key in facts.columns:
         dated = listed.select(key, claim).distinct().join(claims.select(claim, month), claim)
     else:
-        dated = _claims_of(listed, claims.select(key, claim, month), claim)
+        dated = claims_with(listed, claims.select(key, claim, month), claim)
     return dated.groupBy(key).agg(F.countDistinct(month).alias("prescription_months"))
 
 

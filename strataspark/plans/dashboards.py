@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from strataspark.functions.bands import decode
 from strataspark.functions.scalar import age_at, in_range
 from strataspark.operators import dashboard as da
-from strataspark.sources.codes import PREFECTURE_NAMES
-from strataspark.sources.tables import scan_derived
+from strataspark.sources.codes import CHECKUP_COLUMNS, PREFECTURE_NAMES
+from strataspark.sources.tables import localize_columns, scan_derived
 
 SINGLE_FILTERS = ["sex"]
 MULTI_FILTERS = ["age_group", "prefecture_name", "comorbidity_pattern"]
@@ -27,8 +27,8 @@ def patient_base(df: DataFrame) -> DataFrame:
         "age_group",
         "prefecture_code",
         decode(F.col("prefecture_code"), PREFECTURE_NAMES, "Other").alias("prefecture_name"),
-        F.year("diagnosis_date").alias("diagnosis_year"),
-        "diagnosis_date",
+        F.year("diabetes_diagnosis_date").alias("diagnosis_year"),
+        "diabetes_diagnosis_date",
         "has_hypertension",
         "has_dyslipidemia",
         "has_ckd",
@@ -54,7 +54,11 @@ def facets(df: DataFrame, selections: Mapping[str, Sequence[str]]) -> DataFrame:
 
 
 def checkup_base(df: DataFrame) -> DataFrame:
-    """All columns of visits with both dates, plus the age at the visit."""
+    """All columns of visits with both dates, plus the age at the visit.
+
+    Source column names are translated first; names already translated stay.
+    """
+    df = localize_columns(df, CHECKUP_COLUMNS)
     both = F.col("visit_date").isNotNull() & F.col("birth_date").isNotNull()
     return scan_derived(df, {"age": age_at(F.col("visit_date"), F.col("birth_date"))}, both)
 

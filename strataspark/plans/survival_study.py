@@ -22,7 +22,7 @@ def criteria(min_age: int, last_diagnosis: str) -> list[tuple[str, Column]]:
     """Inclusion steps in order."""
     return [
         (f"age {min_age}+", F.col("age") >= min_age),
-        (f"diagnosed by {last_diagnosis}", F.col("diagnosis_date") <= F.to_date(F.lit(last_diagnosis))),
+        (f"diagnosed by {last_diagnosis}", F.col("diabetes_diagnosis_date") <= F.to_date(F.lit(last_diagnosis))),
         ("prefecture known", F.col("prefecture_code").isNotNull()),
     ]
 

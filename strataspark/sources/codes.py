@@ -93,6 +93,14 @@ JAPANESE_COLUMNS = {
     "icd10_code": "ICD10コード",
 }
 
+# Source columns of the health check-up table and the names used here.
+CHECKUP_COLUMNS = {
+    "健診年月日to": "visit_date",
+    "生年月日to": "birth_date",
+    "体重9n006": "weight",
+    "身長9n001": "height",
+}
+
 # --- end of fixed values -------------------------------------------------------
 
 _ARROW_TYPES = {

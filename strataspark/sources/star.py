@@ -83,11 +83,6 @@ def procedure_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def with_person(lines: DataFrame, claims: DataFrame) -> DataFrame:
-    """Facts keyed by person: claim keys resolved through the claims table."""
-    return lines.join(claims.select("receipt_id", "common_key"), "receipt_id").select("common_key", "code")
-
-
 def follow_up(spark: SparkSession, folder: str) -> DataFrame:
     """Per person: first claim date, months to the event or to the last claim, and the event.
 
@@ -140,6 +135,7 @@ def chronic_cohort(spark: SparkSession, folder: str) -> DataFrame:
     base = persons.select(
         key.alias("patient_id"),
         F.when(key % 2 == 0, F.lit("M")).otherwise(F.lit("F")).alias("sex"),
+        (F.lit(2020) - age).alias("birth_year"),
         age.alias("age"),
         band_left_closed(age, CHRONIC_AGE_EDGES, CHRONIC_AGE_LABELS).alias("age_group"),
         mask_at_rate(prefecture, key, "prefecture", 0.02).alias("prefecture_code"),
@@ -152,7 +148,7 @@ def chronic_cohort(spark: SparkSession, folder: str) -> DataFrame:
     )
     times = follow_up(spark, folder).select(
         F.col("common_key").alias("patient_id"),
-        F.col("first_date").alias("diagnosis_date"),
+        F.col("first_date").alias("diabetes_diagnosis_date"),
         F.col("months").alias("follow_up_months"),
         (F.col("event") == 1).alias("cv_event_occurred"),
     )

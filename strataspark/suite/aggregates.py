@@ -43,11 +43,11 @@ def _(spark, sf):
 @query(
     "profile_overview",
     with_("chronic")
-    + """SELECT COUNT(*) AS total, MIN(diagnosis_date) AS earliest, MAX(diagnosis_date) AS latest,
+    + """SELECT COUNT(*) AS total, MIN(diabetes_diagnosis_date) AS earliest, MAX(diabetes_diagnosis_date) AS latest,
          COUNT(DISTINCT prefecture_code) AS n_categories FROM chronic""",
 )
 def _(spark, sf):
-    return pr.profile_overview(star.chronic_cohort(spark, sf), "diagnosis_date", "prefecture_code")
+    return pr.profile_overview(star.chronic_cohort(spark, sf), "diabetes_diagnosis_date", "prefecture_code")
 
 
 @query("exposure_months", with_("months") + "SELECT * FROM months")
@@ -205,7 +205,7 @@ def survival_study_input(spark, sf):
 
 @query("distinct_keys", with_("disease") + "SELECT DISTINCT common_key FROM disease")
 def _(spark, sf):
-    return co.distinct_keys(star.with_person(star.disease_lines(spark, sf), star.receipts(spark, sf)))
+    return co.distinct_keys(co.claims_with(star.disease_lines(spark, sf), star.receipts(spark, sf)))
 
 
 @query(

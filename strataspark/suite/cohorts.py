@@ -38,9 +38,9 @@ def _(spark, sf):
     with_("chronic")
     + """SELECT 0 AS step, 'all' AS criterion, COUNT(*) AS n_remaining FROM chronic
        UNION ALL SELECT 1, 'age 40+', COUNT(*) FROM chronic WHERE age >= 40
-       UNION ALL SELECT 2, 'diagnosed by 1995-12-31', COUNT(*) FROM chronic WHERE age >= 40 AND diagnosis_date <= DATE '1995-12-31'
+       UNION ALL SELECT 2, 'diagnosed by 1995-12-31', COUNT(*) FROM chronic WHERE age >= 40 AND diabetes_diagnosis_date <= DATE '1995-12-31'
        UNION ALL SELECT 3, 'prefecture known', COUNT(*) FROM chronic WHERE age >= 40
-         AND diagnosis_date <= DATE '1995-12-31' AND prefecture_code IS NOT NULL""",
+         AND diabetes_diagnosis_date <= DATE '1995-12-31' AND prefecture_code IS NOT NULL""",
 )
 def _(spark, sf):
     return survival_study.attrition(star.chronic_cohort(spark, sf), 40, "1995-12-31")

@@ -13,7 +13,7 @@ from strataspark.suite.binding import STAR_SPEC, star_master
 from strataspark.suite.registry import query
 from strataspark.suite.sql import ordinal, with_
 
-BASE_COLUMNS = """patient_id, sex, age, age_group, prefecture_code, prefecture_name, diagnosis_year, diagnosis_date,
+BASE_COLUMNS = """patient_id, sex, age, age_group, prefecture_code, prefecture_name, diagnosis_year, diabetes_diagnosis_date,
   has_hypertension, has_dyslipidemia, has_ckd, comorbidity_pattern, cv_event_occurred, follow_up_months, hba1c, bmi"""
 
 

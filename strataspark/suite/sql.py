@@ -130,7 +130,7 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "chronic": (
         f"""SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex,
-             CAST(16 + c_custkey % 80 AS INTEGER) AS age,
+             CAST(2020 - 16 - c_custkey % 80 AS INTEGER) AS birth_year, CAST(16 + c_custkey % 80 AS INTEGER) AS age,
              {band("(16 + c_custkey % 80)", CHRONIC_AGE_EDGES, CHRONIC_AGE_LABELS)} AS age_group,
              {masked("lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0')", "c_custkey", "prefecture", 0.02)} AS prefecture_code,
              c_acctbal > 4500 AS has_hypertension, c_custkey % 3 = 0 AS has_dyslipidemia,
@@ -144,19 +144,19 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                   WHEN c_custkey % 3 = 0 THEN 'DL only' ELSE 'none' END AS comorbidity_pattern,
              {masked("round((c_acctbal + 1000) / 3000 + 6, 1)", "c_custkey", "hba1c", 0.08)} AS hba1c,
              {masked("(CAST(16 AS DOUBLE) + (c_custkey * 7 % 200) / CAST(10 AS DOUBLE))", "c_custkey", "bmi", 0.05)} AS bmi,
-             first_date AS diagnosis_date, months AS follow_up_months, event = 1 AS cv_event_occurred
+             first_date AS diabetes_diagnosis_date, months AS follow_up_months, event = 1 AS cv_event_occurred
            FROM customer JOIN follow_up ON common_key = c_custkey""",
         ("follow_up",),
     ),
     "analysis": (
-        """SELECT * FROM chronic WHERE age >= 40 AND diagnosis_date <= DATE '1995-12-31' AND prefecture_code IS NOT NULL""",
+        """SELECT * FROM chronic WHERE age >= 40 AND diabetes_diagnosis_date <= DATE '1995-12-31' AND prefecture_code IS NOT NULL""",
         ("chronic",),
     ),
     "base": (
         """SELECT *, CASE prefecture_code WHEN '01' THEN 'Hokkaido' WHEN '11' THEN 'Saitama' WHEN '12' THEN 'Chiba'
              WHEN '13' THEN 'Tokyo' WHEN '14' THEN 'Kanagawa' WHEN '22' THEN 'Shizuoka' WHEN '23' THEN 'Aichi'
              WHEN '27' THEN 'Osaka' WHEN '28' THEN 'Hyogo' WHEN '40' THEN 'Fukuoka' ELSE 'Other' END AS prefecture_name,
-             CAST(year(diagnosis_date) AS INTEGER) AS diagnosis_year
+             CAST(year(diabetes_diagnosis_date) AS INTEGER) AS diagnosis_year
            FROM chronic WHERE prefecture_code IS NOT NULL""",
         ("chronic",),
     ),

@@ -27,3 +27,13 @@ def test_dashboard_filters_agree_with_facets(spark, sf):
     chosen = {"sex": ["M"], "age_group": ["40-49", "50-59"], "prefecture_name": [], "comorbidity_pattern": []}
     facets = dashboards.facets(base, chosen).filter("facet = 'sex' AND value = 'M'").first()
     assert facets["n_matching"] == dashboards.filtered(base, "M", age_group=["40-49", "50-59"]).count()
+
+
+def test_checkup_dashboard_on_source_names(spark):
+    data = [("2020-06-02", "1980-06-02", 60.0, 170.0), (None, "1980-06-02", 61.0, 171.0), ("2020-06-02", "1990-06-02", None, 172.0)]
+    df = spark.createDataFrame(data, "`健診年月日to` string, `生年月日to` string, `体重9n006` double, `身長9n001` double")
+    df = df.withColumns({c: F.to_date(F.col(c)) for c in df.columns[:2]})
+    visits = dashboards.checkup_base(df)
+    assert sorted(r["age"] for r in visits.collect()) == [30, 40]
+    # a missing weight does not pass the "at least 0" filter
+    assert [tuple(r) for r in dashboards.age_histogram(visits).collect()] == [(40.0, 1)]
