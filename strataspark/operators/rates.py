@@ -47,19 +47,29 @@ def _stratum_sums(df: DataFrame, stratum: str, flags: Sequence[str]) -> DataFram
     """Sums per stratum, then a total added from those few rows.
 
     The raw rows are aggregated once.  Rolling up afterwards works on one row
-    per stratum, where rolling up the raw rows would double them first.
+    per stratum, where rolling up the raw rows would double them first.  One
+    row of zeros joins the strata, so that an empty input has a total as well.
     """
     per_stratum = df.groupBy(stratum).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.col(f).cast("long")).alias(f"s_{f}") for f in flags],
         *[F.count(f).alias(f"c_{f}") for f in flags],
     )
-    return per_stratum.rollup(stratum).agg(
+    none, zero = F.lit(None), F.lit(0).cast("long")
+    nobody = df.sparkSession.range(1).select(
+        none.cast(df.schema[stratum].dataType).alias(stratum),
+        zero.alias("n"),
+        *[none.cast("long").alias(f"s_{f}") for f in flags],
+        *[zero.alias(f"c_{f}") for f in flags],
+    )
+    rolled = per_stratum.unionByName(nobody).rollup(stratum).agg(
         F.grouping_id().alias("is_total"),
         F.sum("n").alias("n"),
         *[F.sum(f"s_{f}").alias(f"s_{f}") for f in flags],
         *[F.sum(f"c_{f}").alias(f"c_{f}") for f in flags],
     )
+    # A stratum without members is the row of zeros alone.
+    return rolled.filter((F.col("is_total") == 1) | (F.col("n") > 0))
 
 
 def _labelled(df: DataFrame, stratum: str) -> Column:
