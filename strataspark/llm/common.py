@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text_column: int, limit: int) -> I
     for batch in batches:
         column = batch.column(text_column)
         start, held = 0, 0
-        for i, size in enumerate(pa.compute.binary_length(column).to_pylist()):
+        for i, size in enumerate(pc.binary_length(column).to_pylist()):
             if held and held + (size or 0) > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import chat, quality, urls
+from strataspark.llm import chat, decontaminate, mixing, ppm, quality, tokens, urls
+from strataspark.llm.common import stored
+from strataspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +25,108 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+# The weights of the sources in order of their names, repeating.
+MIX_WEIGHTS = (5.0, 2.0, 1.0)
+# How each weight leans in time: the first fades, the last grows; the integrals stay the weights.
+MIX_TILTS = (0.5, 0.0, -0.5)
+
+
+@_query(
+    "op1_mix_sources",
+    r"""WITH sized AS (
+          SELECT row_number() OVER () AS k, doc_id, source,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                 substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS ord
+          FROM documents),
+        sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source),
+        ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS c FROM sources),
+        weighted AS (SELECT *, CASE c WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+                            CASE c WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS tilt FROM ranked),
+        levels AS (
+          SELECT *, 3 * s / w AS lvl,
+                 CAST(sum(s) OVER () - coalesce(sum(3 * s) OVER b, 0) AS DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS rate,
+                 row_number() OVER (ORDER BY 3 * s / w, source NULLS LAST) AS k
+          FROM weighted
+          WINDOW b AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        rate AS (SELECT arg_min(rate, k) FILTER (WHERE rate <= lvl) AS r FROM levels),
+        targets AS (SELECT source, s, w, tilt, least(CAST(3 * s AS DOUBLE), r * w) AS target FROM levels, rate),
+        placed AS (
+          SELECT sized.*, s, target, w, w * (1 + tilt) AS w0, w * (1 - tilt) - w * (1 + tilt) AS slope,
+                 CAST(sum(size) OVER (PARTITION BY sized.source ORDER BY ord, doc_id, size, sized.k ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+          FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+        SELECT doc_id, size, s AS source_size, target,
+               CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start))
+                  + greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - s))
+                  + greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - 2 * s)) AS BIGINT) AS taken,
+               CASE WHEN size > 0 AND start < floor(target)
+                    THEN round(2 * need / (w0 + sqrt(w0 * w0 + 2 * slope * need)), 6) END AS first_position
+        FROM (SELECT *, (start + least(size, floor(target) - start) / 2) / target * w AS need FROM placed)""",
+)
+def _(spark, sf):
+    docs = mixing.sized(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")).drop("text")
+    mixed = mixing.assign(stored(docs, "sizes"), mixing.ranked_knots(MIX_WEIGHTS, MIX_TILTS))
+    first = F.round(F.get("placements", F.lit(0))["position"], 6)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+
+
+@_query("op5_token_counts")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counted = tokens.count_tokens(docs, scratch_path(spark, "token_counts"), "word_bpe_49k.json")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@_query(
+    "op7_decontaminate",
+    r"""WITH d AS (
+          SELECT row_number() OVER () AS k, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        b AS (
+          SELECT item_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark),
+        wide AS (SELECT item_id, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
+        wins AS (
+          SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win
+          FROM (SELECT item_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM wide)),
+        lengths AS (SELECT DISTINCT m FROM wins),
+        dwins AS (
+          SELECT k, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win
+          FROM (SELECT k, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, lengths WHERE len(w) >= m)),
+        found AS (SELECT k, i, m, item_id FROM dwins JOIN wins USING (m, win)),
+        hit AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(generate_series(i, i + m - 1)) AS p FROM found) GROUP BY k),
+        items AS (
+          SELECT k, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY k)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(hit.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k)""",
+)
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = decontaminate.hits(docs, spark.read.parquet(f"{sf}/benchmark.parquet"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@_query("op8_lm_score")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = ppm.held_out(F.col("doc_id"))
+    scores = ppm.score(docs, docs.filter(~held))
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 # The rules that the url query judges by.
 URL_RULES = (
     urls.UrlRule("com", "/", "allow"),
