@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import need_columns, text_of
+from strataspark.llm.common import need_columns, ship, text_of
 
 ROLE_WITH_LOSS = "assistant"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -103,6 +103,7 @@ def assemble(turns: list[tuple[str, list[int], list[int]]], tok: ChatTokenizer,
 def sequences(conversations: DataFrame, tokenizer_name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per conversation: conv_id, ids, loss_mask."""
     need_columns(conversations, "conv_id", "turn", "role", "text")
+    ship(conversations.sparkSession)
     turns = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), text_of("role").alias("role"), text_of("text").alias("text")
     )
@@ -166,6 +167,7 @@ def read_back(ids, mask, tok: ChatTokenizer) -> dict:
 
 def digests(formatted: DataFrame, tokenizer_name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """What the sequences say when they are decoded: turns, loss text and lengths, as counts and SHA-256."""
+    ship(formatted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_name)

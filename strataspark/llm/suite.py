@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import chat, decontaminate, mixing, ppm, quality, tokens, urls
+from strataspark.llm import chat, decontaminate, mixing, ppm, quality, simhash, tokens, urls
 from strataspark.llm.common import stored
 from strataspark.session import scratch_path
 
@@ -69,6 +69,14 @@ def _(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
 
 
+@_query("op2_simhash")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    prints = simhash.fingerprints(docs).select("row", "doc_id", "fingerprint")
+    found = simhash.components_of(prints)
+    return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
+
+
 @_query("op5_token_counts")
 def _(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")

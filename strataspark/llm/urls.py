@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from strataspark.llm.common import need_columns
+from strataspark.llm.common import need_columns, ship
 
 RESULTS = ("host", "path", "rule", "verdict")
 ALLOW, BLOCK = "allow", "block"
@@ -97,6 +97,7 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], default: str = ALLOW, broa
     if trie.size > broadcast_limit:
         table = pages.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
         return judge_by_join(pages, table, default)
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trie)
     host, path = split_url(F.col("url"))
     own = [c for c in pages.columns if c not in RESULTS]
