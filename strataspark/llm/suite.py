@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import chat, decontaminate, mixing, ppm, quality, simhash, tokens, urls
+from strataspark.llm import chat, decontaminate, mixing, ppm, quality, simhash, suffixes, tokens, urls
 from strataspark.llm.common import stored
 from strataspark.session import scratch_path
 
@@ -135,6 +135,11 @@ def _(spark, sf):
     return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query("op9_suffix_dedup")
+def _(spark, sf):
+    return suffixes.summary(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+
+
 # The rules that the url query judges by.
 URL_RULES = (
     urls.UrlRule("com", "/", "allow"),
