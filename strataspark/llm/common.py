@@ -48,6 +48,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def fence(column: Column) -> Column:
+    """The same value, marked so that a filter above is not pushed below it, where it would repeat costly expressions."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import need_columns, text_of, words_of
+from strataspark.llm.common import fence, need_columns, text_of, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _INNER = ("_text", "_words", "_lines", "_windows", "_sorted", "_places")
@@ -109,7 +109,7 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     failed = bits[0] if bits else F.lit(0).cast("long")
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return own.drop("failed").withColumn("failed", failed)
+    return own.drop("failed").withColumn("failed", fence(failed))
 
 
 def mask_of(policy: Policy, rules: Sequence[Rule] = RULES) -> int:

@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """
     need_columns(docs, "doc_id", "text")
     own = [c for c in docs.columns if c not in ("row", "fingerprint")]
-    rows = docs.select(*own, F.expr("uuid()").alias("row"), text_of().alias("_text"))
+    rows = docs.select(*own, F.monotonically_increasing_id().alias("row"), text_of().alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import chat, decontaminate, mixing, ppm, quality, simhash, suffixes, tokens, urls
+from strataspark.llm import chat, decontaminate, mixing, pii, ppm, quality, simhash, suffixes, tokens, urls
 from strataspark.llm.common import stored
 from strataspark.session import scratch_path
 
@@ -77,6 +77,17 @@ def _(spark, sf):
     return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
 
+@_query("op3_find_pii")
+def _(spark, sf):
+    found = pii.find(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        pii.digest(F.col("base")).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 @_query("op5_token_counts")
 def _(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
