@@ -68,8 +68,10 @@ def exposure_months(
 def cohort_by_exposure(
     candidates: DataFrame, months: DataFrame, min_months: int, key: str = "common_key"
 ) -> DataFrame:
-    """Candidates with at least ``min_months`` exposure months."""
-    return candidates.join(months, key).filter(F.col("prescription_months") >= min_months)
+    """Candidates with at least ``min_months`` exposure months; a threshold of 0 keeps them all, with 0 months."""
+    if min_months > 0:
+        return candidates.join(months, key).filter(F.col("prescription_months") >= min_months)
+    return with_exposure(candidates, months, key)
 
 
 def with_exposure(candidates: DataFrame, exposure: DataFrame, key: str = "common_key") -> DataFrame:
@@ -154,6 +156,21 @@ def _flags(groups: Mapping[str, Sequence[str]]) -> list[Column]:
     return [_bit(i).alias(name) for i, name in enumerate(groups)]
 
 
+def facts_of(
+    facts: DataFrame, members: DataFrame, key: str = "common_key", claims: DataFrame | None = None, claim: str = "receipt_id"
+) -> DataFrame:
+    """The members' facts, by person key or else by the members' claims.
+
+    A semi join against a small key set: the planner broadcasts the keys when
+    they are small and otherwise meets them by key, where adaptive execution
+    splits a hot key of the facts.
+    """
+    keys = members.select(key)
+    if key in facts.columns:
+        return facts.join(keys, key, "left_semi")
+    return facts.join(claims.join(keys, key, "left_semi").select(claim), claim, "left_semi")
+
+
 def flag_pivot(
     facts: DataFrame,
     groups: Mapping[str, Sequence[str]],
@@ -162,15 +179,19 @@ def flag_pivot(
     listed_only: bool = False,
     claims: DataFrame | None = None,
     claim: str = "receipt_id",
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Long facts to one row per key with a 0/1 column per code group.
 
     Groups nobody has still get a column of zeros.  ``listed_only`` drops facts
     outside every group before the shuffle; keys without a listed code are then
     absent and left to the caller's left join.  Facts without the key become
-    one row per claim first, and those rows meet ``claims``.
+    one row per claim first, and those rows meet ``claims``.  With ``members``
+    only their facts are aggregated.
     """
     rows = facts.filter(in_list(F.col(code), flatten(groups))) if listed_only else facts
+    if members is not None:
+        rows = facts_of(rows, members, key, claims, claim)
     if key in facts.columns:
         per_key = rows.groupBy(key).agg(*_masks(groups, code))
     else:
@@ -188,15 +209,19 @@ def flags_and_months(
     claim: str = "receipt_id",
     month: str = "service_month",
     code: str = "code",
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Code-group flags and exposure months per person from a single pass over the facts.
 
     Equal to :func:`flag_pivot` (listed codes only) beside
     :func:`exposure_months`, at the price of one scan and one join.  Persons
-    without exposure have 0 months.
+    without exposure have 0 months.  With ``members`` only their facts are
+    aggregated.
     """
     wanted = {**groups, "__exposed": list(codes)}
     listed = facts.filter(in_list(F.col(code), flatten(wanted)))
+    if members is not None:
+        listed = facts_of(listed, members, key, claims, claim)
     if key in facts.columns:
         per_claim = listed.groupBy(key, claim).agg(*_masks(wanted, code))
         # A fact whose claim is unknown keeps its flags and adds no month.

@@ -32,21 +32,20 @@ def apply_filters(df: DataFrame, selections: Mapping[str, Sequence]) -> DataFram
 def facet_counts(df: DataFrame, facets: Sequence[str], selections: Mapping[str, Sequence]) -> DataFrame:
     """Every value of every filter field, and how many rows would match it.
 
-    A field's own selection does not count against its values.  Rows are first
-    counted by combination of the filter fields, once for all of them; the
-    per-field counts are then sums over those combinations.
+    A field's own selection does not count against its values.  Each row is
+    unfolded into its fields, and partial aggregation leaves one row per value
+    and task before the shuffle, however many combinations there are.
     """
-    base = df.groupBy(*facets).agg(F.count(F.lit(1)).alias("n"))
     entries = [
         F.struct(
             F.lit(f).alias("facet"),
             F.col(f).cast("string").alias("value"),
-            F.when(selection(selections, skip=f), F.col("n")).otherwise(F.lit(0)).alias("matching"),
+            selection(selections, skip=f).cast("long").alias("matching"),
         )
         for f in facets
     ]
     return (
-        base.select(F.inline(F.array(*entries)))
+        df.select(F.inline(F.array(*entries)))
         .groupBy("facet", "value")
         .agg(F.sum("matching").alias("n_matching"))
     )
@@ -67,6 +66,12 @@ def histogram(df: DataFrame, column: str, width: float, where: Column | None = N
     return rows.groupBy(bin_floor(F.col(column), width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histograms(df: DataFrame, widths: Mapping[str, float]) -> DataFrame:
+    """Rows per bin of several columns as (measure, bin, n), from one pass."""
+    entries = [F.struct(F.lit(c).alias("measure"), bin_floor(F.col(c), w).cast("double").alias("bin")) for c, w in widths.items()]
+    return df.select(F.inline(F.array(*entries))).groupBy("measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scatter(df: DataFrame, x: str, y: str, key: str | None = None, rate: float | None = None) -> DataFrame:
     """Raw pairs; with ``key`` and ``rate`` a repeatable share of them."""
     rows = df if rate is None else df.filter(keyed_uniform(F.col(key), "scatter") < rate)

@@ -111,14 +111,9 @@ def cohort_summary(
 def quality_summary(df: DataFrame, numeric: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """Row count, numeric ranges and category counts of a table as long rows.
 
-    Categories are counted by combination first, so the table is scanned once
-    whatever the number of category columns.
+    Each row is unfolded into its checks in the one scan; partial aggregation
+    leaves one row per check, value and task before the shuffle.
     """
-    base = df.groupBy(*categories).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(c).cast("double").alias(f"lo_{c}") for c in numeric],
-        *[F.max(c).cast("double").alias(f"hi_{c}") for c in numeric],
-    )
 
     def entry(check: str, item: Column, value: Column, how: str) -> Column:
         return F.struct(
@@ -126,17 +121,18 @@ def quality_summary(df: DataFrame, numeric: Sequence[str], categories: Sequence[
         )
 
     none = F.lit(None)
-    entries = [entry("rows", none, F.col("n"), "sum")]
+    one = F.lit(1)
+    entries = [entry("rows", none, one, "sum")]
     for c in numeric:
-        entries.append(entry(f"min_{c}", none, F.col(f"lo_{c}"), "min"))
-        entries.append(entry(f"max_{c}", none, F.col(f"hi_{c}"), "max"))
+        entries.append(entry(f"min_{c}", none, F.col(c), "min"))
+        entries.append(entry(f"max_{c}", none, F.col(c), "max"))
     for c in categories:
-        entries.append(entry(c, F.col(c), F.col("n"), "sum"))
+        entries.append(entry(c, F.col(c), one, "sum"))
     value = (
         F.when(F.col("how") == "min", F.min("v")).when(F.col("how") == "max", F.max("v")).otherwise(F.sum("v"))
     )
     return (
-        base.select(F.inline(F.array(*entries)))
+        df.select(F.inline(F.array(*entries)))
         .groupBy("check", "item", "how")
         .agg(value.alias("value"))
         .select("check", "item", "value")

@@ -17,39 +17,26 @@ def hash_sample(df: DataFrame, key: Column, salt: str, rate: float | Column) ->
     return df.filter(keyed_uniform(key, salt) < bound)
 
 
-def pick_n_per_key(
-    df: DataFrame, key: str, row_id: str, salt: str, n: int | Column, at_most: int | None = None
-) -> DataFrame:
+def pick_n_per_key(df: DataFrame, key: str, row_id: str, salt: str, n: int | Column) -> DataFrame:
     """``n`` repeatable random rows per key, all rows of keys that have fewer.
 
-    With a constant ``n`` the planner keeps only ``n`` rows per key in every
-    task before the shuffle, so a hot key is no burden.  When ``n`` is a column
-    (constant within a key) ``at_most`` gives its bound and allows the same; a
-    larger ``n`` fails the job.  Without a bound, rows compete inside salted
-    parts of their key first: each part keeps its best ``n``, so no winner is
-    lost and no single task ranks a hot key's rows.
+    ``n`` is a number of any size or a column that is constant within a key.
+    Rows compete inside salted parts of their key first: each part keeps its
+    best ``n``, so no winner is lost and no single task ranks all rows of a
+    hot key.  The draw's own first digits are not used as the part, so parts
+    are even whatever is drawn.
     """
-    drawn = df.withColumn("__u", keyed_uniform(F.col(row_id), salt))
     order = [F.col("__u"), F.col(row_id)]
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    if isinstance(n, int):
-        return drawn.withColumn("pick", rank).filter(F.col("pick") <= n).drop("__u")
-    if at_most is not None:
-        excess = F.raise_error(F.lit(f"more than {at_most} rows per key were asked for")).cast("int")
-        wanted = F.when(F.col("__n") > at_most, excess).otherwise(F.col("__n"))
-        return (
-            drawn.withColumn("__n", n)
-            .withColumn("pick", rank)
-            .filter((F.col("pick") <= at_most) & (F.col("pick") <= wanted))
-            .drop("__u", "__n")
-        )
-    part = F.pmod(F.xxhash64(row_id), F.lit(SALTS))
     local = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order))
-    semifinal = (
-        drawn.withColumns({"__part": part, "__n": n})
-        .withColumn("__local", local)
-        .filter(F.col("__local") <= F.col("__n"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    drawn = df.withColumns(
+        {
+            "__u": keyed_uniform(F.col(row_id), salt),
+            "__part": F.pmod(F.xxhash64(row_id), F.lit(SALTS)),
+            "__n": n if isinstance(n, Column) else F.lit(n),
+        }
     )
+    semifinal = drawn.withColumn("__local", local).filter(F.col("__local") <= F.col("__n"))
     return (
         semifinal.withColumn("pick", rank)
         .filter(F.col("pick") <= F.col("__n"))

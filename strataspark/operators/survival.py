@@ -81,18 +81,16 @@ def event_table(
 def with_origin(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add a row at time 0 to groups that have none, with everybody at risk.
 
-    The group's first row knows how many are at risk at the start, so the row
-    is unfolded from it: no second aggregation, no union of two scans.
+    One aggregated row per group, its first time and the most at risk, becomes
+    the row; no window orders all times of a group.
     """
-    first = F.row_number().over(Window.partitionBy(*by).orderBy("t"))
     zero = F.lit(0).cast(events.schema["t"].dataType)
-    own = F.struct(F.col("t").alias("t"), "n_at_risk", "n_events", "n_censored")
     nobody = F.lit(0).cast("long")
-    start = F.struct(
-        zero.alias("t"), "n_at_risk", nobody.alias("n_events"), nobody.alias("n_censored")
+    firsts = events.groupBy(*by).agg(F.min("t").alias("__first"), F.max("n_at_risk").alias("n_at_risk"))
+    starts = firsts.filter(F.col("__first") > 0).select(
+        *by, zero.alias("t"), "n_at_risk", nobody.alias("n_events"), nobody.alias("n_censored")
     )
-    rows = F.when((F.col("__first") == 1) & (F.col("t") > 0), F.array(start, own)).otherwise(F.array(own))
-    return events.withColumn("__first", first).select(*by, F.inline(rows))
+    return events.select(*starts.columns).unionByName(starts)
 
 
 def kaplan_meier(
@@ -117,7 +115,8 @@ def _curve(events: DataFrame, by: Sequence[str], bucket: float | None, origin: b
         events = with_origin(events, by)
     alive = F.col("n_at_risk") - F.col("n_events")
     step = F.when(alive > 0, F.log1p(-F.col("n_events") / F.col("n_at_risk"))).otherwise(F.lit(0.0))
-    spread = F.when(alive > 0, F.col("n_events") / (F.col("n_at_risk") * alive)).otherwise(F.lit(0.0))
+    # Divided twice: the product of two counts can pass the largest integer.
+    spread = F.when(alive > 0, F.col("n_events") / F.col("n_at_risk") / alive).otherwise(F.lit(0.0))
     summed = running_sums(
         events, by, "t",
         {"__log": step, "greenwood": spread, "__ended": (alive == 0).cast("int")},
@@ -188,7 +187,9 @@ def logrank_pvalue(test: DataFrame) -> DataFrame:
     )
 
 
-def km_by_pattern(df: DataFrame, time: str, event: str, pattern: str, k: int = 5) -> DataFrame:
+def km_by_pattern(
+    df: DataFrame, time: str, event: str, pattern: str, k: int = 5, bucket: float | None = None
+) -> DataFrame:
     """Curves of the ``k`` most frequent categories with their sizes, in one job.
 
     Sizes are sums over the per-time counts, so the persons are read once.
@@ -203,14 +204,21 @@ def km_by_pattern(df: DataFrame, time: str, event: str, pattern: str, k: int = 5
     )
     kept = leaving.join(F.broadcast(sizes), pattern)  # k rows
     by = [pattern, "n", "events"]
-    return _curve(_at_risk(kept, by, None), by, None, True).drop("greenwood")
+    return _curve(_at_risk(kept, by, bucket), by, bucket, True).drop("greenwood")
 
 
 def subgroup_logrank(
-    df: DataFrame, time: str, event: str, group: str, first: object, second: object, stratum: str
+    df: DataFrame,
+    time: str,
+    event: str,
+    group: str,
+    first: object,
+    second: object,
+    stratum: str,
+    bucket: float | None = None,
 ) -> DataFrame:
     """A log-rank test with p-value inside every stratum, in one job."""
-    return logrank_pvalue(logrank_test(df, time, event, group, first, second, [stratum]))
+    return logrank_pvalue(logrank_test(df, time, event, group, first, second, [stratum], bucket))
 
 
 def event_rate_ratio(df: DataFrame, exposed: Column, event: str, digits: int = 2) -> DataFrame:

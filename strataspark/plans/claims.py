@@ -92,10 +92,14 @@ def exposed_candidates(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
     """Every candidate with exposure months and drug flags, one row per person.
 
     One pass over the diagnosis facts and one over the medication facts; each
-    definition of the cohort is a filter on the result.
+    definition of the cohort is a filter on the result.  Only the candidates'
+    medication facts are aggregated.
     """
-    drugs = co.flags_and_months(tables.medication, tables.receipts, spec.drug_groups, spec.exposure_codes)
-    return co.with_exposure(candidates(tables, spec), drugs)
+    people = candidates(tables, spec)
+    drugs = co.flags_and_months(
+        tables.medication, tables.receipts, spec.drug_groups, spec.exposure_codes, members=people
+    )
+    return co.with_exposure(people, drugs)
 
 
 def master(tables: ClaimsTables, spec: CohortSpec, exposed: DataFrame | None = None) -> DataFrame:
@@ -104,14 +108,15 @@ def master(tables: ClaimsTables, spec: CohortSpec, exposed: DataFrame | None = N
     ``exposed`` is :func:`exposed_candidates`, given when it is already stored.
     """
     exposed = exposed_candidates(tables, spec) if exposed is None else exposed
+    chosen = exposed.filter(F.col("prescription_months") >= spec.min_months)
     procedures = co.flag_pivot(
-        tables.procedure, spec.procedure_groups, listed_only=True, claims=tables.receipts
+        tables.procedure, spec.procedure_groups, listed_only=True, claims=tables.receipts, members=chosen
     )
     persons = tables.patients.withColumn(
         "age_group", band_left_closed(F.col("age"), spec.age_edges, spec.age_labels)
     )
     return co.cohort_master(
-        exposed.filter(F.col("prescription_months") >= spec.min_months),
+        chosen,
         persons,
         [(procedures, list(spec.procedure_groups))],
         spec.composites,
@@ -129,10 +134,19 @@ def age_distribution(cohort: DataFrame, population: DataFrame, spec: CohortSpec,
     return ra.stratum_distribution(cohort, banded, "age_group", labels=spec.age_labels, published=published)
 
 
-def medication_usage(cohort: DataFrame, spec: CohortSpec, ratio: tuple[str, str] = ("TNFI", "ABT")) -> DataFrame:
-    return ra.rates_with_ratio(
-        cohort, "age_group", [*spec.drug_groups, "bDMARDs"], *ratio, f"{ratio[0]}_{ratio[1]}_ratio", spec.age_labels
-    )
+def medication_usage(
+    cohort: DataFrame,
+    spec: CohortSpec,
+    ratio: tuple[str, str] | None = ("TNFI", "ABT"),
+    digits: int = 1,
+    total_from_rounded: bool = False,
+) -> DataFrame:
+    """Drug rates by age band with a total; ``ratio`` names two groups to divide, or None for the rates alone."""
+    flags = [*spec.drug_groups, "bDMARDs"]
+    if ratio is None:
+        return ra.rates_with_total(cohort, "age_group", flags, spec.age_labels, digits)
+    name = f"{ratio[0]}_{ratio[1]}_ratio"
+    return ra.rates_with_ratio(cohort, "age_group", flags, *ratio, name, spec.age_labels, digits, total_from_rounded)
 
 
 def procedure_usage(cohort: DataFrame, spec: CohortSpec) -> DataFrame:
@@ -149,26 +163,28 @@ def summary(cohort: DataFrame, population: DataFrame) -> DataFrame:
     def pct(test):
         return F.avg(test.cast("int")) * 100
 
-    return metric_report(
-        cohort,
-        [
-            ("Total RA Patients (Definition 3)", n, ",", "members of the main definition"),
-            ("Prevalence (%)", safe_ratio(n, people, 100.0), "%.2f", "members per person"),
-            ("Female Ratio (%)", pct(F.col("sex") == "2"), "%.1f", "women"),
-            ("Age >= 65 years (%)", pct(F.col("age") >= 65), "%.1f", "65 and over"),
-            ("Age >= 85 years (%)", pct(F.col("age") >= 85), "%.1f", "85 and over"),
-            ("MTX Usage (%)", F.avg("MTX") * 100, "%.1f", "methotrexate"),
-            ("bDMARDs Usage (%)", F.avg("bDMARDs") * 100, "%.1f", "biologics"),
-            ("Corticosteroid Usage (%)", F.avg("CS") * 100, "%.1f", "steroids"),
-            ("RA Surgery Rate (%)", F.avg("any_RA_surgery") * 100, "%.2f", "joint surgery"),
-        ],
-        codes.PUBLISHED_SUMMARY,
-    )
-
-
-def run(tables: ClaimsTables, spec: CohortSpec, target: str) -> dict[str, int]:
+    measures = [
+        (n, ",", "members of the main definition"),
+        (safe_ratio(n, people, 100.0), "%.2f", "members per person"),
+        (pct(F.col("sex") == "2"), "%.1f", "women"),
+        (pct(F.col("age") >= 65), "%.1f", "65 and over"),
+        (pct(F.col("age") >= 85), "%.1f", "85 and over"),
+        (F.avg("MTX") * 100, "%.1f", "methotrexate"),
+        (F.avg("bDMARDs") * 100, "%.1f", "biologics"),
+        (F.avg("CS") * 100, "%.1f", "steroids"),
+        (F.avg("any_RA_surgery") * 100, "%.2f", "joint surgery"),
+    ]
+    # The published summary names the measures, in this order.
+    named = [(name, *measure) for name, measure in zip(codes.PUBLISHED_SUMMARY, measures, strict=True)]
+    return metric_report(cohort, named, codes.PUBLISHED_SUMMARY)
+
+
+def run(tables: ClaimsTables, spec: CohortSpec, target: str, declared: bool = True) -> dict[str, int]:
     """Write all silver and gold tables below a folder; returns rows per table.
 
+    ``declared`` asserts the published study's schemas, which a cohort with
+    other groups does not have.
+
     The folder must be shared by the executors.  Each table replaces its former
     state, so a run that was cut off is simply repeated.
     """
@@ -177,7 +193,7 @@ def run(tables: ClaimsTables, spec: CohortSpec, target: str) -> dict[str, int]:
 
     def store(layer: str, name: str, df: DataFrame, schema=None) -> DataFrame:
         path = f"{target}/{layer}/{name}"
-        written[name] = write_overwrite(df, path, schema)
+        written[name] = write_overwrite(df, path, schema if declared else None)
         return scan_table(spark, path)
 
     exposed = store("silver", "candidates", exposed_candidates(tables, spec))

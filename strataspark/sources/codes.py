@@ -57,6 +57,15 @@ PUBLISHED_AGE_TABLE = {
     "85+": (7.0, 0.89),
     "Total": (100.0, 0.65),
 }
+PUBLISHED_FEMALE_PCT = {
+    "16-19": 64.0, "20-29": 79.8, "30-39": 80.7, "40-49": 80.7, "50-59": 79.3,
+    "60-69": 76.9, "70-79": 74.3, "80-84": 74.2, "85+": 77.7,
+}
+PUBLISHED_SEX_RATIO = {
+    "16-19": 1.77, "20-29": 3.94, "30-39": 3.61, "40-49": 4.18, "50-59": 3.84,
+    "60-69": 3.33, "70-79": 2.89, "80-84": 2.88, "85+": 3.49,
+}
+PUBLISHED_REPLACEMENT_PCT = 0.93
 PUBLISHED_MTX = {
     "16-19": 59.9, "20-29": 60.9, "30-39": 64.7, "40-49": 69.9, "50-59": 73.1,
     "60-69": 70.9, "70-79": 60.4, "80-84": 50.5, "85+": 38.2,
@@ -127,6 +136,14 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
     return spark.createDataFrame(table)
 
 
+def published_by_age() -> dict[str, tuple[float | None, ...]]:
+    """Published share, prevalence, female share and sex ratio by age band."""
+    return {
+        band: (*values, PUBLISHED_FEMALE_PCT.get(band), PUBLISHED_SEX_RATIO.get(band))
+        for band, values in PUBLISHED_AGE_TABLE.items()
+    }
+
+
 def code_set(spark: SparkSession, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """Code lists as rows ``(code_group, code)``."""
     rows = [(group, code) for group, codes in groups.items() for code in codes]

@@ -27,11 +27,28 @@ def scan_derived(df: DataFrame, derived: Mapping[str, Column], where: Column | N
     return kept.select("*", *[expr.alias(name) for name, expr in derived.items()])
 
 
+# Ids that one row of a bounded source unfolds into.
+SOURCE_STRETCH = 100_000
+
+
 def row_source(spark: SparkSession, start: int, end: int) -> DataFrame:
     """Consecutive ids ``start .. end-1`` as rows, generated in parallel."""
     return spark.range(start, end)
 
 
+def row_source_to(bound: DataFrame, last: str) -> DataFrame:
+    """Ids 0 to the value of ``last`` in the one row of ``bound``, dealt out in even stretches.
+
+    The value is never brought to the driver; a null bound gives no rows.
+    """
+    span = F.lit(SOURCE_STRETCH)
+    starts = bound.filter(F.col(last).isNotNull()).select(
+        F.col(last).alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(last).cast("long"), span)).alias("start")
+    )
+    dealt = starts.repartition("start")
+    return dealt.select(F.explode(F.sequence("start", F.least(F.col("start") + span - 1, F.col("last")))).alias("id"))
+
+
 def namespaces(spark: SparkSession, root: str, layers: Sequence[str] = LAYERS, prefix: str = "") -> DataFrame:
     """Create one database per layer under a shared root; returns those present."""
     for layer in layers:
@@ -115,8 +132,13 @@ def localize_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
-def small_collect(df: DataFrame, max_rows: int = 10_000) -> pd.DataFrame:
-    """A finished small table on the driver; a larger one is an error, never cut."""
+def small_collect(df: DataFrame, max_rows: int | None = None) -> pd.DataFrame:
+    """A finished small table on the driver, whole; the caller knows that it is small.
+
+    With ``max_rows`` a larger result is an error, never cut.
+    """
+    if max_rows is None:
+        return df.toPandas()
     rows = df.limit(max_rows + 1).toPandas()
     if len(rows) > max_rows:
         raise ValueError(f"result has more than {max_rows} rows; aggregate it on the cluster first")

@@ -64,15 +64,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     base, visits = _base(spark, sf), plans.checkup_base(star.checkups(spark, sf))
-    parts = [
-        ("hba1c", da.histogram(base, "hba1c", 0.5)),
-        ("bmi", da.histogram(base, "bmi", 2)),
-        ("age", plans.age_histogram(visits)),
-    ]
-    first, *rest = [df.select(F.lit(name).alias("measure"), "bin", "n") for name, df in parts]
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+    ages = plans.age_histogram(visits).select(F.lit("age").alias("measure"), "bin", "n")
+    return da.histograms(base, {"hba1c": 0.5, "bmi": 2}).unionByName(ages)
 
 
 @query("dash_scatter", with_("aged_visits") + "SELECT weight, height FROM aged_visits")

@@ -34,7 +34,7 @@ def _(spark, sf):
 def _(spark, sf):
     orders = star.read(spark, sf, "orders").select("o_custkey", "o_orderkey")
     n = (1 + F.col("o_custkey") % 4).cast("int")
-    return pick_n_per_key(orders, "o_custkey", "o_orderkey", "pick", n, at_most=4)
+    return pick_n_per_key(orders, "o_custkey", "o_orderkey", "pick", n)
 
 
 @query(

@@ -11,8 +11,7 @@ from strataspark.sources import star
 from strataspark.suite.registry import query
 from strataspark.suite.sql import masked, uniform, with_
 
-# Fixed weights of the examples.
-YEAR_WEIGHTS = {"2015": 12, "2016": 16, "2017": 20, "2018": 24, "2019": 28}
+SHELF_WEIGHTS = {"front": 5, "middle": 3, "back": 2}
 
 
 @query("keyed_uniform", f"SELECT o_orderkey, {uniform('o_orderkey', 'salt1')} AS u FROM orders")
@@ -24,14 +23,13 @@ def _(spark, sf):
 
 @query(
     "weighted_bucket",
-    f"""SELECT o_orderkey, CASE WHEN u < 0.12 THEN '2015' WHEN u < 0.28 THEN '2016' WHEN u < 0.48 THEN '2017'
-          WHEN u < 0.72 THEN '2018' ELSE '2019' END AS year_label
-        FROM (SELECT o_orderkey, {uniform('o_orderkey', 'year')} AS u FROM orders) x""",
+    f"""SELECT o_orderkey, CASE WHEN u < 0.5 THEN 'front' WHEN u < 0.8 THEN 'middle' ELSE 'back' END AS shelf
+        FROM (SELECT o_orderkey, {uniform('o_orderkey', 'shelf')} AS u FROM orders) x""",
 )
 def _(spark, sf):
-    draw = hashing.keyed_uniform(F.col("o_orderkey"), "year")
+    draw = hashing.keyed_uniform(F.col("o_orderkey"), "shelf")
     return star.read(spark, sf, "orders").select(
-        "o_orderkey", hashing.weighted_bucket(draw, YEAR_WEIGHTS).alias("year_label")
+        "o_orderkey", hashing.weighted_bucket(draw, SHELF_WEIGHTS).alias("shelf")
     )
 
 
@@ -86,11 +84,11 @@ def _(spark, sf):
 @query(
     "assign_by_rule",
     with_("patients")
-    + f"""SELECT common_key, age, CASE WHEN age >= 75 THEN 'late elderly'
-            WHEN {uniform('common_key', 'insurer')} < 0.6 THEN 'employee' ELSE 'national' END AS insurer_type FROM patients""",
+    + f"""SELECT common_key, age, CASE WHEN age >= 50 THEN 'reviewed'
+            WHEN {uniform('common_key', 'arm')} < 0.25 THEN 'treated' ELSE 'control' END AS arm FROM patients""",
 )
 def _(spark, sf):
-    tier = hashing.assign_by_rule(
-        F.col("age") >= 75, "late elderly", F.col("common_key"), "insurer", {"employee": 0.6, "national": 0.4}
+    arm = hashing.assign_by_rule(
+        F.col("age") >= 50, "reviewed", F.col("common_key"), "arm", {"treated": 0.25, "control": 0.75}
     )
-    return star.patients(spark, sf).select("common_key", "age", tier.alias("insurer_type"))
+    return star.patients(spark, sf).select("common_key", "age", arm.alias("arm"))

@@ -225,39 +225,38 @@ def _(spark, sf):
 @query(
     "additive_score",
     with_("chronic")
-    + """SELECT patient_id, round(s, 6) AS risk, s > 0.045 AS high FROM (SELECT patient_id, CAST(0.01 AS DOUBLE)
-         + CAST(CASE WHEN age >= 80 THEN 0.03 WHEN age >= 70 THEN 0.02 WHEN age >= 60 THEN 0.01 ELSE 0 END AS DOUBLE)
-         + CAST(CASE WHEN has_hypertension THEN 0.015 ELSE 0 END AS DOUBLE)
-         + CAST(CASE WHEN has_ckd THEN 0.02 ELSE 0 END AS DOUBLE) AS s FROM chronic) x""",
+    + """SELECT patient_id, round(s, 6) AS risk, s > 2.75 AS high FROM (SELECT patient_id, CAST(0.5 AS DOUBLE)
+         + CAST(CASE WHEN age >= 75 THEN 2 WHEN age >= 55 THEN 1 ELSE 0 END AS DOUBLE)
+         + CAST(CASE WHEN has_hypertension THEN 0.75 ELSE 0 END AS DOUBLE)
+         + CAST(CASE WHEN has_ckd THEN 1.25 ELSE 0 END AS DOUBLE) AS s FROM chronic) x""",
 )
 def _(spark, sf):
     age = F.col("age")
     score = scalar.additive_score(
-        0.01,
+        0.5,
         [
-            (age >= 80, 0.03),
-            ((age >= 70) & (age < 80), 0.02),
-            ((age >= 60) & (age < 70), 0.01),
-            (F.col("has_hypertension"), 0.015),
-            (F.col("has_ckd"), 0.02),
+            (age >= 75, 2.0),
+            ((age >= 55) & (age < 75), 1.0),
+            (F.col("has_hypertension"), 0.75),
+            (F.col("has_ckd"), 1.25),
         ],
     )
     return star.chronic_cohort(spark, sf).select(
-        "patient_id", F.round(score, 6).alias("risk"), (score > 0.045).alias("high")
+        "patient_id", F.round(score, 6).alias("risk"), (score > 2.75).alias("high")
     )
 
 
 @query(
     "case_by_operand",
-    """SELECT o_orderkey, CAST(trunc(CASE year(o_orderdate) WHEN 1995 THEN 36 + f * 24 WHEN 1996 THEN 30 + f * 24
-         WHEN 1997 THEN 24 + f * 20 WHEN 1998 THEN 12 + f * 20 ELSE 6 + f * 12 END) AS INTEGER) AS planned_months
-       FROM (SELECT *, o_totalprice / 500000 AS f FROM orders) x""",
+    """SELECT o_orderkey, CAST(trunc(CASE quarter(o_orderdate) WHEN 1 THEN 10 + f * 8 WHEN 2 THEN 20 + f * 4
+         WHEN 3 THEN 15 + f * 16 ELSE 5 + f * 2 END) AS INTEGER) AS planned_days
+       FROM (SELECT *, o_totalprice / 100000 AS f FROM orders) x""",
 )
 def _(spark, sf):
-    f = F.col("o_totalprice") / 500000
-    arms = {1995: 36 + f * 24, 1996: 30 + f * 24, 1997: 24 + f * 20, 1998: 12 + f * 20}
+    f = F.col("o_totalprice") / 100000
+    arms = {1: 10 + f * 8, 2: 20 + f * 4, 3: 15 + f * 16}
     return star.read(spark, sf, "orders").select(
-        "o_orderkey", scalar.case_by_operand(F.year("o_orderdate"), arms, 6 + f * 12).alias("planned_months")
+        "o_orderkey", scalar.case_by_operand(F.quarter("o_orderdate"), arms, 5 + f * 2).alias("planned_days")
     )
 
 
@@ -290,12 +289,14 @@ def _(spark, sf):
 
 @query(
     "array_pick",
-    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'M050' WHEN 1 THEN 'M051' WHEN 2 THEN 'M052' WHEN 3 THEN 'M053'
-         WHEN 4 THEN 'M058' END AS code FROM orders""",
+    f"SELECT o_orderkey, CASE o_orderkey % {len(codes.DIAGNOSIS_CODES)} "
+    + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(codes.DIAGNOSIS_CODES))
+    + " END AS code FROM orders",
 )
 def _(spark, sf):
     return star.read(spark, sf, "orders").select(
-        "o_orderkey", scalar.array_pick(codes.DIAGNOSIS_CODES[:5], (F.col("o_orderkey") % 6).cast("int")).alias("code")
+        "o_orderkey",
+        scalar.array_pick(codes.DIAGNOSIS_CODES, (F.col("o_orderkey") % len(codes.DIAGNOSIS_CODES)).cast("int")).alias("code"),
     )
 
 

@@ -8,7 +8,7 @@ from strataspark.functions.stats import Z_95
 from strataspark.plans import claims, survival_study
 from strataspark.session import scratch_path
 from strataspark.sources import star, tables
-from strataspark.sources.codes import AGE_LABELS
+from strataspark.sources.codes import AGE_LABELS, PUBLISHED_SUMMARY
 from strataspark.suite.binding import STAR_SPEC, star_claims
 from strataspark.suite.registry import query
 from strataspark.suite.sql import erfc_tail, ordinal, with_
@@ -23,17 +23,21 @@ _PROC_PCT = ", ".join(f"round(avg({f}) * 100, 2) AS {f}" for f in _PROC)
     with_("master")
     + f""", rows_ AS (SELECT age_group, COUNT(*) AS n, {_PROC_PCT} FROM master GROUP BY age_group
           UNION ALL SELECT 'Total', COUNT(*), {_PROC_PCT} FROM master)
-        SELECT *, {ordinal('age_group', AGE_LABELS)} AS sort_key, (SELECT COUNT(*) FROM master) AS cohort_rows FROM rows_""",
+        SELECT *, {ordinal('age_group', AGE_LABELS)} AS sort_key, (SELECT COUNT(*) FROM master) AS cohort_rows,
+          (SELECT COUNT(*) FROM rows_) AS age_rows, (SELECT COUNT(*) FROM rows_) AS medication_rows,
+          CAST({len(STAR_SPEC.definitions)} AS BIGINT) AS definition_rows, CAST({len(PUBLISHED_SUMMARY)} AS BIGINT) AS summary_rows
+        FROM rows_""",
 )
 def _(spark, sf):
-    """Store the candidates and the cohort, then build the procedure table from the stored files."""
+    """Store all silver and gold tables, then read the procedure table back beside the rows of the others."""
     path = scratch_path(spark, "claims_study")
-    bronze = star_claims(spark, sf)
-    tables.write_overwrite(claims.exposed_candidates(bronze, STAR_SPEC), f"{path}/silver/candidates")
-    exposed = tables.scan_table(spark, f"{path}/silver/candidates")
-    written = tables.write_overwrite(claims.master(bronze, STAR_SPEC, exposed), f"{path}/silver/cohort")
-    cohort = tables.scan_table(spark, f"{path}/silver/cohort")
-    return claims.procedure_usage(cohort, STAR_SPEC).withColumn("cohort_rows", F.lit(written).cast("long"))
+    written = claims.run(star_claims(spark, sf), STAR_SPEC, path, declared=False)
+    sizes = {
+        "cohort_rows": "cohort", "age_rows": "age_distribution", "medication_rows": "medication_usage",
+        "definition_rows": "definitions_summary", "summary_rows": "summary",
+    }
+    stored = tables.scan_table(spark, f"{path}/gold/procedure_usage")
+    return stored.withColumns({name: F.lit(written[table]).cast("long") for name, table in sizes.items()})
 
 
 _COHORT = ", cohort AS (SELECT *, follow_up_months AS months, CAST(cv_event_occurred AS INTEGER) AS event FROM analysis)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,13 +59,17 @@ def _(spark, sf):
 @query(
     "reference_values",
     with_("patients")
-    + "SELECT p.age_group, p.n, r.pct AS paper_pct, r.prev AS paper_prevalence FROM "
+    + "SELECT p.age_group, p.n, r.pct AS paper_pct, r.prev AS paper_prevalence, r.female AS paper_female_pct, r.ratio AS paper_fm_ratio FROM "
     + "(SELECT age_group, COUNT(*) AS n FROM patients GROUP BY age_group) p LEFT JOIN (VALUES "
-    + ", ".join(f"('{k}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (a, b) in codes.PUBLISHED_AGE_TABLE.items())
-    + ") r(age_group, pct, prev) ON p.age_group = r.age_group",
+    + ", ".join(
+        "('{}', {})".format(k, ", ".join("NULL" if v is None else f"CAST({v} AS DOUBLE)" for v in values))
+        for k, values in codes.published_by_age().items()
+    )
+    + ") r(age_group, pct, prev, female, ratio) ON p.age_group = r.age_group",
 )
 def _(spark, sf):
-    published = codes.reference_values(spark, codes.PUBLISHED_AGE_TABLE, "age_group", ["paper_pct", "paper_prevalence"])
+    names = ["paper_pct", "paper_prevalence", "paper_female_pct", "paper_fm_ratio"]
+    published = codes.reference_values(spark, codes.published_by_age(), "age_group", names)
     counted = star.patients(spark, sf).groupBy("age_group").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(published, "age_group", "left")
 
@@ -75,10 +81,10 @@ def _(spark, sf):
        LEFT JOIN orders ON o_custkey = s.id GROUP BY s.id""",
 )
 def _(spark, sf):
-    # One number reaches the driver: the end of the range.
-    last = star.read(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    # The end of the range stays inside the plan; an empty table gives no rows.
+    last = star.read(spark, sf, "customer").agg(F.max("c_custkey").alias("last"))
     counted = star.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n_orders"))
-    return tables.row_source(spark, 0, last + 1).join(counted, "id", "left").fillna(0, ["n_orders"])
+    return tables.row_source_to(last, "last").join(counted, "id", "left").fillna(0, ["n_orders"])
 
 
 @query(
@@ -147,11 +153,14 @@ def _(spark, sf):
     + """SELECT p.age_group, COUNT(*) AS n_claims FROM receipts r JOIN patients p USING (common_key) GROUP BY p.age_group""",
 )
 def _(spark, sf):
-    tables.named_stage(star.receipts(spark, sf), "stage_receipts")
-    tables.named_stage(star.patients(spark, sf), "stage_patients")
+    # Names of their own: views of another folder in the same session stay as they are.
+    own = uuid.uuid4().hex
+    receipts, patients = f"stage_receipts_{own}", f"stage_patients_{own}"
+    tables.named_stage(star.receipts(spark, sf), receipts)
+    tables.named_stage(star.patients(spark, sf), patients)
     return spark.sql(
-        """SELECT p.age_group, COUNT(*) AS n_claims FROM stage_receipts r
-           JOIN stage_patients p ON r.common_key = p.common_key GROUP BY p.age_group"""
+        f"""SELECT p.age_group, COUNT(*) AS n_claims FROM {receipts} r
+            JOIN {patients} p ON r.common_key = p.common_key GROUP BY p.age_group"""
     )
 
 
@@ -204,8 +213,11 @@ def _(spark, sf):
 @query("small_collect", "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority")
 def _(spark, sf):
     counted = star.read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    small = tables.small_collect(counted, max_rows=1000)
-    return spark.createDataFrame(small, "o_orderpriority string, n long")
+    # One row per priority reaches the driver, and goes back as literals.
+    small = tables.small_collect(counted)
+    rows = [F.struct(F.lit(p).alias("o_orderpriority"), F.lit(int(n)).cast("long").alias("n")) for p, n in small.itertuples(index=False)]
+    none = F.expr("cast(array() as array<struct<o_orderpriority:string,n:bigint>>)")
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else none))
 
 
 @query(

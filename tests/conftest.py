@@ -11,11 +11,18 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from strataspark.session import build_session
 
     session = build_session(
-        "tests", "local[*]", 8, {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+        "tests",
+        "local[*]",
+        8,
+        {
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -12,24 +12,26 @@ def skewed(spark):
     )
 
 
-def test_three_ways_pick_the_same_rows(skewed, rows):
+def test_number_and_column_pick_the_same_rows(skewed, rows):
     fixed = rows(sa.pick_n_per_key(skewed, "k", "id", "s", 4))
     assert rows(sa.pick_n_per_key(skewed, "k", "id", "s", F.lit(4))) == fixed
-    assert rows(sa.pick_n_per_key(skewed, "k", "id", "s", F.lit(4), at_most=9)) == fixed
 
 
-def test_per_key_n(skewed, rows):
-    n = F.col("k") % 3
-    bounded = sa.pick_n_per_key(skewed, "k", "id", "s", n, at_most=2)
-    assert rows(sa.pick_n_per_key(skewed, "k", "id", "s", n)) == rows(bounded)
-    assert {(r["k"], r["n"]) for r in bounded.groupBy("k").agg(F.count("*").alias("n")).collect()} == {
+def test_per_key_n(skewed):
+    picked = sa.pick_n_per_key(skewed, "k", "id", "s", F.col("k") % 3)
+    assert {(r["k"], r["n"]) for r in picked.groupBy("k").agg(F.count("*").alias("n")).collect()} == {
         (k, k % 3) for k in range(50) if k % 3
     }
 
 
-def test_bound_that_is_too_small_fails(skewed):
-    with pytest.raises(Exception, match="rows per key"):
-        sa.pick_n_per_key(skewed, "k", "id", "s", F.lit(5), at_most=3).collect()
+@pytest.mark.parametrize("n", [1, 900, 1001, 5000])
+def test_any_n_is_salted_and_right(skewed, n):
+    picked = sa.pick_n_per_key(skewed, "k", "id", "s", n)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(k") == 2 and "__part" in plan
+    sizes = {r["k"]: r["count"] for r in skewed.groupBy("k").count().collect()}
+    got = {r["k"]: r["count"] for r in picked.groupBy("k").count().collect()}
+    assert got == {k: min(n, size) for k, size in sizes.items()}
 
 
 def test_sample_does_not_depend_on_partitions(skewed, rows):

@@ -45,7 +45,16 @@ def test_conform_orders_casts_and_refuses(spark):
         schemas.conform(df.drop("prevalence_pct"), schemas.SILVER["definitions_summary"])
 
 
+def test_row_source_to(spark):
+    bound = spark.createDataFrame([(250_000,)], "last long")
+    ids = tables.row_source_to(bound, "last")
+    assert ids.count() == ids.distinct().count() == 250_001 and ids.agg({"id": "max"}).first()[0] == 250_000
+    assert tables.row_source_to(spark.createDataFrame([(None,)], "last long"), "last").count() == 0
+    assert tables.row_source_to(spark.createDataFrame([(0,)], "last long"), "last").count() == 1
+
+
 def test_small_collect_refuses_instead_of_cutting(spark):
+    assert len(tables.small_collect(spark.range(20_000))) == 20_000
     assert len(tables.small_collect(spark.range(5), 5)) == 5
     with pytest.raises(ValueError, match="more than 5"):
         tables.small_collect(spark.range(6), 5)
