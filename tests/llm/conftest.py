@@ -5,12 +5,6 @@ import pytest
 from llm_rows import SCHEMA, awkward_rows
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 @pytest.fixture
 def awkward(spark):
     return spark.createDataFrame(awkward_rows(), SCHEMA)
