@@ -13,12 +13,11 @@ those that are unique and settling those past the threshold:
 
 1. the bytes all of these strings share (half the length): unique, none repeats;
 2. all the bytes they cover (one and a half lengths): repeated, all repeat;
-3. the same two tests for blocks of 16 offsets;
-4. for blocks still open, each string by itself: its rank is the pair of
-   (offset, content).
+3. the same two tests for blocks of a fourth of the offsets, of a sixteenth
+   and so on, down to each string by itself.
 
-A rank is a 128-bit digest of the content (the first filter uses 64 bits and
-only lets more through); equal digests meet by partial aggregation, so a
+What all strings of a block repeat is told by 128-bit digests, what none can
+repeat by 64-bit ones, which only let more through; equal digests meet by partial aggregation, so a
 passage in a third of all texts is one row per task.  Texts that are equal as
 a whole are known by digest, count once as partners and go whole.
 
@@ -35,12 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm.common import map_texts, need_columns, stored, text_of
+from strataspark.session import scratch_path
 
 LENGTH = 400
 SEED_BYTES = 16
-# Offsets of an anchor in the strings it stands for: LENGTH / 2 + 1 of them.
-OFFSETS = 201
-BLOCK = 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -55,10 +52,10 @@ class Shape:
         reach = self.offsets + SEED_BYTES - 1
         self.least = (length - reach) // 2
         self.most = self.least + self.offsets - 1
-
-    def blocks(self) -> list[tuple[int, int]]:
-        """(least offset, greatest offset) of each block."""
-        return [(j, min(j + BLOCK - 1, self.most)) for j in range(self.least, self.most + 1, BLOCK)]
+        # Blocks of offsets shrink fourfold from all of them down to one.
+        self.sizes = [self.offsets]
+        while self.sizes[-1] > 1:
+            self.sizes.append(-(-self.sizes[-1] // 4))
 
     def shared(self, anchor: int, low: int, high: int) -> tuple[int, int]:
         """Bytes that all strings with the anchor at offsets low..high have in common."""
@@ -81,18 +78,24 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 def anchors(data: bytes, shape: Shape) -> np.ndarray:
     """Positions whose seed hash is the least of some ``shape.offsets`` neighbouring seeds."""
-    n = len(data) - SEED_BYTES + 1
     if len(data) < shape.length:
         return np.empty(0, np.int64)
+    h = _seeds(data)
+    least = _sliding(h, shape.offsets, np.minimum)
+    edge = np.zeros(shape.offsets - 1, np.uint64)
+    chosen = _sliding(np.concatenate([edge, least, edge]), shape.offsets, np.maximum)
+    return np.flatnonzero(h == chosen)
+
+
+def _seeds(data: bytes) -> np.ndarray:
+    """A hash of the seed that starts at each byte."""
+    n = len(data) - SEED_BYTES + 1
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     h = words[:n] * _MULTIPLIERS[0] ^ words[8 : 8 + n] * _MULTIPLIERS[1]
     h ^= h >> np.uint64(29)
     h *= _MULTIPLIERS[2]
     h ^= h >> np.uint64(32)
-    least = _sliding(h, shape.offsets, np.minimum)
-    edge = np.zeros(shape.offsets - 1, np.uint64)
-    chosen = _sliding(np.concatenate([edge, least, edge]), shape.offsets, np.maximum)
-    return np.flatnonzero(h == chosen)
+    return h
 
 
 def _sampled(texts: DataFrame, shape: Shape) -> DataFrame:
@@ -126,118 +129,149 @@ def _repeated(rows: DataFrame, rank: str, place: Column) -> DataFrame:
     return seen.filter("a <> b").select(rank)
 
 
-def _ranked(parts: DataFrame, shape: Shape, level: str) -> DataFrame:
-    """Digests for anchors of texts: per anchor, per block or per string.
+def _own_offsets(data: bytes, places: list[int], shape: Shape) -> list[tuple[int, int]]:
+    """Least and greatest offset of each anchor in the strings whose middle it is the least seed of.
 
-    ``parts`` has text_id, text and what to look at: ``places`` (level
-    ``anchor`` and ``block``) or ``opened``, pairs of place and block (level ``string``).
+    Every string is seen at the anchor that is least in its own middle, so the others may leave it out.
+    """
+    h = _seeds(data)
+    least = _sliding(h, shape.offsets, np.minimum)
+    out = []
+    for a in places:
+        first = max(0, a - shape.offsets + 1)
+        at = np.flatnonzero(least[first : a + 1] == h[a])
+        out.append((a - first - int(at[-1]) + shape.least, a - first - int(at[0]) + shape.least))
+    return out
+
+
+def _ranked(texts: DataFrame, opened: DataFrame, shape: Shape, level: int) -> DataFrame:
+    """Stored ranks of the blocks that the open ranges of offsets fall into.
+
+    ``opened`` has text_row, place, low and high.  Texts lie in buckets by
+    text_row, so only the ranges move.
     """
     import xxhash
 
-    digest = xxhash.xxh3_128_digest
-    blocks = shape.blocks()
-
-    def rows_of(data: bytes, opened) -> list[tuple]:
-        out = []
-
-        def put(a: int, block: int, low: int, high: int, seed: int) -> None:
-            start, end = shape.shared(a, low, high)
-            if start < 0 or end > len(data):
-                return  # then no string of these offsets lies in the text
-            shared = digest(data[start:end], seed)
-            start, end = shape.covered(a, low, high)
-            whole = digest(data[start:end], seed) if start >= 0 and end <= len(data) else None
-            out.append((a, block, low, high, shared, whole))
-
-        for item in opened:
-            if level == "anchor":
-                put(item, -1, shape.least, shape.most, 0)
-            elif level == "block":
-                for k, (low, high) in enumerate(blocks):
-                    put(item, k, low, high, k + 1)
-            else:
-                a, k = item["place"], item["block"]
-                for j in range(blocks[k][0], blocks[k][1] + 1):
-                    put(a, k, j, j, 1000 + j)
-        return out
+    short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+    size = shape.sizes[level]
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, rows = [], []
-        for text_id, opened, text in zip(*(c.to_pylist() for c in piece.columns)):
-            made = rows_of(text.encode(), opened)
-            ids += [text_id] * len(made)
-            rows += made
+        for text_row, ranges, text in zip(*(c.to_pylist() for c in piece.columns)):
+            data, before = text.encode(), len(rows)
+            own = _own_offsets(data, [r["place"] for r in ranges], shape) if level else [(shape.least, shape.most)] * len(ranges)
+            for r, (least, most) in zip(ranges, own):
+                a = r["place"]
+                for low in range(r["low"], r["high"] + 1, size):
+                    high = min(low + size - 1, r["high"])
+                    if high < least or low > most:
+                        continue
+                    start, end = shape.shared(a, low, high)
+                    if start < 0 or end > len(data):
+                        continue  # then no string of these offsets lies in the text
+                    shared = short(data[start:end], low)
+                    start, end = shape.covered(a, low, high)
+                    inside = start >= 0 and end <= len(data)
+                    rows.append((a, low, high, shared - (1 << 63), long(data[start:end], low) if inside else None))
+            ids += [text_row] * (len(rows) - before)
         if not rows:
             return None
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary()]
         made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *made], names=["text_id", "place", "block", "low", "high", "shared", "whole"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *made], names=["text_row", "place", "low", "high", "shared", "whole"])
 
-    opened = "opened" if level == "string" else "places"
-    schema = "text_id binary, place int, block int, low int, high int, shared binary, whole binary"
-    return map_texts(parts.select("text_id", opened, "text"), run, schema, limit=256 << 10)
+    ranges = opened.groupBy("text_row").agg(F.collect_list(F.struct("place", "low", "high")).alias("ranges"))
+    joined = texts.join(ranges, "text_row").select("text_row", "ranges", "text")
+    schema = "text_row long, place int, low short, high short, shared long, whole binary"
+    return stored(map_texts(joined, run, schema, limit=512 << 10), f"rank_{level}")
 
 
-def _judged(ranks: DataFrame) -> DataFrame:
-    """``ranks`` with ``all_repeat`` (every string repeats) and ``open`` (some may); settled negatives are gone."""
-    place = F.xxhash64("text_id", "place", "low")
-    some = _repeated(ranks, "shared", place)
-    every = _repeated(ranks, "whole", place).withColumn("all_repeat", F.lit(True))
-    left = ranks.join(some, "shared", "left_semi").join(every, "whole", "left")
-    return left.withColumn("all_repeat", F.coalesce("all_repeat", F.lit(False)))
+def _judged(ranks: DataFrame, level: int) -> DataFrame:
+    """``ranks`` with ``all_repeat`` (every string repeats); blocks in which none can repeat are gone."""
+    some = _repeated(ranks, "shared", F.xxhash64("text_row", "place"))
+    left = ranks.join(some, "shared", "left_semi")
+    every = _repeated(left, "whole", F.xxhash64("text_row", "place")).withColumn("all_repeat", F.lit(True))
+    judged = left.join(every, "whole", "left").withColumn("all_repeat", F.coalesce("all_repeat", F.lit(False)))
+    return stored(judged, f"judged_{level}")
 
 
-def _partners(judged: DataFrame) -> DataFrame:
-    """Anchors (or blocks) to look at more closely: open ones, and one of each settled content that shares a rank with them."""
+def _opened(judged: DataFrame) -> DataFrame:
+    """Blocks to look at more closely: open ones, and one of each settled content that shares a rank with them."""
     open_ = judged.filter("NOT all_repeat")
-    settled = judged.filter("all_repeat").groupBy("shared", "whole").agg(F.min(F.struct("text_id", "place", "block")).alias("one"))
-    beside = settled.join(open_.select("shared").distinct(), "shared", "left_semi").select("one.text_id", "one.place", "one.block")
-    return open_.select("text_id", "place", "block").unionByName(beside).distinct()
+    settled = judged.filter("all_repeat").join(open_.select("shared").distinct(), "shared", "left_semi")
+    one = settled.groupBy("shared", "whole").agg(F.min(F.struct("text_row", "place", "low", "high")).alias("one")).select("one.*")
+    return open_.select("text_row", "place", "low", "high").unionByName(one)
+
+
+def _bucketed(texts: DataFrame, key: str) -> DataFrame:
+    """Store a table in buckets by ``key`` below the shared folder, so that joins on it do not move it again."""
+    spark = texts.sparkSession
+    path = scratch_path(spark, "texts")
+    name = "texts_" + path.rsplit("-", 1)[1]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def cuts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(rows, cut texts): every row's doc_id, text_id, n_bytes, sha256 and ``copied``; and spans and kept bytes by text_id.
+    """(rows, cut texts): every row's doc_id, text_row, n_bytes, sha256 and ``copied``; and spans and kept bytes by text_row.
 
+    ``text_row`` stands for the text: the number of one row that has it.
     ``copied`` rows of at least ``length`` bytes are equal to another row and
     go whole; they have no entry among the cut texts.
     """
     need_columns(docs, "doc_id", "text")
     shape = Shape(length)
     texts = docs.select("doc_id", F.unhex(F.md5(text_of().cast("binary"))).alias("text_id"), text_of().alias("text"))
+    # Row numbers are drawn once: the sample is stored.
     sampled = stored(
         _sampled(
             texts.select(
-                "doc_id", "text_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "text"
+                F.monotonically_increasing_id().alias("row"),
+                "doc_id",
+                "text_id",
+                F.octet_length("text").cast("long").alias("n_bytes"),
+                F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
+                "text",
             ),
             shape,
         ),
         "anchors",
     )
-    copies = sampled.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    rows = sampled.select("doc_id", "text_id", "n_bytes", "sha256")
-
-    unfolded = sampled.select("text_id", F.explode(F.arrays_zip("places", "cores")).alias("e")).select("text_id", "e.places", "e.cores")
-    again = _repeated(unfolded, "cores", F.xxhash64("text_id", "places"))
-    kept = unfolded.join(again, "cores", "left_semi").groupBy("text_id").agg(F.collect_set("places").alias("places"))
-    wanted = kept.join(copies, "text_id").select("text_id", "least", "n", "places")
-    # One row stands for each text; (text, id) deals the texts out evenly.
-    standing = wanted.withColumnRenamed("text_id", "_id").hint("shuffle_hash")
-    repeated = stored(
-        texts.join(standing, (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("text_id", "n", "places", "text"),
-        "repeats",
+    standing = sampled.groupBy("text_id").agg(
+        F.min(F.struct("row", "doc_id")).alias("first"), F.count(F.lit(1)).alias("n")
+    ).select("text_id", F.col("first.row").alias("text_row"), F.col("first.doc_id").alias("first_id"), "n")
+    standing = stored(standing, "standing")
+    rows = sampled.select("doc_id", "text_id", "n_bytes", "sha256").join(
+        standing.select("text_id", "text_row", (F.col("n") > 1).alias("copied")), "text_id"
+    ).drop("text_id")
+
+    of_texts = sampled.select("row", "places", "cores").join(standing.select(F.col("text_row").alias("row")), "row", "left_semi")
+    unfolded = of_texts.select("row", F.explode(F.arrays_zip("places", "cores")).alias("e")).select("row", "e.places", "e.cores")
+    again = _repeated(unfolded, "cores", F.xxhash64("row", "places"))
+    kept = stored(
+        unfolded.join(again, "cores", "left_semi").select(
+            F.col("row").alias("text_row"),
+            F.col("places").alias("place"),
+            F.lit(shape.least).cast("short").alias("low"),
+            F.lit(shape.most).cast("short").alias("high"),
+        ),
+        "repeated_anchors",
     )
-
-    first = stored(_judged(_ranked(repeated, shape, "anchor")), "rank_anchor")
-    closer = _partners(first).groupBy("text_id").agg(F.collect_set("place").alias("places"))
-    second = stored(_judged(_ranked(repeated.drop("places").join(closer, "text_id"), shape, "block")), "rank_block")
-    opened = _partners(second).groupBy("text_id").agg(F.collect_set(F.struct("place", "block")).alias("opened"))
-    third = _judged(_ranked(repeated.drop("places").join(opened, "text_id"), shape, "string"))
-
-    settled = [level.filter("all_repeat").select("text_id", "place", "low", "high") for level in (first, second, third)]
-    spans = settled[0].unionByName(settled[1]).unionByName(settled[2])
+    # One row stands for each text; (text, id) deals the texts out evenly.
+    wanted = kept.select("text_row").distinct().join(standing, "text_row").withColumnRenamed("text_id", "_id").hint("shuffle_hash")
+    repeated = texts.join(wanted, (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    bucketed = _bucketed(repeated.select("text_row", "n", "text"), "text_row")
+
+    spans, opened = None, kept
+    for level in range(len(shape.sizes)):
+        judged = _judged(_ranked(bucketed, opened, shape, level), level)
+        settled = judged.filter("all_repeat").select("text_row", "place", "low", "high")
+        spans = settled if spans is None else spans.unionByName(settled)
+        opened = _opened(judged)
     # Strings of one anchor overlap, so the offsets' extremes give their union.
-    per_anchor = spans.groupBy("text_id", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    per_text = per_anchor.groupBy("text_id").agg(
+    per_anchor = spans.groupBy("text_row", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    per_text = per_anchor.groupBy("text_row").agg(
         F.collect_list(F.struct((F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))).alias("spans")
     )
 
@@ -255,26 +289,24 @@ def cuts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
             out_spans.append([{"start": a, "end": b} for a, b in merged])
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         made = [pa.array(out_spans, pa.list_(span)), pa.array(kept_bytes, pa.binary())]
-        return pa.RecordBatch.from_arrays([piece.column(0), *made], names=["text_id", "spans", "kept"])
+        return pa.RecordBatch.from_arrays([piece.column(0), *made], names=["text_row", "spans", "kept"])
 
-    # A repeated row stands twice; its text is cut once.
-    own = repeated.filter(F.col("n") == 1).select("text_id", "text").join(per_text, "text_id").select("text_id", "spans", "text")
-    cut_texts = map_texts(own, cut, "text_id binary, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    copied = copies.select("text_id", (F.col("n") > 1).alias("copied"))
-    return rows.join(copied, "text_id"), cut_texts
+    own = bucketed.filter(F.col("n") == 1).join(per_text, "text_row").select("text_row", "spans", "text")
+    cut_texts = map_texts(own, cut, "text_row long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return rows, cut_texts
 
 
 def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is kept."""
     rows, cut_texts = cuts(docs, length)
     measured = cut_texts.select(
-        "text_id",
+        "text_row",
         F.size("spans").cast("long").alias("spans"),
         F.octet_length("kept").cast("long").alias("left"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
     gone = F.col("copied") & (F.col("n_bytes") >= length)
-    joined = rows.join(measured, "text_id", "left")
+    joined = rows.join(stored(measured, "cuts"), "text_row", "left")
     return joined.select(
         "doc_id",
         "n_bytes",
