@@ -88,14 +88,15 @@ def members(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
     return co.cohort_by_exposure(candidates(tables, spec), exposure(tables, spec), spec.min_months)
 
 
-def exposed_candidates(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
+def exposed_candidates(tables: ClaimsTables, spec: CohortSpec, people: DataFrame | None = None) -> DataFrame:
     """Every candidate with exposure months and drug flags, one row per person.
 
     One pass over the diagnosis facts and one over the medication facts; each
     definition of the cohort is a filter on the result.  Only the candidates'
-    medication facts are aggregated.
+    medication facts are aggregated, so ``people``, the candidates, are used
+    twice: give them when they are already stored.
     """
-    people = candidates(tables, spec)
+    people = candidates(tables, spec) if people is None else people
     drugs = co.flags_and_months(
         tables.medication, tables.receipts, spec.drug_groups, spec.exposure_codes, members=people
     )
@@ -196,7 +197,9 @@ def run(tables: ClaimsTables, spec: CohortSpec, target: str, declared: bool = Tr
         written[name] = write_overwrite(df, path, schema if declared else None)
         return scan_table(spark, path)
 
-    exposed = store("silver", "candidates", exposed_candidates(tables, spec))
+    keys = f"{target}/silver/candidate_keys"
+    write_overwrite(candidates(tables, spec), keys)
+    exposed = store("silver", "candidates", exposed_candidates(tables, spec, scan_table(spark, keys)))
     cohort = store("silver", "cohort", master(tables, spec, exposed), SILVER["cohort"])
     store("silver", "definitions_summary", definitions(tables, spec, exposed), SILVER["definitions_summary"])
     published = codes.reference_values(
