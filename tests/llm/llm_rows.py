@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,3 +33,13 @@ def awkward_rows():
         (10, "ab ab ab ab ab ab " * 20, "en", "d", 7),
         (11, prose[4] + "\u2028" + prose[5], "en", "d", 7),
     ]
+
+
+@pytest.fixture
+def awkward(spark):
+    return spark.createDataFrame(awkward_rows(), SCHEMA)
+
+
+@pytest.fixture
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from llm_rows import awkward_rows
+from llm_rows import awkward, awkward_rows, nothing  # noqa: F401
 from strataspark.llm import decontaminate
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

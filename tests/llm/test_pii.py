@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from llm_rows import awkward_rows
+from llm_rows import awkward, awkward_rows, nothing  # noqa: F401
 from strataspark.llm import pii
 
 PLAIN = {

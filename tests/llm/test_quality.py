@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from strataspark.llm import quality
-from llm_rows import WORD, awkward_rows
+from llm_rows import WORD, awkward, awkward_rows, nothing  # noqa: F401
 
 
 def brute(text):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm import simhash
 from strataspark.llm.components import components
-from llm_rows import awkward_rows
+from llm_rows import awkward, awkward_rows, nothing  # noqa: F401
 
 
 def brute_print(text, width=4):

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from strataspark.llm import tokens
 from strataspark.session import scratch_path
-from llm_rows import awkward_rows
+from llm_rows import awkward, awkward_rows, nothing  # noqa: F401
 
 NAME = "word_bpe_49k.json"
 HARD = [
