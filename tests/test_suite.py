@@ -6,8 +6,8 @@ from conftest import plan_of
 from check import TABLES, compare, rows_of
 
 import __spark_entry__ as entry
+from strataspark.suite import ORACLE, QUERIES
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,10 @@ def test_query_matches_sql(spark, sf, sql, name):
     assert got
 
 
+def test_entry_has_them_all():
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLE.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert {r["age_group"] for r in rows} >= {"Total"}
