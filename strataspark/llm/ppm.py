@@ -7,11 +7,13 @@ longer contexts already offered are excluded from the shorter ones.  The last
 step is uniform over the bytes not yet excluded.  The end of a text is the
 byte 0xFF and the place before it the byte 0xFE, which UTF-8 never uses.
 
-*Pretrained*: trigram counts of the whole training corpus are gathered by
-Spark.  A trie of depth three has at most 65,536 contexts of two bytes, so the
-table of log probabilities has a proven bound (128 MB; a few MB in practice)
-and is broadcast; deeper contexts would have none.  *Adaptive*: each document
-starts with an empty trie of any depth and learns as it is read.
+*Pretrained*: counts of four bytes in a row are gathered by Spark from the
+whole training corpus.  There are at most 65,536 contexts of two bytes, and at
+most ``CONTEXTS`` contexts of three bytes can each precede a ``CONTEXTS``-th
+of all symbols; rarer ones step down to their last two bytes.  So the table of
+log probabilities has a proven bound (130 MB; some 10 MB in practice) and is
+broadcast.  *Adaptive*: each document starts with an empty trie of any depth
+and learns as it is read.
 
 Beside it stands a unigram score with add-one smoothing.  Word counts stay in
 Spark: words that make up at least ``1 / FREQUENT`` of the training tokens are
@@ -34,46 +36,75 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.common import map_texts, need_columns, stored, text_of
 
-FREQUENT = 500_000
+FREQUENT = 1_000_000
 START, END = 0xFE, 0xFF
 # The token that ends every text; no word holds white space.
 END_TOKEN = b" "
-_DENSE = 1 << 24
+CONTEXTS = 60_000
 
 
-def trigrams(text: bytes) -> np.ndarray:
-    """Codes of the symbols of a text, each with the two before it."""
-    a = np.frombuffer(bytes((START, START)) + text + bytes((END,)), np.uint8).astype(np.int32)
-    return (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
+def grams(text: bytes) -> np.ndarray:
+    """Codes of the symbols of a text, each with the three before it."""
+    a = np.frombuffer(bytes((START,) * 3) + text + bytes((END,)), np.uint8).astype(np.uint32)
+    return (a[:-3] << 24) | (a[1:-2] << 16) | (a[2:-1] << 8) | a[3:]
 
 
 class ByteTrie:
-    """Log10 probabilities of all symbols in all contexts of up to two bytes.
+    """Log10 probabilities of all symbols in all contexts of up to three bytes.
 
-    Row ``row[c]`` of ``table`` belongs to the two-byte context ``c``; unseen
-    contexts share the row of their last byte.
+    ``deep`` lists the contexts of three bytes that have a row of their own,
+    after the rows of single bytes and of two bytes; ``row[c]`` is the row of
+    the two-byte context ``c``, which unseen ones share with their last byte.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        codes, counts = np.asarray(codes, np.int64), np.asarray(counts, np.float64)
-        contexts, inverse = np.unique(codes >> 8, return_inverse=True)
-        seen = np.zeros((len(contexts), 256))
-        np.add.at(seen, (inverse, codes & 255), counts)
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, deep_codes: np.ndarray, deep_counts: np.ndarray):
+        """``codes`` are symbols after two bytes, ``deep_codes`` after three, each with its count."""
+        codes, counts, deep_codes = (np.asarray(x, np.int64) for x in (codes, counts, deep_codes))
+        contexts, at = np.unique(codes >> 8, return_inverse=True)
+        after_two = np.zeros((len(contexts) + 1, 256))
+        np.add.at(after_two, (at, codes & 255), counts)
         after_one = np.zeros((256, 256))
         np.add.at(after_one, ((codes >> 8) & 255, codes & 255), counts)
         alone = np.bincount(codes & 255, counts, 256) if len(codes) else np.zeros(256)
+        self.deep, deep_at = np.unique(deep_codes >> 8, return_inverse=True)
         self.row = np.tile(np.arange(256, dtype=np.int32), 256)
         self.row[contexts] = 256 + np.arange(len(contexts), dtype=np.int32)
-        self.table = np.empty((256 + len(contexts), 256))
-        self.table[:256] = _blend([np.zeros((256, 256)), after_one, np.broadcast_to(alone, (256, 256))])
-        for i in range(0, len(contexts), 1024):
-            part = slice(i, i + 1024)
-            levels = [seen[part], after_one[contexts[part] & 255], np.broadcast_to(alone, seen[part].shape)]
-            self.table[256 + i : 256 + i + len(levels[0])] = _blend(levels)
+        self.first_deep = 256 + len(contexts)
+        self.table = np.empty((self.first_deep + len(self.deep), 256), np.float32)
+
+        def fill(first: int, ends: np.ndarray, levels_of) -> None:
+            for i in range(0, len(ends), 1024):
+                part = slice(i, min(i + 1024, len(ends)))
+                lower = [after_one[ends[part] & 255], np.broadcast_to(alone, (part.stop - i, 256))]
+                self.table[first + i : first + part.stop] = _blend([*levels_of(part), *lower])
+
+        fill(0, np.arange(256), lambda part: [])
+        fill(256, contexts, lambda part: [after_two[part]])
+        # Counts after three bytes are unfolded for a part of the contexts at a time.
+        order = np.argsort(deep_at, kind="stable")
+        borders = np.searchsorted(deep_at[order], np.arange(len(self.deep) + 1))
+        deep_counts = np.asarray(deep_counts, np.float64)
+        place = np.full(1 << 16, len(contexts))
+        place[contexts] = np.arange(len(contexts))
+
+        def deep_levels(part: slice) -> list[np.ndarray]:
+            own = order[borders[part.start] : borders[part.stop]]
+            seen = np.zeros((part.stop - part.start, 256))
+            seen[deep_at[own] - part.start, deep_codes[own] & 255] = deep_counts[own]
+            return [seen, after_two[place[self.deep[part] & 0xFFFF]]]
+
+        fill(self.first_deep, self.deep, deep_levels)
+        self.deep = self.deep.astype(np.uint32)
 
     def log10(self, text: bytes) -> float:
-        codes = trigrams(text)
-        return float(self.table[self.row[codes >> 8], codes & 255].sum())
+        codes = grams(text)
+        contexts = codes >> 8
+        row = self.row[contexts & 0xFFFF]
+        if len(self.deep):
+            at = np.searchsorted(self.deep, contexts)
+            at[at == len(self.deep)] = 0
+            row = np.where(self.deep[at] == contexts, self.first_deep + at, row)
+        return float(self.table[row, codes & 255].sum(dtype=np.float64))
 
 
 def _blend(levels: list[np.ndarray]) -> np.ndarray:
@@ -131,7 +162,7 @@ def tokens(text: str) -> list[bytes]:
 
 
 def corpus_counts(training: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, n) and (code, n): token counts and byte trigram counts of all training texts.
+    """(word, n) and (code, n): token counts and counts of four symbols in a row of all training texts.
 
     Each piece of a task is counted in its worker; Spark adds up the rest.
     """
@@ -141,25 +172,32 @@ def corpus_counts(training: DataFrame) -> tuple[DataFrame, DataFrame]:
         codes = []
         for text in piece.column(0).to_pylist():
             words.update(tokens(text))
-            codes.append(trigrams(text.encode()))
-        dense = np.bincount(np.concatenate(codes), minlength=_DENSE)
-        found = np.flatnonzero(dense)
-        times, n = dense[found], len(words)
+            codes.append(grams(text.encode()))
+        found, times = np.unique(np.concatenate(codes), return_counts=True)
+        n = len(words)
         word = pa.array([*words, *[None] * len(found)], pa.binary())
-        code = pa.array(np.concatenate([np.zeros(n, np.int32), found.astype(np.int32)]), mask=np.arange(n + len(found)) < n)
+        code = pa.array(np.concatenate([np.zeros(n, np.int64), found.astype(np.int64)]), mask=np.arange(n + len(found)) < n)
         times = pa.array(np.concatenate([np.fromiter(words.values(), np.int64, n), times.astype(np.int64)]))
         return pa.RecordBatch.from_arrays([word, code, times], names=["word", "code", "n"])
 
-    counted = map_texts(training.select(text_of().alias("text")), count, "word binary, code int, n long", limit=12 << 20)
+    counted = map_texts(training.select(text_of().alias("text")), count, "word binary, code long, n long", limit=12 << 20)
     # One shuffle adds up both kinds; each row has either a word or a code.
     both = stored(counted.groupBy("word", "code").agg(F.sum("n").alias("n")), "corpus_counts")
     return both.filter("word IS NOT NULL").select("word", "n"), both.filter("code IS NOT NULL").select("code", "n")
 
 
 def trie_of(codes: DataFrame) -> ByteTrie:
-    """The trie from summed trigram counts; there are at most 2 ** 24 of them."""
-    table = codes.toArrow()
-    return ByteTrie(table.column("code").to_numpy(), table.column("n").to_numpy())
+    """The trie from summed counts.
+
+    At most 2 ** 24 counts after two bytes and 256 * ``CONTEXTS`` after three
+    reach the driver.
+    """
+    whole = codes.agg(F.sum("n")).first()[0] or 0
+    context = F.shiftright("code", 8).alias("context")
+    shallow = codes.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    often = codes.groupBy(context).agg(F.sum("n").alias("m")).filter(F.col("m") >= whole / CONTEXTS).select("context")
+    deep = codes.withColumn("context", context).join(often, "context", "left_semi").select("code", "n").toArrow()
+    return ByteTrie(*(t.column(c).to_numpy() for t in (shallow, deep) for c in ("code", "n")))
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -197,13 +235,13 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
         return pa.RecordBatch.from_arrays([*piece.columns[:-1], *made], names=["row", "doc_id", *names])
 
-    # A document is known by its place in the stored result, so repeated ids stay apart.
-    texts = docs.select(F.expr("uuid()").alias("row"), F.col("doc_id").cast("long"), text_of().alias("text"))
+    # A document is known by its place in the stored result, so repeated ids stay apart; the numbers are drawn once.
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_of().alias("text"))
     measured = stored(
         map_texts(
             texts,
             measure,
-            "row string, doc_id long, n_tokens long, n_frequent long, logs double, rare array<struct<word:binary,times:bigint>>, score double",
+            "row long, doc_id long, n_tokens long, n_frequent long, logs double, rare array<struct<word:binary,times:bigint>>, score double",
             limit=2 << 20,
         ),
         "scored",
