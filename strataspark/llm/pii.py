@@ -77,24 +77,26 @@ CUES = {
 COUNTER_CUES = r"version|release|isbn|invoice|order n|chapter|section|figure"
 
 
-def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Stored: one row per document with ``row`` (a key of its own), the key and its matches in order."""
-    need_columns(docs, key, "text")
-    step = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text_of().alias("_text"))
-    found = []
+NO_MATCHES = "cast(array() as array<struct<kind:int,i:int,gap:int,match:string,before:string,after:string>>)"
+
+
+def with_matches(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``found``, the matches of all kinds in the order of each kind; no shuffle."""
+    own = [c for c in docs.columns if c != "found"]
+    text = text_of()
+    parts = []
     for kind in KINDS:
-        text, regex = F.col("_text"), F.lit(PATTERNS[kind])
         guard = GUARDS[kind](text)
-        found += [
-            F.when(guard, F.regexp_extract_all(text, regex, F.lit(0))).alias(f"m_{kind}"),
-            F.when(guard, F.split(text, PATTERNS[kind], -1)).alias(f"p_{kind}"),
+        parts += [
+            F.when(guard, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).alias(f"_m_{kind}"),
+            F.when(guard, F.split(text, PATTERNS[kind], -1)).alias(f"_p_{kind}"),
         ]
-    step = step.select("row", "key", *found)
+    step = docs.select(*own, *parts)
 
     def rows(kind: str) -> Column:
-        gaps = F.col(f"p_{kind}")
+        gaps = F.col(f"_p_{kind}")
         listed = F.transform(
-            f"m_{kind}",
+            f"_m_{kind}",
             lambda m, i: F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"),
                 i.alias("i"),
@@ -104,9 +106,24 @@ def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 F.left(F.get(gaps, i + 1), F.lit(20)).alias("after"),
             ),
         )
-        return F.coalesce(listed, F.expr("cast(array() as array<struct<kind:int,i:int,gap:int,match:string,before:string,after:string>>)"))
+        return F.coalesce(listed, F.expr(NO_MATCHES))
+
+    return step.select(*own, F.concat(*[rows(k) for k in KINDS]).alias("found"))
+
+
+def has_match(text: Column) -> Column:
+    """Whether any pattern matches."""
+    out = F.lit(False)
+    for kind in KINDS:
+        out = out | (GUARDS[kind](text) & text.rlike(PATTERNS[kind]))
+    return out
 
-    return stored(step.select("row", "key", F.concat(*[rows(k) for k in KINDS]).alias("found")), "candidates")
+
+def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Stored: one row per document with ``row`` (a key of its own), the key and its matches."""
+    need_columns(docs, key, "text")
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text_of().alias("text"))
+    return stored(with_matches(slim).drop("text"), "candidates")
 
 
 def _digits(match: Column) -> Column:
@@ -161,7 +178,7 @@ def _votes(kind: Column, match: Column, before: Column, after: Column, valid: Co
 
 
 def spans_with_votes(found: DataFrame) -> DataFrame:
-    """One row per match: row, kind, start, end, valid, base, the votes and shape features."""
+    """One row per match that is worth judging: row, kind, start, end, valid, base, the votes and shape features."""
     each = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
     earlier = W.partitionBy("row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     size = F.char_length("match")
@@ -251,21 +268,25 @@ def classified(spans: DataFrame) -> DataFrame:
     return spans.withColumn("personal", F.col("base") | (score > 0))
 
 
-def find(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document: the key, ``base`` and ``spans``, arrays of (start, kind, end, past) in order.
-
-    ``past`` is the furthest end of the spans before.
-    """
-    found = candidates(docs, key)
+def _accepted(found: DataFrame) -> DataFrame:
+    """Per row of ``found`` that has any: ``base`` and ``spans``."""
     judged = classified(stored(spans_with_votes(found), "spans")).filter("personal")
     earlier = W.partitionBy("row").orderBy("start", "kind", "end").rowsBetween(W.unboundedPreceding, -1)
     judged = judged.withColumn("past", F.coalesce(F.max("end").over(earlier), F.lit(0)))
     entry = F.struct("start", "kind", "end", "past")
-    per_row = judged.groupBy("row").agg(
+    return judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("base"), entry))).alias("base"), F.sort_array(F.collect_list(entry)).alias("spans")
     )
+
+
+def find(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document: the key, ``base`` and ``spans``, arrays of (start, kind, end, past) in order.
+
+    ``past`` is the furthest end of the spans before.
+    """
+    found = candidates(docs, key)
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,past:bigint>>)")
-    return found.select("row", "key").join(per_row, "row", "left").select(
+    return found.select("row", "key").join(_accepted(found), "row", "left").select(
         F.col("key").alias(key), F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans")
     )
 
@@ -285,11 +306,18 @@ def digest(spans: Column) -> Column:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``<KIND>``; overlapping spans become one mask of the first."""
+    """``docs`` with every span of its texts replaced by ``<KIND>``; overlapping spans become one mask of the first.
+
+    Texts without any match stay where they are; only the others are stored
+    with their matches and meet their spans by row.
+    """
+    need_columns(docs, "text")
     own = docs.columns
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c) for c in own]), "to_mask")
-    found = find(rows.select("_row", "text"), "_row").filter(F.size("spans") > 0).select(F.col("_row").alias("_found"), "spans")
-    joined = rows.join(found, F.col("_row") == F.col("_found"), "left")
+    packed = docs.select("text", F.struct(*[F.col(c) for c in own]).alias("doc"))
+    matched = packed.filter(F.coalesce(has_match(F.col("text")), F.lit(False)))
+    held = stored(with_matches(matched.select(F.monotonically_increasing_id().alias("row"), "doc", "text")), "to_mask")
+    spans = _accepted(held.select("row", "found")).select("row", "spans")
+    joined = held.select("row", "doc", "text").join(spans, "row", "left")
     # Kept pieces lie between the furthest end so far and the next start; a span inside an earlier one adds nothing.
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     text = F.col("text")
@@ -302,4 +330,6 @@ def masked(docs: DataFrame) -> DataFrame:
     )
     last = F.array_max(F.transform("spans", lambda s: s["end"]))
     rest = F.substring(text, last.cast("int") + 1, F.char_length(text))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))).select(*own)
+    new = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))
+    rewritten = joined.select(*[(new if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in own])
+    return docs.filter(~F.coalesce(has_match(F.col("text")), F.lit(False))).unionByName(rewritten)
