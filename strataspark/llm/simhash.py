@@ -106,7 +106,7 @@ class Forest:
 
 def _words16(bits: np.ndarray) -> np.ndarray:
     """Population counts of the four 16-bit words of each fingerprint."""
-    return np.bitwise_count(bits.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    return np.bitwise_count(np.ascontiguousarray(bits).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
 def _tiles(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
