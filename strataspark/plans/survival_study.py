@@ -6,6 +6,8 @@ distinct months or a single test row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from strataspark.operators import rates as ra
 from strataspark.operators import survival as su
 from strataspark.operators.quantiles import impute_median
 from strataspark.sources.codes import BMI_EDGES, BMI_LABELS
+from strataspark.sources.tables import scan_table, write_overwrite
 
 
 def criteria(min_age: int, last_diagnosis: str) -> list[tuple[str, Column]]:
@@ -39,13 +42,23 @@ def select_cohort(df: DataFrame, min_age: int = 40, last_diagnosis: str = "2018-
     return kept
 
 
-def analysis_cohort(df: DataFrame, min_age: int = 40, last_diagnosis: str = "2018-12-31") -> DataFrame:
-    """The selected persons with imputed measures and derived columns.
+def analysis_cohort(
+    df: DataFrame,
+    min_age: int = 40,
+    last_diagnosis: str = "2018-12-31",
+    measures: Sequence[str] = ("hba1c", "bmi"),
+    path: str | None = None,
+) -> DataFrame:
+    """The selected persons with imputed ``measures`` (the BMI among them) and derived columns.
 
     Medians are taken over the selected persons, so the selection is read a few
-    times; store it first when it is expensive to derive.
+    times; with ``path`` it is derived once, stored there and read from there.
     """
-    kept = impute_median(select_cohort(df, min_age, last_diagnosis), ["hba1c", "bmi"])
+    kept = select_cohort(df, min_age, last_diagnosis)
+    if path is not None:
+        write_overwrite(kept, path)
+        kept = scan_table(kept.sparkSession, path)
+    kept = impute_median(kept, list(measures))
     return derive_events(kept).withColumn(
         "bmi_category", band_right_closed(F.col("bmi_imputed"), BMI_EDGES, BMI_LABELS)
     )
@@ -82,12 +95,12 @@ def events_by_pattern(cohort: DataFrame) -> DataFrame:
     return ra.grouped_events(cohort, "comorbidity_pattern", "event")
 
 
-def curves_by_hypertension(cohort: DataFrame) -> DataFrame:
-    return su.km_confidence(su.kaplan_meier(cohort, "follow_up_months", "event", ["has_hypertension"]))
+def curves_by_hypertension(cohort: DataFrame, bucket: float | None = None) -> DataFrame:
+    return su.km_confidence(su.kaplan_meier(cohort, "follow_up_months", "event", ["has_hypertension"], bucket))
 
 
-def curves_by_pattern(cohort: DataFrame, k: int = 5) -> DataFrame:
-    return su.km_by_pattern(cohort, "follow_up_months", "event", "comorbidity_pattern", k)
+def curves_by_pattern(cohort: DataFrame, k: int = 5, bucket: float | None = None) -> DataFrame:
+    return su.km_by_pattern(cohort, "follow_up_months", "event", "comorbidity_pattern", k, bucket)
 
 
 def test_by_hypertension(cohort: DataFrame) -> DataFrame:

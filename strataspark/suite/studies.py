@@ -91,5 +91,6 @@ def _(spark, sf):
          COUNT(*) AS n, COUNT(*) FILTER (cv_event_occurred) AS events FROM filled GROUP BY 1""",
 )
 def _(spark, sf):
-    cohort = survival_study.analysis_cohort(star.chronic_cohort(spark, sf), 40, "1995-12-31")
+    path = scratch_path(spark, "selection")
+    cohort = survival_study.analysis_cohort(star.chronic_cohort(spark, sf), 40, "1995-12-31", ["bmi"], path)
     return cohort.groupBy("bmi_category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event") == 1).alias("events"))
