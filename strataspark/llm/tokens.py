@@ -7,7 +7,7 @@ appended to it.  Normalising folds runs of ASCII white space into one space,
 which the tokenizers served here ignore between words.
 
 Counting is exact but avoids the library's slow whole-text pass where that is
-safe: a text whose characters are all below U+0300 is cut into the library's
+safe: a text whose characters, lower-cased too, are all below U+0300 is cut into the library's
 own pre-token pieces (they cannot interact), each distinct piece is encoded by
 the library once and remembered; any other text is encoded whole.
 
@@ -21,7 +21,6 @@ import hashlib
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -57,7 +56,9 @@ class PieceCounter:
         self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{blank}{letter}{digit}]+")
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)))
-        self.high = re.compile("[^\\u0000-\\u02ff]")
+# Characters whose lower case stays one character below U+0300 take the fast way.
+        near = [chr(c) for c in range(0x300) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x300]
+        self.high = re.compile("[^" + "".join(f"\\u{ord(c):04x}" for c in near) + "]")
         self.known: dict[str, int] = {}
 
     def whole(self, texts: list[str]) -> list[int]:
@@ -150,5 +151,6 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_name: str, key: str
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
 
-    have = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
-    return keyed.join(have.dropDuplicates(["digest"]), "digest", "left").select(F.col("key").alias(key), "n_bytes", "n_tokens")
+    # Stored apart, so that the join below is a plain one whose large partitions (a hot digest) can be split.
+    have = stored(read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    return keyed.join(have, "digest", "left").select(F.col("key").alias(key), "n_bytes", "n_tokens")
