@@ -124,9 +124,13 @@ def _sampled(texts: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, rank: str, place: Column) -> DataFrame:
-    """The ranks that two or more different places have."""
+    """Stored: the ranks that two or more different places have.
+
+    Read back, they meet the rows in a plain join, whose large partitions (a
+    rank that very many places share) can be split.
+    """
     seen = rows.filter(F.col(rank).isNotNull()).groupBy(rank).agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    return seen.filter("a <> b").select(rank)
+    return stored(seen.filter("a <> b").select(rank), "repeated")
 
 
 def _own_offsets(data: bytes, places: list[int], shape: Shape) -> list[tuple[int, int]]:
