@@ -10,10 +10,11 @@ byte 0xFF and the place before it the byte 0xFE, which UTF-8 never uses.
 *Pretrained*: counts of four bytes in a row are gathered by Spark from the
 whole training corpus.  There are at most 65,536 contexts of two bytes, and at
 most ``CONTEXTS`` contexts of three bytes can each precede a ``CONTEXTS``-th
-of all symbols; rarer ones step down to their last two bytes.  So the table of
-log probabilities has a proven bound (130 MB; some 10 MB in practice) and is
-broadcast.  *Adaptive*: each document starts with an empty trie of any depth
-and learns as it is read.
+of all symbols.  So the table of their log probabilities has a proven bound
+(130 MB; some 10 MB in practice) and is broadcast.  All rarer contexts of three
+bytes stay in Spark, a row of the table each; a document's symbols after them,
+counted, are joined by context.  *Adaptive*: each document starts with an empty
+trie of any depth and learns as it is read.
 
 Beside it stands a unigram score with add-one smoothing.  Word counts stay in
 Spark: words that make up at least ``1 / FREQUENT`` of the training tokens are
@@ -28,13 +29,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import map_texts, need_columns, stored, text_of
+from strataspark.llm.common import map_texts, need_columns, ship, stored, text_of
 
 FREQUENT = 1_000_000
 START, END = 0xFE, 0xFF
@@ -97,14 +100,20 @@ class ByteTrie:
         self.deep = self.deep.astype(np.uint32)
 
     def log10(self, text: bytes) -> float:
+        return self.measure(text)[0]
+
+    def measure(self, text: bytes) -> tuple[float, np.ndarray]:
+        """Log10 probability of a text, and its codes whose contexts of three bytes have no row here."""
         codes = grams(text)
         contexts = codes >> 8
         row = self.row[contexts & 0xFFFF]
+        other = np.ones(len(codes), bool)
         if len(self.deep):
             at = np.searchsorted(self.deep, contexts)
             at[at == len(self.deep)] = 0
-            row = np.where(self.deep[at] == contexts, self.first_deep + at, row)
-        return float(self.table[row, codes & 255].sum(dtype=np.float64))
+            other = self.deep[at] != contexts
+            row = np.where(other, row, self.first_deep + at)
+        return float(self.table[row, codes & 255].sum(dtype=np.float64)), codes[other]
 
 
 def _blend(levels: list[np.ndarray]) -> np.ndarray:
@@ -123,6 +132,17 @@ def _blend(levels: list[np.ndarray]) -> np.ndarray:
     return np.log10(p)
 
 
+def _unfolded(codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """One row of 256 counts for each context, from sorted codes."""
+    first, end = np.searchsorted(codes, contexts << 8), np.searchsorted(codes, (contexts + 1) << 8)
+    size = end - first
+    row = np.repeat(np.arange(len(contexts)), size)
+    at = np.arange(len(row)) + np.repeat(first - (np.cumsum(size) - size), size)
+    out = np.zeros((len(contexts), 256))
+    out[row, codes[at] & 255] = counts[at]
+    return out
+
+
 def adaptive_log10(text: bytes, order: int = 4) -> float:
     """Log10 probability of a text by a trie that starts empty and learns each symbol after predicting it."""
     data = bytes((START,)) * order + text + bytes((END,))
@@ -186,8 +206,8 @@ def corpus_counts(training: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter("word IS NOT NULL").select("word", "n"), both.filter("code IS NOT NULL").select("code", "n")
 
 
-def trie_of(codes: DataFrame) -> ByteTrie:
-    """The trie from summed counts.
+def trie_of(codes: DataFrame) -> tuple[ByteTrie, DataFrame]:
+    """The trie of the frequent contexts from summed counts, and ``rare_rows`` of all others.
 
     At most 2 ** 24 counts after two bytes and 256 * ``CONTEXTS`` after three
     reach the driver.
@@ -196,8 +216,48 @@ def trie_of(codes: DataFrame) -> ByteTrie:
     context = F.shiftright("code", 8).alias("context")
     shallow = codes.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
     often = codes.groupBy(context).agg(F.sum("n").alias("m")).filter(F.col("m") >= whole / CONTEXTS).select("context")
-    deep = codes.withColumn("context", context).join(often, "context", "left_semi").select("code", "n").toArrow()
-    return ByteTrie(*(t.column(c).to_numpy() for t in (shallow, deep) for c in ("code", "n")))
+    placed = codes.withColumn("context", context)
+    deep = placed.join(often, "context", "left_semi").select("code", "n").toArrow()
+    order = np.argsort(shallow.column("code").to_numpy())
+    low = tuple(shallow.column(c).to_numpy()[order] for c in ("code", "n"))
+    trie = ByteTrie(*low, *(deep.column(c).to_numpy() for c in ("code", "n")))
+    return trie, rare_rows(placed.join(often, "context", "left_anti"), low)
+
+
+def rare_rows(codes: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Stored: (context, gain) for each context of ``codes``; ``gain`` has for all 256 symbols how far
+    the log10 probability after the three bytes lies above that after the last two.
+
+    ``low`` are the codes and counts after two bytes.
+    """
+    spark = codes.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(low)
+    listed = codes.groupBy("context").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low_codes, low_n = shared.value
+        after_one = np.zeros((256, 256))
+        np.add.at(after_one, ((low_codes >> 8) & 255, low_codes & 255), low_n)
+        alone = after_one.sum(0)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                contexts = part.column(0).to_numpy()
+                ends, at = np.unique(contexts & 0xFFFF, return_inverse=True)
+                after_two = _unfolded(low_codes, low_n, ends)[at]
+                own = part.column(1).flatten()
+                codes = own.field(0).to_numpy()
+                after_three = np.zeros(after_two.shape)
+                row = np.repeat(np.arange(len(contexts)), pc.list_value_length(part.column(1)).to_numpy())
+                after_three[row, codes & 255] = own.field(1).to_numpy()
+                lower = [after_two, after_one[contexts & 255], np.broadcast_to(alone, after_two.shape)]
+                gain = _blend([after_three, *lower]) - _blend(lower)
+                borders = pa.array(np.arange(len(contexts) + 1, dtype=np.int32) * 256)
+                rows = pa.ListArray.from_arrays(borders, pa.array(gain.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), rows], names=["context", "gain"])
+
+    return stored(listed.mapInArrow(run, "context long, gain array<float>"), "rare_contexts")
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -211,7 +271,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     # At most FREQUENT words can each be that share of all tokens.
     frequent = counts.filter(F.col("n") >= least).toArrow()
     table = dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist()))
-    shared = spark.sparkContext.broadcast((trie_of(codes), table))
+    trie, rare_contexts = trie_of(codes)
+    shared = spark.sparkContext.broadcast((trie, table))
     log_whole = math.log10(n_train + n_words + 1)
 
     def measure(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,10 +289,13 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 else:
                     n_known += times
                     logs += times * math.log10(c + 1)
-            rows.append((n_tokens, n_known, logs, rare, trie.log10(text.encode())))
+            log10, other = trie.measure(text.encode())
+            deeper = [{"code": int(c), "times": int(n)} for c, n in zip(*np.unique(other, return_counts=True))]
+            rows.append((n_tokens, n_known, logs, rare, deeper, log10))
         pair = pa.struct([("word", pa.binary()), ("times", pa.int64())])
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pair), pa.float64()]
-        names = ["n_tokens", "n_frequent", "logs", "rare", "score"]
+        code_pair = pa.struct([("code", pa.int64()), ("times", pa.int64())])
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pair), pa.list_(code_pair), pa.float64()]
+        names = ["n_tokens", "n_frequent", "logs", "rare", "deeper", "score"]
         made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
         return pa.RecordBatch.from_arrays([*piece.columns[:-1], *made], names=["row", "doc_id", *names])
 
@@ -241,7 +305,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         map_texts(
             texts,
             measure,
-            "row long, doc_id long, n_tokens long, n_frequent long, logs double, rare array<struct<word:binary,times:bigint>>, score double",
+            "row long, doc_id long, n_tokens long, n_frequent long, logs double, rare array<struct<word:binary,times:bigint>>, "
+            "deeper array<struct<code:bigint,times:bigint>>, score double",
             limit=2 << 20,
         ),
         "scored",
@@ -250,13 +315,17 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     found = rare.join(counts.filter(F.col("n") < least), "word").groupBy("row").agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs")
     )
-    return measured.drop("rare").join(found, "row", "left").select(
+    after = measured.select("row", F.explode("deeper").alias("d")).select(
+        "row", F.shiftright("d.code", 8).alias("context"), F.col("d.code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "d.times"
+    )
+    gained = after.join(rare_contexts, "context").groupBy("row").agg(F.sum(F.col("times") * F.get("gain", F.col("symbol"))).alias("gained"))
+    return measured.drop("rare", "deeper").join(found, "row", "left").join(gained, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_whole)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
     )
 
 

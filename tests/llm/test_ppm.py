@@ -91,6 +91,12 @@ def test_awkward_table(awkward, monkeypatch, frequent):
     same(scored(clash), brute_base([(r[0], r[1]) for r in awkward_rows()]))
 
 
+@pytest.mark.parametrize("contexts", [1, 20])
+def test_rare_contexts_are_joined(awkward, monkeypatch, contexts):
+    monkeypatch.setattr(ppm, "CONTEXTS", contexts)
+    same(scored(awkward), brute_base([(r[0], r[1]) for r in awkward_rows()]))
+
+
 def test_nothing_to_learn_from(spark, nothing):
     assert scored(nothing) == []
     df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
