@@ -49,7 +49,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9_-]{8,64}",
+    "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9_-]{8,}+",
     "local_phone": r"(?<![0-9+(-])(?<!\+[0-9]{1,3}[\x20-])\([0-9]{3}\)[\x20-]?[0-9]{3}-[0-9]{4}(?![0-9])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }

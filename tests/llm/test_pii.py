@@ -94,6 +94,12 @@ def test_masks(spark):
     assert got == ["None", "none", "x <EMAIL> y <IP> 🙂 <PHONE> z", "x <EMAIL> y <IP> 🙂 <PHONE> z"]
 
 
+def test_long_secrets_are_masked_whole(spark):
+    texts = ["token=" + "a1b2c3d4e5" * 20 + " end", 'password: "' + "Zy-9_xW8" * 5_000 + '" end']
+    rows = pii.masked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.text for r in rows) == ["<SECRET> end", '<SECRET>" end']
+
+
 def test_em_recovers_reliabilities():
     import itertools
     import random
