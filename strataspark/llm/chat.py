@@ -13,8 +13,9 @@ taken apart again as plain text.  The mask comes from prefix sums of +1 and -1
 at the borders of assistant texts.
 
 Turns are encoded where they lie; conversations are then sorted into
-partitions and streamed, so a conversation of any length needs memory for
-one Arrow batch and its own output.
+partitions and streamed.  A conversation leaves as numbered chunks of whole
+turns, each closed at ``CHUNK`` tokens, and is read back chunk by chunk, so one
+of any length needs memory for an Arrow batch.
 
 Defined results: null text and null role are empty; turns are ordered by
 turn (null first), then role and text; repeated turns are all kept; a null
@@ -38,7 +39,9 @@ from strataspark.llm.common import need_columns, ship, text_of
 
 ROLE_WITH_LOSS = "assistant"
 START, END = "<|im_start|>", "<|im_end|>"
-SEQUENCES = "conv_id long, ids array<int>, loss_mask array<tinyint>"
+SEQUENCES = "conv_id long, chunk long, ids array<int>, loss_mask array<tinyint>"
+# Tokens at which a chunk is closed; an Arrow batch of 10,000 such chunks is some 200 MB.
+CHUNK = 1 << 12
 # Very long texts are encoded in parts; any cut between characters is lossless.
 PART = 1 << 16
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -101,7 +104,7 @@ def assemble(turns: list[tuple[str, list[int], list[int]]], tok: ChatTokenizer,
 
 
 def sequences(conversations: DataFrame, tokenizer_name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """One row per conversation: conv_id, ids, loss_mask."""
+    """Rows conv_id, chunk, ids, loss_mask: each conversation's chunks in order, within one partition."""
     need_columns(conversations, "conv_id", "turn", "role", "text")
     ship(conversations.sparkSession)
     turns = conversations.select(
@@ -127,25 +130,27 @@ def sequences(conversations: DataFrame, tokenizer_name: str = "byte_bpe_50k.tikt
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_name)
         newline = tok.encode("\n")
-        names, kinds = ["conv_id", "ids", "loss_mask"], [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8())]
-        open_id, open_turns, done, held = None, [], [], 0
+        names, kinds = ["conv_id", "chunk", "ids", "loss_mask"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8())]
+        open_id, open_turns, open_tokens, chunk, done, held = None, [], 0, 0, [], 0
 
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
 
         for batch in batches:
             for conv_id, role, role_ids, text_ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if open_turns and conv_id != open_id:
-                    done.append((open_id, *assemble(open_turns, tok, newline)))
-                    held += len(done[-1][1])
-                    open_turns = []
+                if open_turns and (conv_id != open_id or open_tokens >= CHUNK):
+                    done.append((open_id, chunk, *assemble(open_turns, tok, newline)))
+                    held += len(done[-1][2])
+                    chunk = chunk + 1 if conv_id == open_id else 0
+                    open_turns, open_tokens = [], 0
                     if held > 1 << 20:
                         yield flushed()
                         done, held = [], 0
                 open_id = conv_id
                 open_turns.append((role, role_ids, text_ids))
+                open_tokens += len(role_ids) + len(text_ids) + 2 + 2 * len(newline)
         if open_turns:
-            done.append((open_id, *assemble(open_turns, tok, newline)))
+            done.append((open_id, chunk, *assemble(open_turns, tok, newline)))
         if done:
             yield flushed()
 
@@ -166,22 +171,40 @@ def read_back(ids, mask, tok: ChatTokenizer) -> dict:
 
 
 def digests(formatted: DataFrame, tokenizer_name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """What the sequences say when they are decoded: turns, loss text and lengths, as counts and SHA-256."""
+    """What the sequences, as ``sequences`` returns them, say when they are decoded: turns, loss text and lengths, as counts and SHA-256."""
     ship(formatted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_name)
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        open_id, sums, hashes = None, None, None
+
+        def closed() -> tuple:
+            n_turns, loss_chars, chars, n_tokens = sums
+            return (open_id, n_turns, hashes[0].hexdigest(), loss_chars, hashes[1].hexdigest(), chars, n_tokens)
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                back = read_back(batch.column(1)[i].values, batch.column(2)[i].values, tok)
+                conv_id, chunk = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if chunk == 0:
+                    if sums is not None:
+                        out.append(closed())
+                    open_id, sums, hashes = conv_id, [0, 0, 0, 0], [hashlib.sha256(), hashlib.sha256()]
+                ids = batch.column(2)[i].values
+                back = read_back(ids, batch.column(3)[i].values, tok)
                 turns, loss = "".join(f"{r}\n{t}\n" for r, t in back["turns"]), back["loss_text"]
-                hexed = [hashlib.sha256(x.encode()).hexdigest() for x in (turns, loss)]
-                out.append((batch.column(0)[i].as_py(), len(back["turns"]), hexed[0], len(loss), hexed[1], back["formatted_chars"], batch.column(1)[i].values.__len__()))
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                hashes[0].update(turns.encode())
+                hashes[1].update(loss.encode())
+                sums = [x + y for x, y in zip(sums, (len(back["turns"]), len(loss), back["formatted_chars"], len(ids)))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                yield rows(out)
+        if sums is not None:
+            yield rows([closed()])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
-    return formatted.select("conv_id", "ids", "loss_mask").mapInArrow(run, schema)
+    return formatted.select("conv_id", "chunk", "ids", "loss_mask").mapInArrow(run, schema)

@@ -32,6 +32,17 @@ def test_what_is_read_back(spark):
     assert {r.conv_id: tuple(r[1:5]) for r in rows} == brute(ROWS)
 
 
+def test_long_conversations_leave_in_chunks(spark):
+    rows = [(key, i, ("user", "assistant")[i % 2], f"<|im_end|> turn {i} é日 " * 20) for key in (None, 7) for i in range(400)] + [(8, 0, "assistant", "x")]
+    formatted = chat.sequences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    chunks = formatted.selectExpr("conv_id", "chunk", "size(ids) AS n").collect()
+    assert max(r.n for r in chunks) < 2 * chat.CHUNK and len(chunks) > 10
+    for key in (None, 7, 8):
+        own = sorted(r.chunk for r in chunks if r.conv_id == key)
+        assert own == list(range(len(own)))
+    assert {r.conv_id: tuple(r[1:5]) for r in chat.digests(formatted).collect()} == brute(rows)
+
+
 def test_real_table(spark, sf):
     df = spark.read.parquet(f"{sf}/conversations.parquet")
     got = {r.conv_id: tuple(r[1:5]) for r in chat.digests(chat.sequences(df)).collect()}
