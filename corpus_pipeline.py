@@ -5,9 +5,9 @@ writes as Parquet and reads again as the next stage's documents.  All but the
 last return the columns of ``documents``.
 
 * ``quality_rules``: documents that the production policy rejects go.
-* ``simhash_dedup``: one document of each group linked by five-word Jaccard
-  similarities of at least 0.8 stays, the one with the smallest id.  Pairs are
-  found exactly; the stage keeps its name of the time of fingerprints.
+* ``simhash_dedup``: one document of each group linked by fingerprints of
+  four-word shingles that differ in at most four bits stays, the one with the
+  smallest id.
 * ``decontaminate``: documents that hold a benchmark window go.
 * ``mask_pii``: spans of personal data become masks; every document stays.
 * ``mix_sources``: sources are mixed to their target weights; a row is one
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import decontaminate, mixing, pii, quality, similar
+from strataspark.llm import decontaminate, mixing, pii, quality, simhash
 from strataspark.llm.common import stored
 from strataspark.llm.suite import MIX_TILTS, MIX_WEIGHTS
 
@@ -33,7 +33,7 @@ def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one(docs)
+    return simhash.keep_one(docs, width=4, radius=4)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ STAGES = [
     ("mix_sources", _mix_sources),
 ]
 
-# Near copies by XXH64 values and the trained span classifier have no SQL form; tests/llm compares the stages with plain Python.
+# Fingerprints of XXH64 values and the trained span classifier have no SQL form; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
