@@ -34,6 +34,8 @@ SEED = 42
 TILE = 256
 # Links held before they are folded into the forest.
 BUFFER = 1 << 18
+# Fingerprints of a cell at most: a task holds two cells, whatever the number of all fingerprints.
+MOST_CELL = 1 << 18
 
 
 def fingerprint(text: str, width: int) -> int:
@@ -157,17 +159,22 @@ def _cells(counts: dict[int, int], size: int) -> list[tuple[int, int, int]]:
     return cells
 
 
-def links(nodes: DataFrame, radius: int = 4, least_cell: int = 4096) -> DataFrame:
+def cell_size(total: int, least: int = 4096, most: int = MOST_CELL) -> int:
+    """A 48th of all fingerprints, within bounds: cells grow no further when the table does, there are more of them."""
+    return min(max(least, -(-total // 48)), most)
+
+
+def links(nodes: DataFrame, radius: int = 4, least_cell: int = 4096, most_cell: int = MOST_CELL) -> DataFrame:
     """Links (a, b) between distinct fingerprints, spanning every pair within the radius.
 
-    65 counts reach the driver.  A cell holds at least ``least_cell`` and at
-    most about a 48th of all fingerprints, so each is sent to a bounded number
-    of pairs.
+    65 counts reach the driver.  A cell holds about ``most_cell`` fingerprints
+    at most, so the memory of a task does not grow with the table; the number
+    of pairs of cells grows with its square, as an exact comparison must.
     """
     ship(nodes.sparkSession)
     popcount = F.bit_count("fingerprint").cast("int")
     counts = {r["p"]: r["n"] for r in nodes.groupBy(popcount.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    cells = _cells(counts, max(least_cell, -(-sum(counts.values()) // 48)))
+    cells = _cells(counts, cell_size(sum(counts.values()), least_cell, most_cell))
     numbered: list[tuple[int, int]] = []  # popcount range of each cell number
     base, parts = [0] * 65, [1] * 65
     for first, last, n in cells:

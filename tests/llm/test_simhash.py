@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -103,13 +106,22 @@ def test_cells_cover_every_popcount():
     assert [c for c in cells if c[0] == 30] == [(30, 30, 5)]
 
 
+@pytest.mark.parametrize("total", [10**5, 10**8, 10**11])
+def test_cells_stay_bounded(total):
+    counts = {p: int(total * math.comb(64, p) / 2**64) for p in range(65)}
+    size = simhash.cell_size(total)
+    assert size <= simhash.MOST_CELL
+    for first, last, parts in simhash._cells(counts, size):
+        assert sum(counts[p] for p in range(first, last + 1)) <= parts * size
+
+
 def test_many_cells_give_the_same_links(spark):
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**62, 300)
     near = base[:100] ^ (1 << rng.integers(0, 62, 100))
     nodes = spark.createDataFrame([(int(v),) for v in np.unique(np.concatenate([base, near]))], "fingerprint long")
     few = {frozenset(r) for r in components(simhash.links(nodes)).collect()}
-    many = {frozenset(r) for r in components(simhash.links(nodes, least_cell=20)).collect()}
+    many = {frozenset(r) for r in components(simhash.links(nodes, least_cell=20, most_cell=20)).collect()}
     assert few == many and len(few) >= 200
 
 
