@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import chat, decontaminate, mixing, pii, ppm, quality, simhash, suffixes, tokens, urls
-from strataspark.llm.common import stored
+from strataspark.llm import align, bpe, chat, collocations, decontaminate, mixing, pii, ppm, quality, simhash, suffixes, tokens, urls
+from strataspark.llm.common import sha256_hex, stored
 from strataspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,60 @@ def _(spark, sf):
         (~quality.rejected(quality.PRODUCTION)).alias("kept"),
         "failed",
     )
+
+
+@_query(
+    "op11_collocations",
+    r"""WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[.,;:!?
+-]')) AS piece
+          FROM documents),
+        worded AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+        placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded WHERE len(w) > 0),
+        grams AS (
+          SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS n
+          FROM placed, (VALUES (1), (2), (3), (4)) lengths(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+        often AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE n >= 30),
+        cuts AS (
+          SELECT lang, k, phrase, n AS a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS part,
+                 array_to_string(list_slice(w, cut + 1, k), ' ') AS rest
+          FROM often, (VALUES (1), (2), (3)) c(cut) WHERE cut < k),
+        scored AS (
+          SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a) // (x.n::HUGEINT + y.n) AS score
+          FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = c.part JOIN often y ON y.lang = c.lang AND y.phrase = c.rest),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored),
+        inner_parts AS (
+          SELECT o.lang, o.n, array_to_string(list_slice(o.w, i, i + m - 1), ' ') AS phrase
+          FROM often o, (VALUES (1), (2), (3)) starts(i), (VALUES (2), (3)) widths(m) WHERE m < o.k AND i + m - 1 <= o.k),
+        longer AS (SELECT lang, phrase, max(n) AS most FROM inner_parts GROUP BY lang, phrase),
+        kept AS (
+          SELECT s.* FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+          WHERE place = 1 AND NOT coalesce(100::HUGEINT * g.most >= 80::HUGEINT * s.a, false)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+               totals.n AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+)
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text")
+    return collocations.top(collocations.phrases(docs))
+
+
+@_query("op12_align_tokens")
+def _(spark, sf):
+    return align.summary(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+
+
+@_query("op13_bpe_codec")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256_hex(F.array_join("ids", " ")).alias("ids_sha256"),
+        sha256_hex(F.col("decoded")).alias("decoded_sha256"),
+    )

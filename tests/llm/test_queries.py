@@ -29,6 +29,9 @@ COLUMNS = {
     "op7": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op8": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op9": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op11": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op12": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op13": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }
 
@@ -43,7 +46,7 @@ def test_query(spark, sf, sql, name):
         want = sql.execute("SELECT count(DISTINCT conv_id) + 1 FROM conversations").fetchone()[0]
     else:
         want = sql.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
-    assert len(got) == want
+    assert name == "op11_collocations" or len(got) == want
     if name in suite.ORACLE:
         cursor = sql.execute(suite.ORACLE[name])
         want_names, rows = rows_of([d[0] for d in cursor.description], cursor.fetchall())
@@ -52,4 +55,4 @@ def test_query(spark, sf, sql, name):
 
 def test_registered():
     assert suite.QUERIES.keys() <= entry.queries().keys() and "pipeline" in entry.queries()
-    assert len(suite.QUERIES) == 10
+    assert len(suite.QUERIES) == 13
