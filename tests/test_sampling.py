@@ -1,6 +1,11 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
+from strataspark.functions.hashing import keyed_uniform
 from strataspark.operators import sampling as sa
 
 
@@ -24,14 +29,50 @@ def test_per_key_n(skewed):
     }
 
 
-@pytest.mark.parametrize("n", [1, 900, 1001, 5000])
-def test_any_n_is_salted_and_right(skewed, n):
+def brute_picks(rows, n):
+    """Rank by rank, from the hash itself."""
+    by_key = {}
+    for i, k in rows:
+        draw = int(hashlib.md5(f"{i}|s".encode()).hexdigest()[:8], 16)
+        by_key.setdefault(k, []).append((draw, i))
+    return sorted(((k, i, p) for k, held in by_key.items() for p, (_, i) in enumerate(sorted(held), 1) if p <= n), key=repr)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 900, 1001, 5000])
+def test_any_n_equals_ranking_whole_keys(skewed, n):
     picked = sa.pick_n_per_key(skewed, "k", "id", "s", n)
-    plan = picked._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(k") == 2 and "__part" in plan
-    sizes = {r["k"]: r["count"] for r in skewed.groupBy("k").count().collect()}
-    got = {r["k"]: r["count"] for r in picked.groupBy("k").count().collect()}
-    assert got == {k: min(n, size) for k, size in sizes.items()}
+    want = brute_picks([(r.id, r.k) for r in skewed.collect()], n)
+    assert sorted(((r.k, r.id, r.pick) for r in picked.collect()), key=repr) == want
+
+
+def test_null_keys_and_null_n(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else i % 5) for i in range(400)], "id long, k int")
+    picked = sa.pick_n_per_key(df, "k", "id", "s", 30)
+    assert sorted(((r.k, r.id, r.pick) for r in picked.collect()), key=repr) == brute_picks([tuple(r) for r in df.collect()], 30)
+    assert sa.pick_n_per_key(df, "k", "id", "s", F.lit(None).cast("int")).count() == 0
+    assert sa.pick_n_per_key(df, "k", "id", "s", -1).count() == 0
+    assert sa.pick_n_per_key(df.limit(0), "k", "id", "s", 3).count() == 0
+
+
+def test_rows_are_ranked_by_key_and_part_only(skewed):
+    plan = plan_of(sa.pick_n_per_key(skewed, "k", "id", "s", 500))
+    windows = re.findall(r"Window \[([^\n]*)", plan)
+    ranking = [w for w in windows if "row_number" in w]
+    assert len(ranking) == 1 and re.search(r"\[__k#\d+, __part#\d+\]", ranking[0])
+    # The other one adds up counts: below it, rows are aggregated already.
+    adding = plan.index("sum(__held")
+    assert "HashAggregate" in plan[adding:] and len(windows) == 2
+
+
+def test_half_of_a_hot_key_is_ranked_in_small_tasks(spark):
+    # One key holds 90 % of the rows and gives half of them.
+    hot = spark.range(60_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"))
+    drawn = hot.select("id", F.struct("k").alias("__k"), F.floor(keyed_uniform(F.col("id"), "s") * sa.PARTS).cast("int").alias("__part"))
+    most = drawn.groupBy("__k", "__part").count().agg(F.max("count")).first()[0]
+    assert most <= 60  # of 54,000 rows of the key
+    picked = sa.pick_n_per_key(hot, "k", "id", "s", 27_000).filter("k = -1")
+    assert picked.count() == 27_000 and picked.agg(F.max("pick")).first()[0] == 27_000
+    assert picked.select("pick").distinct().count() == 27_000
 
 
 def test_sample_does_not_depend_on_partitions(skewed, rows):
