@@ -1,9 +1,12 @@
 """Survival analysis as aggregations: event tables, curves, bands and log-rank tests.
 
-Persons are reduced to one row per group and time before anything is ordered,
-so windows run over distinct times only.  Times in whole months are few by
-nature; for finer times ``bucket`` splits every running sum into sums of
-buckets and sums within a bucket, so one group never has to fit one task.
+Persons are reduced to one row per group and time before anything is ordered.
+Running sums over these rows are prefix sums by ranges: the rows are
+range-partitioned by group and time and stored with the number of their range
+(:func:`in_ranges`); totals per range are added up along the ranges, sums
+inside a range along its times, and the two are put together.  No task sees
+all times of a group, however fine they are and however they lie, and no
+caller has to choose an interval.
 """
 
 from __future__ import annotations
@@ -16,41 +19,50 @@ from pyspark.sql.window import Window
 
 from strataspark.functions.scalar import safe_ratio
 from strataspark.functions.stats import Z_95, chi2_upper_tail_df1, significance
+from strataspark.session import scratch_path
 
-_BUCKET = "__bucket"
+RANGE = "__range"
+
+
+def in_ranges(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Stored: ``df`` with ``RANGE``, the number of the range of ``by`` and ``order`` that a row lies in.
+
+    Ranges follow each other in order.  Their bounds come from Spark's own
+    sampling, so ranges hold about the same number of rows; the number is
+    stored, since another run might draw other bounds.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranges")
+    dealt = df.repartitionByRange(*by, order).withColumn(RANGE, F.spark_partition_id())
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
 def running_sums(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    sums: dict[str, Column],
-    descending: bool = False,
-    bucket: float | None = None,
+    df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column], descending: bool = False
 ) -> DataFrame:
     """Running sums within ``by`` along ``order`` over rows already unique in both.
 
-    Without ``bucket`` one window does it.  With it, rows are grouped into
-    intervals of that width: totals per interval are summed first, then rows
-    within their interval, and the two are added.
+    Rows that come :func:`in_ranges` keep their ranges, so several sums in a
+    row deal them out once; others are put in ranges first, and the result is
+    without them.
     """
+    if RANGE not in df.columns:
+        return running_sums(in_ranges(df, by, order), by, order, sums, descending).drop(RANGE)
     toward = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    if bucket is None:
-        frame = Window.partitionBy(*by).orderBy(toward(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(expr).over(frame) for name, expr in sums.items()})
-    rows = df.withColumn(_BUCKET, F.floor(F.col(order) / F.lit(float(bucket))))
-    keys = [*by, _BUCKET]
-    outer = Window.partitionBy(*by).orderBy(toward(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, RANGE]
+    # As many rows a group as it has ranges.
+    outer = Window.partitionBy(*by).orderBy(toward(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     inner = Window.partitionBy(*keys).orderBy(toward(order)).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*keys).agg(*[F.sum(expr).alias(f"__{name}") for name, expr in sums.items()])
+    totals = df.groupBy(*keys).agg(*[F.sum(expr).alias(f"__{name}") for name, expr in sums.items()])
     offsets = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[F.coalesce(F.sum(f"__{name}").over(outer), F.lit(0)).alias(f"__{name}") for name in sums],
     )
-    matches = [rows[k].eqNullSafe(offsets[f"__k_{k}"]) for k in keys]
-    joined = rows.join(offsets, matches)
+    matches = [df[k].eqNullSafe(offsets[f"__k_{k}"]) for k in keys]
+    joined = df.join(offsets, matches)
     added = joined.withColumns({name: F.sum(expr).over(inner) + F.col(f"__{name}") for name, expr in sums.items()})
-    return added.drop(_BUCKET, *[f"__{n}" for n in sums], *[f"__k_{k}" for k in keys])
+    return added.drop(*[f"__{n}" for n in sums], *[f"__k_{k}" for k in keys])
 
 
 def _leaving(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFrame:
@@ -60,35 +72,37 @@ def _leaving(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFra
     )
 
 
-def _at_risk(leaving: DataFrame, by: Sequence[str], bucket: float | None) -> DataFrame:
-    known = leaving.filter(F.col("t").isNotNull())
-    at_risk = running_sums(known, by, "t", {"n_at_risk": F.col("leaving")}, descending=True, bucket=bucket)
+def _at_risk(leaving: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Persons at risk, events and censored persons, in ranges."""
+    known = in_ranges(leaving.filter(F.col("t").isNotNull()), by, "t")
+    at_risk = running_sums(known, by, "t", {"n_at_risk": F.col("leaving")}, descending=True)
     return at_risk.select(
-        *by, "t", "n_at_risk", "n_events", (F.col("leaving") - F.col("n_events")).alias("n_censored")
+        *by, "t", "n_at_risk", "n_events", (F.col("leaving") - F.col("n_events")).alias("n_censored"), RANGE
     )
 
 
-def event_table(
-    df: DataFrame, time: str, event: str, by: Sequence[str] = (), bucket: float | None = None
-) -> DataFrame:
+def event_table(df: DataFrame, time: str, event: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group and time: persons at risk, events and censored persons.
 
     Persons without a time are left out.
     """
-    return _at_risk(_leaving(df, time, event, by), by, bucket)
+    return _at_risk(_leaving(df, time, event, by), by).drop(RANGE)
 
 
 def with_origin(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add a row at time 0 to groups that have none, with everybody at risk.
 
     One aggregated row per group, its first time and the most at risk, becomes
-    the row; no window orders all times of a group.
+    the row; it joins the range of the group's first time.
     """
     zero = F.lit(0).cast(events.schema["t"].dataType)
     nobody = F.lit(0).cast("long")
-    firsts = events.groupBy(*by).agg(F.min("t").alias("__first"), F.max("n_at_risk").alias("n_at_risk"))
+    ranges = [RANGE] if RANGE in events.columns else []
+    firsts = events.groupBy(*by).agg(
+        F.min("t").alias("__first"), F.max("n_at_risk").alias("n_at_risk"), *[F.min(r).alias(r) for r in ranges]
+    )
     starts = firsts.filter(F.col("__first") > 0).select(
-        *by, zero.alias("t"), "n_at_risk", nobody.alias("n_events"), nobody.alias("n_censored")
+        *by, zero.alias("t"), "n_at_risk", nobody.alias("n_events"), nobody.alias("n_censored"), *ranges
     )
     return events.select(*starts.columns).unionByName(starts)
 
@@ -98,7 +112,6 @@ def kaplan_meier(
     time: str,
     event: str,
     by: Sequence[str] = (),
-    bucket: float | None = None,
     origin: bool = True,
 ) -> DataFrame:
     """Survival per group and time: the running product of ``1 - events / at risk``.
@@ -107,10 +120,10 @@ def kaplan_meier(
     zero, at the time the last persons at risk all have the event, and makes
     the curve zero from there on.
     """
-    return _curve(event_table(df, time, event, by, bucket), by, bucket, origin)
+    return _curve(_at_risk(_leaving(df, time, event, by), by), by, origin)
 
 
-def _curve(events: DataFrame, by: Sequence[str], bucket: float | None, origin: bool) -> DataFrame:
+def _curve(events: DataFrame, by: Sequence[str], origin: bool) -> DataFrame:
     if origin:
         events = with_origin(events, by)
     alive = F.col("n_at_risk") - F.col("n_events")
@@ -120,10 +133,9 @@ def _curve(events: DataFrame, by: Sequence[str], bucket: float | None, origin: b
     summed = running_sums(
         events, by, "t",
         {"__log": step, "greenwood": spread, "__ended": (alive == 0).cast("int")},
-        bucket=bucket,
     )
     survival = F.when(F.col("__ended") > 0, F.lit(0.0)).otherwise(F.exp("__log"))
-    return summed.withColumn("survival", survival).drop("__log", "__ended")
+    return summed.withColumn("survival", survival).drop("__log", "__ended", RANGE)
 
 
 def km_confidence(curve: DataFrame, z: float = Z_95) -> DataFrame:
@@ -147,7 +159,6 @@ def logrank_test(
     first: object,
     second: object,
     by: Sequence[str] = (),
-    bucket: float | None = None,
 ) -> DataFrame:
     """Two-group log-rank test, optionally within strata: O, E, V, chi-squared.
 
@@ -166,7 +177,7 @@ def logrank_test(
         )
     )
     risk = running_sums(
-        per_time, by, "t", {"n": F.col("leaving"), "n1": F.col("leaving1")}, descending=True, bucket=bucket
+        per_time, by, "t", {"n": F.col("leaving"), "n1": F.col("leaving1")}, descending=True
     )
     share = F.col("n1") / F.col("n")
     # try_divide: a single person at risk contributes no variance
@@ -187,9 +198,7 @@ def logrank_pvalue(test: DataFrame) -> DataFrame:
     )
 
 
-def km_by_pattern(
-    df: DataFrame, time: str, event: str, pattern: str, k: int = 5, bucket: float | None = None
-) -> DataFrame:
+def km_by_pattern(df: DataFrame, time: str, event: str, pattern: str, k: int = 5) -> DataFrame:
     """Curves of the ``k`` most frequent categories with their sizes, in one job.
 
     Sizes are sums over the per-time counts, so the persons are read once.
@@ -204,7 +213,7 @@ def km_by_pattern(
     )
     kept = leaving.join(F.broadcast(sizes), pattern)  # k rows
     by = [pattern, "n", "events"]
-    return _curve(_at_risk(kept, by, bucket), by, bucket, True).drop("greenwood")
+    return _curve(_at_risk(kept, by), by, True).drop("greenwood")
 
 
 def subgroup_logrank(
@@ -215,10 +224,9 @@ def subgroup_logrank(
     first: object,
     second: object,
     stratum: str,
-    bucket: float | None = None,
 ) -> DataFrame:
     """A log-rank test with p-value inside every stratum, in one job."""
-    return logrank_pvalue(logrank_test(df, time, event, group, first, second, [stratum], bucket))
+    return logrank_pvalue(logrank_test(df, time, event, group, first, second, [stratum]))
 
 
 def event_rate_ratio(df: DataFrame, exposed: Column, event: str, digits: int = 2) -> DataFrame:

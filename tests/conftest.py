@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+from contextlib import contextmanager
 
 import pytest
 
@@ -47,3 +48,15 @@ def rows():
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+@contextmanager
+def ranges(spark, n):
+    """Deal rows into ``n`` ranges; small ones are not merged."""
+    asked = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    former = {k: spark.conf.get(k) for k in asked}
+    for k, v in asked.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in former.items():
+        spark.conf.set(k, v)

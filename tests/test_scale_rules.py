@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import ranges
 from strataspark import session
 from strataspark.operators import cohort as co
 from strataspark.operators import dashboard as da
@@ -21,28 +22,29 @@ def test_curves_survive_billions_at_risk(spark):
     events = spark.createDataFrame(
         [(1, 4_000_000_000, 1_000_000_000, 0), (2, 3_000_000_000, 3, 5)], "t long, n_at_risk long, n_events long, n_censored long"
     )
-    rows = su._curve(events, (), None, True).orderBy("t").collect()
+    rows = su._curve(events, (), True).orderBy("t").collect()
     assert [r.survival for r in rows] == pytest.approx([1.0, 0.75, 0.75 * (1 - 1e-9)])
     assert rows[1].greenwood == pytest.approx(1e9 / 4e9 / 3e9)
 
 
-@pytest.mark.parametrize("bucket", [None, 7.0])
-def test_buckets_change_nothing_with_an_origin(spark, bucket):
+def test_ranges_change_nothing_with_an_origin(spark):
     df = spark.range(500).select((F.col("id") % 97 + 1).alias("m"), (F.col("id") % 3 == 0).cast("int").alias("e"), (F.col("id") % 2).alias("g"))
     want = {(r.g, r.t): (r.n_at_risk, round(r.survival, 9)) for r in su.kaplan_meier(df, "m", "e", ["g"]).collect()}
-    got = su.kaplan_meier(df, "m", "e", ["g"], bucket=bucket)
-    assert {(r.g, r.t): (r.n_at_risk, round(r.survival, 9)) for r in got.collect()} == want
-    assert "row_number" not in plan_of(got)
-    patterns = su.km_by_pattern(df, "m", "e", "g", bucket=bucket)
-    assert {(r.g, r.t): (r.n_at_risk, round(r.survival, 9)) for r in patterns.collect()} == want
+    with ranges(spark, 9):
+        got = su.kaplan_meier(df, "m", "e", ["g"])
+        assert {(r.g, r.t): (r.n_at_risk, round(r.survival, 9)) for r in got.collect()} == want
+        assert "row_number" not in plan_of(got)
+        patterns = su.km_by_pattern(df, "m", "e", "g")
+        assert {(r.g, r.t): (r.n_at_risk, round(r.survival, 9)) for r in patterns.collect()} == want
 
 
-def test_subgroups_take_buckets(spark):
+def test_subgroups_in_ranges(spark):
     df = spark.range(400).select(
         (F.col("id") % 53).alias("m"), (F.col("id") % 4 == 0).cast("int").alias("e"), (F.col("id") % 2).alias("g"), (F.col("id") % 5).alias("s")
     )
-    one, many = (su.subgroup_logrank(df, "m", "e", "g", 0, 1, "s", bucket=b) for b in (None, 5.0))
-    assert {r.s: round(r.chi2, 9) for r in one.collect()} == {r.s: round(r.chi2, 9) for r in many.collect()}
+    one = {r.s: round(r.chi2, 9) for r in su.subgroup_logrank(df, "m", "e", "g", 0, 1, "s").collect()}
+    with ranges(spark, 11):
+        assert {r.s: round(r.chi2, 9) for r in su.subgroup_logrank(df, "m", "e", "g", 0, 1, "s").collect()} == one
 
 
 def test_threshold_zero_keeps_every_candidate(spark):

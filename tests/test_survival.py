@@ -1,9 +1,13 @@
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from conftest import plan_of, ranges
+
 from strataspark.functions.stats import Z_95
 from strataspark.operators import survival as su
 
@@ -43,10 +47,15 @@ def sample(seed, size=120):
     return [(rng.choice("ab"), rng.randint(0, 30), int(rng.random() < 0.6)) for _ in range(size)]
 
 
-@pytest.mark.parametrize("bucket", [None, 1, 7, 1000])
-def test_curve_matches_definition(spark, bucket):
-    people = sample(1)
-    got = su.kaplan_meier(frame(spark, people), "t", "e", ["g"], bucket=bucket, origin=False).collect()
+@pytest.mark.parametrize("n", [1, 3, 16])
+@pytest.mark.parametrize("origin", [True, False])
+def test_curve_matches_definition(spark, n, origin):
+    people = [p for p in sample(1) if p[1] > 0]
+    with ranges(spark, n):
+        got = su.kaplan_meier(frame(spark, people), "t", "e", ["g"], origin=origin).collect()
+    if origin:
+        assert {(r["g"], r["survival"]) for r in got if r["t"] == 0} == {("a", 1.0), ("b", 1.0)}
+        got = [r for r in got if r["t"] > 0]
     for g in "ab":
         want = brute_curve([(t, e) for h, t, e in people if h == g])
         mine = sorted((r["t"], r["n_at_risk"], r["n_events"], r["survival"]) for r in got if r["g"] == g)
@@ -101,12 +110,13 @@ def test_band_value(spark):
     assert r["ci_upper"] == pytest.approx(math.exp(-math.exp(math.log(-math.log(s)) + width)))
 
 
-@pytest.mark.parametrize("bucket", [None, 5])
-def test_logrank_matches_definition(spark, bucket):
+@pytest.mark.parametrize("n", [1, 7])
+def test_logrank_matches_definition(spark, n):
     people = sample(7)
     a, b = ([(t, e) for h, t, e in people if h == g] for g in "ab")
     o, e, v = brute_logrank(a, b)
-    got = su.logrank_pvalue(su.logrank_test(frame(spark, people), "t", "e", "g", "a", "b", bucket=bucket)).first()
+    with ranges(spark, n):
+        got = su.logrank_pvalue(su.logrank_test(frame(spark, people), "t", "e", "g", "a", "b")).first()
     assert got["observed"] == o
     assert got["expected"] == pytest.approx(e, abs=1e-10)
     assert got["variance"] == pytest.approx(v, abs=1e-10)
@@ -129,12 +139,43 @@ def test_subgroups_equal_separate_tests(spark):
         assert joint[s] == pytest.approx(alone)
 
 
-def test_null_group_is_kept_in_buckets(spark):
+def test_null_group_is_kept_in_ranges(spark):
     people = [(None, 1, 1), (None, 5, 0), ("a", 2, 1)]
-    got = su.event_table(frame(spark, people), "t", "e", ["g"], bucket=2).collect()
+    with ranges(spark, 4):
+        got = su.event_table(frame(spark, people), "t", "e", ["g"]).collect()
     assert {(r["g"], r["t"], r["n_at_risk"]) for r in got} == {(None, 1, 2), (None, 5, 1), ("a", 2, 1)}
 
 
+def test_millions_of_distinct_times_equal_one_window(spark):
+    # Ninety per cent of the times lie in a thousandth of the span, and one group holds nearly all persons.
+    people = spark.range(1_500_000).select(
+        F.when(F.col("id") % 50 == 0, "small").otherwise("large").alias("g"),
+        (F.when(F.col("id") % 10 == 0, F.col("id") * 1.0).otherwise(F.col("id") / 1500.0) + 0.25).alias("t"),
+        (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("int").alias("e"),
+    )
+    with ranges(spark, 24):
+        got = su.kaplan_meier(people, "t", "e", ["g"], origin=False)
+        seen = got.agg(F.count("*"), F.sum("survival"), F.sum("greenwood"), F.sum("n_at_risk"), F.min("survival")).first()
+        per = su.in_ranges(people.select("g", "t"), ["g"], "t").groupBy(su.RANGE).count().collect()
+    assert len(per) >= 20 and max(r["count"] for r in per) < 3 * 1_500_000 / 24
+    w = Window.partitionBy("g").orderBy("t")
+    risk = people.withColumn("n", F.count("*").over(w.orderBy(F.desc("t"))))
+    alive = F.col("n") - F.col("e")
+    logs = F.sum(F.when(alive > 0, F.log1p(-F.col("e") / F.col("n"))).otherwise(0)).over(w)
+    ended = F.max((alive == 0).cast("int")).over(w)
+    green = F.sum(F.when(alive > 0, F.col("e") / F.col("n") / alive).otherwise(0)).over(w)
+    whole = risk.select("n", F.when(ended == 1, 0.0).otherwise(F.exp(logs)).alias("s"), green.alias("green"))
+    want = whole.agg(F.count("*"), F.sum("s"), F.sum("green"), F.sum("n"), F.min("s")).first()
+    assert tuple(seen) == pytest.approx(tuple(want), rel=1e-9)
+
+
+def test_no_window_sees_all_times_of_a_group(spark):
+    plan = plan_of(su.kaplan_meier(frame(spark, sample(2)), "t", "e", ["g"]))
+    for line in re.findall(r"Window \[([^\n]*)", plan):
+        # Either within a range, or over totals of ranges.
+        assert re.search(rf"\[g#\d+, {su.RANGE}#\d+\]", line) or re.search(rf"\[g#\d+\], \[{su.RANGE}#\d+ ", line), line
+
+
 def test_patterns_take_the_k_largest(spark):
     people = [("a", 1, 1)] * 3 + [("b", 2, 0)] * 2 + [("c", 3, 1)] + [(None, 4, 1)] * 9
     got = su.km_by_pattern(frame(spark, people), "t", "e", "g", 2)
