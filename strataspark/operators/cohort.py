@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.functions.months import blocks_of, month_masks, month_span, months_held
 from strataspark.functions.scalar import any_of, in_list, safe_ratio
 from strataspark.sources.codes import flatten
 
@@ -41,7 +42,7 @@ def cohort_by_code(
     return distinct_keys(claims_with(listed, claims.select(key, claim), claim), key)
 
 
-def exposure_months(
+def exposure_masks(
     facts: DataFrame,
     claims: DataFrame,
     codes: Sequence[str],
@@ -49,20 +50,42 @@ def exposure_months(
     claim: str = "receipt_id",
     month: str = "service_month",
     code: str = "code",
+    period: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Distinct claim months per person over the claims that carry a listed code.
+    """The set of exposure months per person, as bits (:mod:`strataspark.functions.months`).
 
     Facts are reduced to distinct claims first, so neither side of the join
     holds a claim more often than needed and a claim with very many facts is
     one row.  When the facts name the person themselves that key counts,
-    otherwise the claim's person does and the join is only a semi join.
+    otherwise the claim's person does and the join is only a semi join.  Months
+    are united in every task before persons are shuffled, once.
+
+    ``period`` names the first and last month of the claims; without it one
+    pass over their months finds them.  Tables of several periods merge with
+    ``merge_month_masks``.  Texts that are no ``yyyyMM`` count as no month.
     """
     listed = facts.filter(in_list(F.col(code), codes))
     if key in facts.columns:
         dated = listed.select(key, claim).distinct().join(claims.select(claim, month), claim)
     else:
         dated = claims_with(listed, claims.select(key, claim, month), claim)
-    return dated.groupBy(key).agg(F.countDistinct(month).alias("prescription_months"))
+    blocks = blocks_of(period or month_span(claims, month))
+    return dated.groupBy(key).agg(*month_masks(F.col(month), blocks))
+
+
+def exposure_months(
+    facts: DataFrame,
+    claims: DataFrame,
+    codes: Sequence[str],
+    key: str = "common_key",
+    claim: str = "receipt_id",
+    month: str = "service_month",
+    code: str = "code",
+    period: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Distinct claim months per person over the claims that carry a listed code."""
+    masks = exposure_masks(facts, claims, codes, key, claim, month, code, period)
+    return masks.select(key, months_held(masks.columns).alias("prescription_months"))
 
 
 def cohort_by_exposure(
@@ -156,19 +179,9 @@ def _flags(groups: Mapping[str, Sequence[str]]) -> list[Column]:
     return [_bit(i).alias(name) for i, name in enumerate(groups)]
 
 
-def facts_of(
-    facts: DataFrame, members: DataFrame, key: str = "common_key", claims: DataFrame | None = None, claim: str = "receipt_id"
-) -> DataFrame:
-    """The members' facts, by person key or else by the members' claims.
-
-    A semi join against a small key set: the planner broadcasts the keys when
-    they are small and otherwise meets them by key, where adaptive execution
-    splits a hot key of the facts.
-    """
-    keys = members.select(key)
-    if key in facts.columns:
-        return facts.join(keys, key, "left_semi")
-    return facts.join(claims.join(keys, key, "left_semi").select(claim), claim, "left_semi")
+def claims_of(claims: DataFrame, members: DataFrame, key: str = "common_key") -> DataFrame:
+    """The members' claims."""
+    return claims.join(members.select(key), key, "left_semi")
 
 
 def flag_pivot(
@@ -180,20 +193,26 @@ def flag_pivot(
     claims: DataFrame | None = None,
     claim: str = "receipt_id",
     members: DataFrame | None = None,
+    own_claims: DataFrame | None = None,
 ) -> DataFrame:
     """Long facts to one row per key with a 0/1 column per code group.
 
     Groups nobody has still get a column of zeros.  ``listed_only`` drops facts
     outside every group before the shuffle; keys without a listed code are then
     absent and left to the caller's left join.  Facts without the key become
-    one row per claim first, and those rows meet ``claims``.  With ``members``
-    only their facts are aggregated.
+    one row per claim first, and those rows meet ``claims``.
+
+    With ``members`` only their facts are aggregated: facts meet the members'
+    claims in one join, which the planner makes a broadcast where these are
+    few.  ``own_claims`` are the members' claims, when they are stored.
     """
     rows = facts.filter(in_list(F.col(code), flatten(groups))) if listed_only else facts
-    if members is not None:
-        rows = facts_of(rows, members, key, claims, claim)
     if key in facts.columns:
-        per_key = rows.groupBy(key).agg(*_masks(groups, code))
+        mine = rows if members is None else rows.join(members.select(key), key, "left_semi")
+        per_key = mine.groupBy(key).agg(*_masks(groups, code))
+    elif members is not None or own_claims is not None:
+        own = claims_of(claims, members, key) if own_claims is None else own_claims
+        per_key = rows.join(own.select(claim, key), claim).groupBy(key).agg(*_masks(groups, code))
     else:
         per_claim = rows.groupBy(claim).agg(*_masks(groups, code))
         per_key = per_claim.join(claims.select(claim, key), claim).groupBy(key).agg(*_merged(groups))
@@ -210,28 +229,36 @@ def flags_and_months(
     month: str = "service_month",
     code: str = "code",
     members: DataFrame | None = None,
+    own_claims: DataFrame | None = None,
+    period: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Code-group flags and exposure months per person from a single pass over the facts.
 
     Equal to :func:`flag_pivot` (listed codes only) beside
     :func:`exposure_months`, at the price of one scan and one join.  Persons
-    without exposure have 0 months.  With ``members`` only their facts are
-    aggregated.
+    without exposure have 0 months.  ``members`` and ``own_claims`` are those
+    of :func:`flag_pivot`, ``period`` is that of :func:`exposure_masks`.
     """
     wanted = {**groups, "__exposed": list(codes)}
     listed = facts.filter(in_list(F.col(code), flatten(wanted)))
-    if members is not None:
-        listed = facts_of(listed, members, key, claims, claim)
-    if key in facts.columns:
-        per_claim = listed.groupBy(key, claim).agg(*_masks(wanted, code))
-        # A fact whose claim is unknown keeps its flags and adds no month.
-        dated = per_claim.join(claims.select(claim, month), claim, "left")
+    dates = claims if own_claims is None else own_claims
+    blocks = blocks_of(period or month_span(dates, month))
+    months = month_masks(F.col(month), blocks, _bit(len(groups)) == 1)
+    if key not in facts.columns and (members is not None or own_claims is not None):
+        own = claims_of(claims, members, key) if own_claims is None else own_claims
+        exposed = month_masks(F.col(month), blocks, in_list(F.col(code), codes))
+        per_key = listed.join(own.select(claim, key, month), claim).groupBy(key).agg(*exposed, *_masks(wanted, code))
     else:
-        per_claim = listed.groupBy(claim).agg(*_masks(wanted, code))
-        dated = per_claim.join(claims.select(claim, key, month), claim)
-    exposed_month = F.when(_bit(len(groups)) == 1, F.col(month))
-    per_key = dated.groupBy(key).agg(F.countDistinct(exposed_month).alias("prescription_months"), *_merged(wanted))
-    return per_key.select(key, "prescription_months", *_flags(groups))
+        if key in facts.columns:
+            mine = listed if members is None else listed.join(members.select(key), key, "left_semi")
+            per_claim = mine.groupBy(key, claim).agg(*_masks(wanted, code))
+            # A fact whose claim is unknown keeps its flags and adds no month.
+            dated = per_claim.join(claims.select(claim, month), claim, "left")
+        else:
+            per_claim = listed.groupBy(claim).agg(*_masks(wanted, code))
+            dated = per_claim.join(claims.select(claim, key, month), claim)
+        per_key = dated.groupBy(key).agg(*months, *_merged(wanted))
+    return per_key.select(key, months_held(per_key.columns).alias("prescription_months"), *_flags(groups))
 
 
 def coalesce_flags(df: DataFrame, flags: Sequence[str]) -> DataFrame:

@@ -88,30 +88,40 @@ def members(tables: ClaimsTables, spec: CohortSpec) -> DataFrame:
     return co.cohort_by_exposure(candidates(tables, spec), exposure(tables, spec), spec.min_months)
 
 
-def exposed_candidates(tables: ClaimsTables, spec: CohortSpec, people: DataFrame | None = None) -> DataFrame:
+def candidate_claims(tables: ClaimsTables, people: DataFrame) -> DataFrame:
+    """The candidates' claims; stored once, they stand for claims and candidates in every pass over facts."""
+    return co.claims_of(tables.receipts.select("receipt_id", "common_key", "service_month"), people)
+
+
+def exposed_candidates(
+    tables: ClaimsTables, spec: CohortSpec, people: DataFrame | None = None, own_claims: DataFrame | None = None
+) -> DataFrame:
     """Every candidate with exposure months and drug flags, one row per person.
 
     One pass over the diagnosis facts and one over the medication facts; each
     definition of the cohort is a filter on the result.  Only the candidates'
-    medication facts are aggregated, so ``people``, the candidates, are used
-    twice: give them when they are already stored.
+    medication facts are aggregated: give ``people``, the candidates, and
+    ``own_claims``, their claims, when they are already stored.
     """
     people = candidates(tables, spec) if people is None else people
     drugs = co.flags_and_months(
-        tables.medication, tables.receipts, spec.drug_groups, spec.exposure_codes, members=people
+        tables.medication, tables.receipts, spec.drug_groups, spec.exposure_codes, members=people, own_claims=own_claims
     )
     return co.with_exposure(people, drugs)
 
 
-def master(tables: ClaimsTables, spec: CohortSpec, exposed: DataFrame | None = None) -> DataFrame:
+def master(
+    tables: ClaimsTables, spec: CohortSpec, exposed: DataFrame | None = None, own_claims: DataFrame | None = None
+) -> DataFrame:
     """One row per member with attributes, months and flags.
 
-    ``exposed`` is :func:`exposed_candidates`, given when it is already stored.
+    ``exposed`` is :func:`exposed_candidates` and ``own_claims``
+    :func:`candidate_claims`, given when they are already stored.
     """
     exposed = exposed_candidates(tables, spec) if exposed is None else exposed
     chosen = exposed.filter(F.col("prescription_months") >= spec.min_months)
     procedures = co.flag_pivot(
-        tables.procedure, spec.procedure_groups, listed_only=True, claims=tables.receipts, members=chosen
+        tables.procedure, spec.procedure_groups, listed_only=True, claims=tables.receipts, members=chosen, own_claims=own_claims
     )
     persons = tables.patients.withColumn(
         "age_group", band_left_closed(F.col("age"), spec.age_edges, spec.age_labels)
@@ -197,10 +207,13 @@ def run(tables: ClaimsTables, spec: CohortSpec, target: str, declared: bool = Tr
         written[name] = write_overwrite(df, path, schema if declared else None)
         return scan_table(spark, path)
 
-    keys = f"{target}/silver/candidate_keys"
+    keys, claims = f"{target}/silver/candidate_keys", f"{target}/silver/candidate_claims"
     write_overwrite(candidates(tables, spec), keys)
-    exposed = store("silver", "candidates", exposed_candidates(tables, spec, scan_table(spark, keys)))
-    cohort = store("silver", "cohort", master(tables, spec, exposed), SILVER["cohort"])
+    people = scan_table(spark, keys)
+    write_overwrite(candidate_claims(tables, people), claims)
+    own_claims = scan_table(spark, claims)
+    exposed = store("silver", "candidates", exposed_candidates(tables, spec, people, own_claims))
+    cohort = store("silver", "cohort", master(tables, spec, exposed, own_claims), SILVER["cohort"])
     store("silver", "definitions_summary", definitions(tables, spec, exposed), SILVER["definitions_summary"])
     published = codes.reference_values(
         spark, codes.PUBLISHED_AGE_TABLE, "age_group", ["paper_pct", "paper_prevalence"]

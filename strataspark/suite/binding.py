@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.plans.claims import ClaimsTables, CohortSpec, candidates, exposed_candidates, master
+from strataspark.plans.claims import ClaimsTables, CohortSpec, candidate_claims, candidates, exposed_candidates, master
 from strataspark.session import scratch_path
 from strataspark.sources import star
 from strataspark.sources.tables import scan_table, write_overwrite
@@ -33,9 +33,11 @@ def star_claims(spark: SparkSession, folder: str) -> ClaimsTables:
 
 
 def star_master(spark: SparkSession, folder: str) -> DataFrame:
-    """The cohort; candidates and their exposure are stored, since both are used more than once."""
+    """The cohort; candidates, their claims and their exposure are stored, since each is used more than once."""
     claims, path = star_claims(spark, folder), scratch_path(spark, "silver")
     write_overwrite(candidates(claims, STAR_SPEC), f"{path}/keys")
     people = scan_table(spark, f"{path}/keys")
-    write_overwrite(exposed_candidates(claims, STAR_SPEC, people), f"{path}/exposed")
-    return master(claims, STAR_SPEC, scan_table(spark, f"{path}/exposed"))
+    write_overwrite(candidate_claims(claims, people), f"{path}/claims")
+    own_claims = scan_table(spark, f"{path}/claims")
+    write_overwrite(exposed_candidates(claims, STAR_SPEC, people, own_claims), f"{path}/exposed")
+    return master(claims, STAR_SPEC, scan_table(spark, f"{path}/exposed"), own_claims)
