@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,75 @@ def join_facts(
     return spread.join(copies, [key, "__salt"]).drop("__salt")
 
 
+# A key is hot from this share of all facts on.
+HOT_SHARE = 0.001
+# Items that a sketch tracks.  Every key of more than about 3.5 / 8192 of the
+# rows, less than half of HOT_SHARE, is certain to be among them.
+TRACKED = 10_000
+
+
+def key_sketch(facts: DataFrame, key: str, tracked: int = TRACKED) -> DataFrame:
+    """One row: the sketch of frequent keys and the number of rows, null keys left out.
+
+    Sketches of parts or of several days are united by :func:`merge_key_sketches`.
+    """
+    known = facts.filter(F.col(key).isNotNull())
+    return known.agg(
+        F.call_function("approx_top_k_accumulate", F.col(key), F.lit(tracked)).alias("sketch"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def merge_key_sketches(sketches: Sequence[DataFrame], tracked: int = TRACKED) -> DataFrame:
+    """One sketch for all the rows that the given ones have seen."""
+    united = reduce(DataFrame.unionByName, sketches)
+    return united.agg(F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(tracked)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def hot_keys(sketch: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys with at least about ``share`` of all rows, and in how many ``pieces`` each is to be cut.
+
+    A piece holds about ``share`` of all rows.  There are no more than
+    ``2 / share`` such keys, whatever the table: a local relation of proven size.
+    """
+    most = int(2 / share)
+    spark = sketch.sparkSession
+    counted = sketch.select("n", F.explode(F.call_function("approx_top_k_estimate", F.col("sketch"), F.lit(most))).alias("e"))
+    rows = counted.filter(F.col("e.count") >= F.col("n") * share / 2).select(
+        F.col("e.item").alias(key), F.ceil(F.col("e.count") / (F.col("n") * share)).cast("int").alias("pieces")
+    )
+    return spark.createDataFrame(rows.collect(), rows.schema)
+
+
+def join_hot(
+    facts: DataFrame,
+    claims: DataFrame,
+    key: str,
+    spread_by: Sequence[str],
+    hot: DataFrame | None = None,
+    share: float = HOT_SHARE,
+) -> DataFrame:
+    """Inner join of facts with the claims they belong to, in which only hot keys are salted.
+
+    A sketch finds the hot keys and how hot they are (``hot``, when it is known
+    already).  Facts of a hot key are dealt to its pieces by a hash of the
+    ``spread_by`` columns, so a task that is run again sends every row to the
+    same place; its claims are repeated once per piece.  All other keys, the
+    bulk of the claims, are joined as they are.  No task gets much more than
+    ``share`` of the facts beside its even part.
+    """
+    if not spread_by:
+        raise ValueError("name the columns that tell the facts of one claim apart")
+    hot = hot_keys(key_sketch(facts, key), key, share) if hot is None else hot
+    few = F.broadcast(hot.select(F.col(key).alias("__hot"), "pieces"))  # 2 / share rows at most
+    pieces = F.coalesce(F.col("pieces"), F.lit(1))
+    known = facts.join(few, F.col(key) == F.col("__hot"), "left")
+    salt = F.pmod(F.xxhash64(*spread_by), pieces.cast("long")).cast("int")
+    dealt = known.withColumn("__salt", F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(salt)).drop("__hot", "pieces")
+    copies = claims.join(few, F.col(key) == F.col("__hot"), "left")
+    copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__hot", "pieces")
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def enrich(master: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Left join of one-row-per-key tables to a master."""
     for table in tables:
@@ -71,18 +141,18 @@ def activity_panel(
 ) -> DataFrame:
     """A panel of entity and month with the activity of each month, zero where there was none.
 
-    Activity is counted into one array per entity and unfolded after the join,
-    so entities are shuffled once each and not once per month.
+    Activity is counted per entity and month, and the months an entity has are
+    gathered into one map, which is unfolded beside the list of months after
+    the join.  So entities are shuffled once each and not once per month, no
+    expression grows with the length of the period, and a map holds the months
+    with activity only.
     """
     months = month_list(first, last)
-    counts = activity.filter(F.col(month).between(first, last)).groupBy(key).agg(
-        F.array(*[F.count_if(F.col(month) == m) for m in months]).alias("__counts")
-    )
-    none = F.array_repeat(F.lit(0).cast("long"), len(months))
-    rows = F.arrays_zip(
-        _month_array(months).alias(month), F.coalesce(F.col("__counts"), none).alias(measure)
-    )
-    return entities.join(counts, key, "left").select(*[F.col(c) for c in entities.columns], F.inline(rows))
+    held = activity.filter(F.col(month).between(first, last)).groupBy(key, month).agg(F.count(F.lit(1)).alias("__n"))
+    maps = held.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(month, "__n"))).alias("__months"))
+    panel = entities.join(maps, key, "left").withColumn(month, F.explode(_month_array(months)))
+    count = F.coalesce(F.element_at("__months", F.col(month)), F.lit(0).cast("long"))
+    return panel.select(*entities.columns, month, count.alias(measure))
 
 
 def lookup_left(df: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -22,6 +22,21 @@ def _(spark, sf):
     return joined.groupBy("code", "service_month").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "join_hot_keys",
+    """SELECT n_name, COUNT(*) AS n, SUM(l_quantity) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+       JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
+)
+def _(spark, sf):
+    lines = star.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    suppliers = star.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    facts = lines.join(suppliers, "l_suppkey")
+    # Twenty-five nations share all lines: every key is hot.
+    nations = star.read(spark, sf, "nation").select("n_nationkey", "n_name")
+    joined = jo.join_hot(facts, nations, "n_nationkey", ["l_orderkey", "l_linenumber"])
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
 @query(
     "join_inner_keyed",
     with_("def0", "months") + "SELECT common_key, prescription_months FROM def0 JOIN months USING (common_key)",
