@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -96,6 +98,96 @@ def write_overwrite(
     return int(seen.get["rows"])
 
 
+@dataclass(frozen=True)
+class Expectation:
+    """A test that the rows of a table are to pass; at most the share ``most`` of them may fail.
+
+    A null test fails.
+    """
+
+    name: str
+    test: Column
+    most: float = 0.0
+
+
+class ExpectationFailed(ValueError):
+    """A table was not published; ``counts`` has the rows written and the failures of each expectation."""
+
+    def __init__(self, target: str, broken: Sequence[str], counts: Mapping[str, int]):
+        super().__init__(f"{target} keeps its former state; expectations that failed: {', '.join(broken)} ({dict(counts)})")
+        self.broken, self.counts = list(broken), dict(counts)
+
+
+def write_expected(
+    df: DataFrame,
+    target: str,
+    expectations: Sequence[Expectation],
+    schema: StructType | None = None,
+    partition_by: Sequence[str] = (),
+    least_rows: int = 0,
+) -> dict[str, int]:
+    """Replace a parquet folder if the rows meet what is expected of them; failures per expectation, and ``rows``.
+
+    Failures are counted while the rows are written, by the tasks that write
+    them: there is no second scan.  The rows go to a folder beside the target,
+    which takes the target's place only when every expectation holds.
+    Otherwise it is removed, the target stays as it was and readable, and
+    :class:`ExpectationFailed` tells the counts.  A run that was cut off leaves
+    the target alone as well.
+    """
+    if "/" not in target:
+        raise ValueError("only folders are published by expectations")
+    names = [e.name for e in expectations]
+    if len({*names, "rows"}) != len(names) + 1:
+        raise ValueError(f"expectations need names of their own: {names}")
+    out = conform(df, schema) if schema is not None else df
+    if partition_by:
+        out = out.hint("rebalance", *partition_by)
+    seen = Observation()
+    failures = [F.count_if(~F.coalesce(e.test, F.lit(False))).alias(e.name) for e in expectations]
+    staged = f"{target.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    writer = out.observe(seen, F.count(F.lit(1)).alias("rows"), *failures).write.format("parquet")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.save(staged)
+    counts = {name: int(n) for name, n in seen.get.items()}
+    broken = [e.name for e in expectations if counts[e.name] > e.most * counts["rows"]]
+    if counts["rows"] < least_rows:
+        broken.append("rows")
+    if broken:
+        _remove(df.sparkSession, staged)
+        raise ExpectationFailed(target, broken, counts)
+    _put_in_place(df.sparkSession, staged, target)
+    return counts
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def _put_in_place(spark: SparkSession, staged: str, target: str) -> None:
+    """Let a finished folder take the place of another; the former one is put back if that fails."""
+    new, files = _file_system(spark, staged)
+    place, _ = _file_system(spark, target)
+    aside, _ = _file_system(spark, f"{target.rstrip('/')}__former_{uuid.uuid4().hex}")
+    had = files.exists(place)
+    if had and not files.rename(place, aside):
+        raise OSError(f"cannot move {target} aside")
+    if not files.rename(new, place):
+        if had:
+            files.rename(aside, place)
+        raise OSError(f"cannot put {staged} in the place of {target}")
+    if had:
+        files.delete(aside, True)
+    spark.catalog.refreshByPath(target)
+
+
 def create_table_as(spark: SparkSession, target: str, query: str | DataFrame, schema: StructType | None = None) -> DataFrame:
     """Create or replace a table from SQL text or a DataFrame and return it as a scan.
 
