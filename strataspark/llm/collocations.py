@@ -3,10 +3,14 @@
 The layout is that of external language-model estimation: everything is a
 stream of counted word rows in sorted order, and streams are merged in step.
 
+0. A first pass counts pairs of neighbouring words by 64-bit digests and marks
+   those of ``least`` and more in a bit map of fixed size.  A phrase holds no
+   pair below ``least``; digests and bits that fall together only let more through.
 1. Every word occurrence gives one window: it and the words behind it in its
-   piece, ``longest`` in all.  The n-grams that begin at a word are the
-   prefixes of its window, so this one stream holds the counts of all lengths.
-   Equal windows of a batch are added up before they leave the worker.
+   piece, up to the first pair that is not marked, ``longest`` in all.  The
+   n-grams that begin at a word are the prefixes of its window, so this one
+   stream holds the counts of all lengths.  Equal windows of a batch are added
+   up before they leave the worker.
 2. The stream is range-sorted: windows lie in *prefix order*, and all windows
    that begin with an n-gram are neighbours.  One pass over each partition
    sums them by length.  Groups inside a partition are whole; the first and
@@ -31,6 +35,7 @@ gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -60,21 +65,66 @@ def _table() -> bytes:
 TABLE = _table()
 
 
+class Words:
+    """The words of UTF-8 texts that line feeds keep apart, in one buffer with a space behind each."""
+
+    def __init__(self, data: bytes):
+        raw = data.translate(TABLE)
+        buffer = np.frombuffer(raw, np.uint8)
+        blank = (buffer == 32) | (buffer == 10)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+        first, last = edges[::2], edges[1::2]
+        piece = np.searchsorted(np.flatnonzero(buffer == 10), first)
+        self.joined = b" ".join(raw.split()) + b" "
+        self.starts = np.concatenate([[0], np.cumsum(last - first + 1)])
+        self.count = len(first)
+        # Whether a word and the next one stand in one piece.
+        self.paired = piece[1:] == piece[:-1] if self.count else np.empty(0, bool)
+
+    def pair_digests(self, lang: str) -> np.ndarray:
+        """A 64-bit digest of each word with the next one."""
+        if self.count < 2:
+            return np.empty(0, np.uint64)
+        data = np.frombuffer(self.joined, np.uint8)
+        power = np.full(len(data), BASE, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * power)])
+        begin, end = self.starts[:-2], self.starts[2:]
+        # Shifted to one common power instead of dividing by the power of the place.
+        h = (sums[end] - sums[begin]) * power[len(data) - 1 - begin]
+        h *= _power(np.uint64(BASE), SHIFT - len(data))
+        h += np.uint64(zlib.crc32(lang.encode()))
+        h *= MIX
+        h ^= h >> np.uint64(32)
+        h *= MIX
+        return h ^ h >> np.uint64(29)
+
+    def windows(self, marked: np.ndarray, longest: int) -> list[bytes]:
+        """The window of every word: it and those behind it, as far as pairs of one piece are marked."""
+        going = np.concatenate([marked & self.paired, [False]])[: self.count]
+        stop, on = np.arange(1, self.count + 1), np.ones(self.count, bool)
+        for k in range(longest - 1):
+            on = on & np.concatenate([going[k:], np.zeros(min(k, self.count), bool)])[: self.count]
+            stop += on
+        return [self.joined[a:b] for a, b in zip(self.starts[:-1].tolist(), self.starts[stop].tolist())]
+
+
+BASE = 0x9E3779B97F4A7C15
+MIX = np.uint64(0xC2B2AE3D27D4EB4F)
+# Every digest is written to this power of the base, so it does not depend on the batch.
+SHIFT = 1 << 40
+BITS = 1 << 27
+
+
+def _power(base: np.uint64, n: int) -> np.uint64:
+    return np.uint64(pow(int(base), n, 1 << 64))
+
+
 def windows(data: bytes, longest: int = LONGEST) -> list[bytes]:
-    """The window of every word of UTF-8 texts that line feeds keep apart; each word is followed by one space."""
-    raw = data.translate(TABLE)
-    buffer = np.frombuffer(raw, np.uint8)
-    blank = (buffer == 32) | (buffer == 10)
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    first, last = edges[::2], edges[1::2]
-    if not len(first):
-        return []
-    piece = np.searchsorted(np.flatnonzero(buffer == 10), first)
-    joined = b" ".join(raw.split()) + b" "
-    starts = np.concatenate([[0], np.cumsum(last - first + 1)])
-    ends_of_pieces = np.searchsorted(piece, piece, "right")
-    stop = np.minimum(np.arange(len(first)) + longest, ends_of_pieces)
-    return [joined[a:b] for a, b in zip(starts[:-1].tolist(), starts[stop].tolist())]
+    """The window of every word where every pair is marked."""
+    words = Words(data)
+    return words.windows(np.ones(len(words.paired), bool), longest)
 
 
 def _escaped(lang: str) -> bytes:
@@ -85,24 +135,60 @@ def _unescaped(lang: bytes) -> str:
     return lang.replace(b"%0A", b"\n").replace(b"%20", b" ").replace(b"%25", b"%").decode()
 
 
-def window_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(window, n): language, line feed and the words of each window, counted by batch."""
+def _rows(docs: DataFrame) -> DataFrame:
     need_columns(docs, "text", "lang")
-    rows = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), text_of().alias("text"))
+    return docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), text_of().alias("text"))
+
+
+def _by_lang(piece: pa.RecordBatch) -> list[tuple[str, Words]]:
+    held: dict[str, list[str]] = {}
+    for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+        held.setdefault(lang, []).append(text)
+    return [(lang, Words("\n".join(texts).encode())) for lang, texts in held.items()]
+
+
+def _places(digests: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each digest in the map."""
+    return [(digests & np.uint64(BITS - 1)).astype(np.int64), (digests >> np.uint64(37)).astype(np.int64) & (BITS - 1)]
+
+
+def marked_pairs(docs: DataFrame, least: int = LEAST) -> np.ndarray:
+    """The bit map of pairs of at least ``least`` occurrences; 16 MB, whatever the table."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        by_lang: dict[str, list[str]] = {}
-        for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-            by_lang.setdefault(lang, []).append(text)
+        found = [w.pair_digests(lang)[w.paired] for lang, w in _by_lang(piece)]
+        digests, counts = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(counts)], names=["digest", "n"])
+
+    counted = map_texts(_rows(docs), run, "digest long, n long", limit=8 << 20)
+    often = counted.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    places = F.array(F.col("digest").bitwiseAND(F.lit(BITS - 1)), F.shiftrightunsigned("digest", 37).bitwiseAND(F.lit(BITS - 1)))
+    bits = often.select(F.explode(places).alias("at")).select(
+        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit")
+    )
+    # One row for a word of the map: two million at most.
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def window_counts(docs: DataFrame, pairs: np.ndarray, longest: int = LONGEST) -> DataFrame:
+    """(window, n): language, line feed and the words of each window, counted by batch; ``pairs`` is the map of marked pairs."""
+    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        table, one = sent.value, np.uint64(1)
         keys, counts = [], []
-        for lang, texts in by_lang.items():
-            found = Counter(windows("\n".join(texts).encode(), longest))
+        for lang, words in _by_lang(piece):
+            first, second = (table[at >> 6] >> (at & 63).astype(np.uint64) & one for at in _places(words.pair_digests(lang)))
+            found = Counter(words.windows((first & second).astype(bool), longest))
             before = _escaped(lang) + b"\n"
             keys += [before + w for w in found]
             counts += found.values()
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["window", "n"])
 
-    return map_texts(rows, run, "window binary, n long", limit=4 << 20)
+    return map_texts(_rows(docs), run, "window binary, n long", limit=8 << 20)
 
 
 class Scan:
@@ -186,7 +272,7 @@ class Scan:
 def gram_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """Stored: (lang, phrase, k, n) of every phrase of 1 to ``longest`` words with n >= least, and each language's words as k = 0."""
     # Stored, because dealing by ranges looks at the rows twice.
-    counted = stored(window_counts(docs, longest), "windows")
+    counted = stored(window_counts(docs, marked_pairs(docs, least), longest), "windows")
     ordered = counted.repartitionByRange("window").sortWithinPartitions("window")
 
     def run(batches):
@@ -208,8 +294,8 @@ def _joined(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
-def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, percent: int = 80, scale: int = 2_000_000) -> DataFrame:
-    """(lang, phrase, k, a, cut, l, r, score) of every candidate that no longer phrase stands for, and n, its language's words."""
+def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, percent: int = 80, scale: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, k, a, cut, l, r, score) of every candidate that no longer phrase stands for; and (lang, n), the words of each language."""
     grams = gram_counts(docs, least, longest)
     words = F.split("phrase", " ")
     counted = grams.filter("k > 0").select("lang", "phrase", "k", "n", words.alias("words"), _joined(F.reverse(words)).alias("back"))
@@ -237,12 +323,18 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, percent
     most = F.greatest(F.coalesce("right", F.lit(0)), F.coalesce("left", F.lit(0)))
     covered = F.lit(100).cast("decimal(10,0)") * most.cast("decimal(20,0)") >= F.lit(percent).cast("decimal(10,0)") * F.col("a").cast("decimal(20,0)")
     kept = judged.join(to_right.hint("merge"), ["lang", "phrase"], "left").join(to_left.hint("merge"), ["lang", "back"], "left").filter(~covered)
-    totals = grams.filter("k = 0").select(F.col("lang").alias("_lang"), F.col("n"))  # a row for each language
-    return kept.join(totals, F.col("lang") == F.col("_lang")).select("lang", "phrase", "k", "a", "cut", "l", "r", "n", "score")
+    return kept.select("lang", "phrase", "k", "a", "cut", "l", "r", "score"), grams.filter("k = 0").select("lang", "n")
+
 
+def top(found: DataFrame, totals: DataFrame, first: int = 2000, parts: int = 64) -> DataFrame:
+    """The ``first`` rows of each language, ranked by score, count and phrase, with its words.
 
-def top(found: DataFrame, first: int = 2000) -> DataFrame:
-    """The ``first`` rows of each language, ranked by score, count and phrase; every task passes on that many at most."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    Phrases compete in parts of their language first, so the last ranking sees
+    at most ``parts`` times ``first`` rows of a language; only those that are
+    left meet the totals.
+    """
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    dealt = found.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    near = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("_place") <= first)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= first)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))

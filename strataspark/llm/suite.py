@@ -251,7 +251,8 @@ def _(spark, sf):
           SELECT coalesce(lang, 'und') AS lang,
                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                               '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
           FROM documents),
         worded AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
         placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded WHERE len(w) > 0),
@@ -282,7 +283,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text")
-    return collocations.top(collocations.phrases(docs))
+    return collocations.top(*collocations.mined(docs))
 
 
 @_query("op12_align_tokens")

@@ -70,6 +70,31 @@ def test_windows_are_cut_at_pieces():
     assert collocations.windows(b" \t.\n") == [] and collocations.windows(b"") == []
 
 
+def test_windows_end_at_unmarked_pairs():
+    words = collocations.Words(b"a b c d.e f g")
+    marked = np.array([True, True, False, True, True, False])  # the fourth pair is of two pieces
+    assert words.windows(marked, 4) == [b"a b c ", b"b c ", b"c ", b"d ", b"e f ", b"f ", b"g "]
+    assert words.windows(marked, 2) == [b"a b ", b"b c ", b"c ", b"d ", b"e f ", b"f ", b"g "]
+
+
+def test_pair_digests_do_not_depend_on_the_batch():
+    one = collocations.Words("x y z é\u00e9 x y".encode()).pair_digests("en")
+    two = collocations.Words("long words before, x y".encode()).pair_digests("en")
+    other = collocations.Words(b"x y").pair_digests("de")
+    assert one[0] == one[-1] == two[-1] != other[0] and len(set(one.tolist())) == 4
+
+
+def test_frequent_pairs_are_marked(spark):
+    df = spark.createDataFrame(mixed_rows(), "lang string, text string")
+    table = collocations.marked_pairs(df, 5)
+    for lang, grams in brute_grams(mixed_rows()).items():
+        for g, n in grams.items():
+            if len(g) == 2 and n >= 5:
+                for at in collocations._places(collocations.Words(" ".join(g).encode()).pair_digests(lang)):
+                    assert int(table[at[0] >> 6]) >> int(at[0] & 63) & 1
+    assert 0 < np.bitwise_count(table).sum() < 1000
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 10_000])
 @pytest.mark.parametrize("partitions", [1, 3])
 def test_scan_sums_prefixes_across_batches_and_partitions(size, partitions):
@@ -99,14 +124,14 @@ def test_scan_sums_prefixes_across_batches_and_partitions(size, partitions):
 def test_rows_equal_brute_force(spark, least):
     rows = mixed_rows()
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("phrase", F.lit("x")).withColumn("k", F.lit("x"))
-    assert taken(collocations.top(collocations.phrases(df, least))) == brute(rows, least)
-    assert taken(collocations.top(collocations.phrases(df, least), 3)) == brute(rows, least, 3)
+    assert taken(collocations.top(*collocations.mined(df, least))) == brute(rows, least)
+    assert taken(collocations.top(*collocations.mined(df, least), 3)) == brute(rows, least, 3)
 
 
 def test_awkward_and_empty_tables(awkward, nothing):
     rows = [(r[2], r[1]) for r in awkward_rows()]
-    assert taken(collocations.top(collocations.phrases(awkward, 3))) == brute(rows, 3)
-    assert collocations.top(collocations.phrases(nothing)).collect() == []
+    assert taken(collocations.top(*collocations.mined(awkward, 3))) == brute(rows, 3)
+    assert collocations.top(*collocations.mined(nothing)).collect() == []
 
 
 def test_counts_may_pass_64_bits(spark, monkeypatch):
@@ -114,12 +139,12 @@ def test_counts_may_pass_64_bits(spark, monkeypatch):
     grams = [("en", "", 0, 9 * big), ("en", "a", 1, 2 * big + 1), ("en", "b", 1, big), ("en", "a b", 2, big - 7)]
     made = spark.createDataFrame(grams, "lang string, phrase string, k int, n long")
     monkeypatch.setattr(collocations, "gram_counts", lambda *a: made)
-    rows = taken(collocations.top(collocations.phrases(made)))
+    rows = taken(collocations.top(*collocations.mined(made)))
     assert rows == [("en", 1, "a b", big - 7, 2 * big + 1, big, 9 * big, 2_000_000 * (big - 7) // (3 * big + 1))]
 
 
 def test_streams_are_merged_and_ranks_are_limited_early(spark):
     df = spark.createDataFrame(mixed_rows(), "lang string, text string")
-    plan = plan_of(collocations.top(collocations.phrases(df, 5)))
+    plan = plan_of(collocations.top(*collocations.mined(df, 5)))
     # Only the languages' totals may meet by another join.
-    assert plan.count("SortMergeJoin") >= 4 and plan.count("HashJoin") <= 1 and "WindowGroupLimit" in plan
+    assert plan.count("SortMergeJoin") >= 4 and plan.count("HashJoin") <= 1 and plan.count("Window [row_number") == 2 and "_part#" in plan
