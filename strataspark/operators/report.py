@@ -72,3 +72,25 @@ def chart_series(
     if published is not None:
         series = series.join(published, label)
     return series.withColumn("sort_key", ordinal(F.col(label), labels)).orderBy("sort_key", label)
+
+
+def long_form(df: DataFrame, table: str, key: str) -> DataFrame:
+    """Every value of a table as a row (table_name, row_key, column_name, number, text), for comparing stored tables.
+
+    Numbers and booleans are numbers, everything else is text; ``key`` names
+    the column that tells rows apart.  Rows are unfolded where they lie.
+    """
+    entries = []
+    for field in df.schema:
+        if field.name == key:
+            continue
+        numeric = field.dataType.simpleString() in ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean") or field.dataType.simpleString().startswith("decimal")
+        value = F.col(field.name)
+        entries.append(
+            F.struct(
+                F.lit(field.name).alias("column_name"),
+                (value.cast("double") if numeric else F.lit(None).cast("double")).alias("number"),
+                (F.lit(None).cast("string") if numeric else value.cast("string")).alias("text"),
+            )
+        )
+    return df.select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.inline(F.array(*entries)))

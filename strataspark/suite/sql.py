@@ -190,3 +190,13 @@ def with_(*names: str) -> str:
     for name in names:
         add(name)
     return "WITH " + ", ".join(f"{n} AS ({_CTES[n][0]})" for n in done) + " "
+
+
+def long_form(table: str, sql: str, key: str, numbers: Sequence[str], texts: Sequence[str] = ()) -> str:
+    """Every value of a query's rows as a row (table_name, row_key, column_name, number, text)."""
+    entries = [f"{{'c': '{c}', 'n': CAST({c} AS DOUBLE), 't': CAST(NULL AS VARCHAR)}}" for c in numbers]
+    entries += [f"{{'c': '{c}', 'n': CAST(NULL AS DOUBLE), 't': CAST({c} AS VARCHAR)}}" for c in texts]
+    return (
+        f"SELECT '{table}' AS table_name, row_key, e.c AS column_name, e.n AS number, e.t AS text FROM "
+        f"(SELECT CAST({key} AS VARCHAR) AS row_key, unnest([{', '.join(entries)}]) AS e FROM ({sql}) q) x"
+    )

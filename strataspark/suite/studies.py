@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.stats import Z_95
+from strataspark.operators.report import long_form
 from strataspark.plans import claims, survival_study
 from strataspark.session import scratch_path
 from strataspark.sources import star, tables
 from strataspark.sources.codes import AGE_LABELS, PUBLISHED_SUMMARY
 from strataspark.suite.binding import STAR_SPEC, star_claims
-from strataspark.suite.registry import query
+from strataspark.suite.registry import ORACLE, query
 from strataspark.suite.sql import erfc_tail, ordinal, with_
+from strataspark.suite.sql import long_form as long_form_sql
 from strataspark.suite.survival import CURVE_SQL, SURVIVAL_SQL, events_sql, logrank_sql
 
 _PROC = ["TJR", "BMD", "VISIT", "any_RA_surgery"]
@@ -40,6 +45,59 @@ def _(spark, sf):
     return stored.withColumns({name: F.lit(written[table]).cast("long") for name, table in sizes.items()})
 
 
+_DRUGS = list(STAR_SPEC.drug_groups)
+_FLAGS = [*_DRUGS, *STAR_SPEC.procedure_groups]
+# stored table -> (layer, key, SQL of its rows, columns of numbers, columns of text)
+STORED = {
+    "candidates": (
+        "silver", "common_key",
+        with_("def0", "months", "drug_flags")
+        + "SELECT common_key, COALESCE(prescription_months, 0) AS prescription_months, "
+        + ", ".join(f"COALESCE({f}, 0) AS {f}" for f in _DRUGS)
+        + " FROM def0 LEFT JOIN months USING (common_key) LEFT JOIN drug_flags USING (common_key)",
+        ["prescription_months", *_DRUGS], [],
+    ),
+    "cohort": (
+        "silver", "common_key", ORACLE["cohort_master"],
+        ["age", "nation", "prescription_months", *_FLAGS, *STAR_SPEC.composites], ["age_group", "sex"],
+    ),
+    "definitions_summary": ("silver", "definition", ORACLE["definition_summary"], ["n_patients", "prevalence_pct"], []),
+    "age_distribution": (
+        "gold", "age_group", ORACLE["stratum_distribution"],
+        ["n", "pct_of_total", "female_pct", "fm_ratio", "prevalence", "paper_pct", "paper_prevalence", "sort_key"], [],
+    ),
+    "medication_usage": (
+        "gold", "age_group", ORACLE["ratio_of_rates"], ["n", *_DRUGS, "bDMARDs", "TNFI_ABT_ratio", "sort_key"], [],
+    ),
+    "procedure_usage": (
+        "gold", "age_group",
+        with_("master")
+        + f""", rows_ AS (SELECT age_group, COUNT(*) AS n, {_PROC_PCT} FROM master GROUP BY age_group
+          UNION ALL SELECT 'Total', COUNT(*), {_PROC_PCT} FROM master)
+        SELECT *, {ordinal('age_group', AGE_LABELS)} AS sort_key FROM rows_""",
+        ["n", *_PROC, "sort_key"], [],
+    ),
+    "summary": ("gold", "metric", ORACLE["metric_report"], [], ["reproduced", "paper", "note"]),
+}
+
+
+@query(
+    "claims_study_tables",
+    " UNION ALL ".join(long_form_sql(name, sql, key, numbers, texts) for name, (_, key, sql, numbers, texts) in STORED.items()),
+)
+def _(spark, sf):
+    """Store all silver and gold tables, then read every one of them back, value by value."""
+    path = scratch_path(spark, "claims_tables")
+    claims.run(star_claims(spark, sf), STAR_SPEC, path, declared=False)
+    parts = []
+    for name, (layer, key, _, _, _) in STORED.items():
+        stored = tables.scan_table(spark, f"{path}/{layer}/{name}")
+        if "prevalence_pct" in stored.columns:
+            stored = stored.withColumn("prevalence_pct", F.round("prevalence_pct", 8))
+        parts.append(long_form(stored, name, key))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _COHORT = ", cohort AS (SELECT *, follow_up_months AS months, CAST(cv_event_occurred AS INTEGER) AS event FROM analysis)"
 
 
