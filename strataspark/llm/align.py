@@ -224,7 +224,7 @@ def align(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "pie
         made = align_texts(piece.column(piece.num_columns - 1).to_pylist(), tokens(a_name, b_name))
         return pa.RecordBatch.from_arrays([*piece.columns[:-1], *made], names=[*piece.schema.names[:-1], *RESULTS])
 
-    return map_texts(rows, run, schema, "_text", limit=2 << 20)
+    return map_texts(rows, run, schema, "_text", limit=1 << 20)
 
 
 _decimals: list[Table] = []
@@ -249,60 +249,58 @@ def group_texts(a_ids: np.ndarray, a_edges: np.ndarray, b_ids: np.ndarray, b_edg
     return [raw[x : y - 1] if y > x else b"" for x, y in zip(stops, stops[1:])]
 
 
-def measured(aligned: DataFrame) -> DataFrame:
-    """``aligned`` with n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs (a << 32 | b) with the links of each, in place of the lists."""
-    need_columns(aligned, *RESULTS)
-    taken = {"n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", *RESULTS}
-    own = [c for c in aligned.columns if c not in taken]
-    rows = aligned.select(*own, *RESULTS)
-    schema = ", ".join(
-        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop(*RESULTS).schema)]
-        + ["n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<bigint>, times array<int>"]
-    )
-    step = 1 << 20
-
-    def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.array(column.value_lengths().to_pylist(), np.int64)
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
-
-    def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [flat(c) for c in part.columns[-len(RESULTS) :]]
-        (a_ids, a_edges), (b_ids, b_edges), (link_a, link_edges), (link_b, _), (cuts, cut_edges) = lists
-        n = part.num_rows
-        of_link = np.repeat(np.arange(n), np.diff(link_edges))
-        of_cut = np.repeat(np.arange(n), np.diff(cut_edges))
-        link_a, link_b = link_a + a_edges[of_link], link_b + b_edges[of_link]
-        cuts = cuts + link_edges[of_cut]
-        texts = group_texts(a_ids, a_edges, b_ids, b_edges, link_a[cuts], link_b[cuts])
-        shas = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
-        pair = a_ids[link_a] << 32 | b_ids[link_b]
-        order = np.lexsort((pair, of_link))
-        pair, of_pair = pair[order], of_link[order]
-        new = np.ones(len(pair), bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (of_pair[1:] != of_pair[:-1])
-        starts = np.flatnonzero(new)
-        times = np.diff(np.append(starts, len(pair)))
-        pair_edges = np.searchsorted(of_pair[starts], np.arange(n + 1)).astype(np.int32)
-        made = [
-            *(pa.array(np.diff(e)) for e in (a_edges, b_edges, cut_edges, link_edges)),
-            pa.array(shas, pa.string()),
-            pa.ListArray.from_arrays(pa.array(pair_edges), pa.array(pair[starts])),
-            pa.ListArray.from_arrays(pa.array(pair_edges), pa.array(times.astype(np.int32))),
-        ]
-        names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
-        return pa.RecordBatch.from_arrays([*part.columns[: -len(RESULTS)], *made], names=[*part.schema.names[: -len(RESULTS)], *names])
+MEASURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<bigint>, times array<int>"
+MEASURED = [m.split()[0] for m in MEASURES.split(", ")]
+
+
+def _opened(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array(column.value_lengths().to_pylist(), np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
+
+
+def measures_of(lists: list[pa.ListArray]) -> list[pa.Array]:
+    """``MEASURED`` of the documents whose ``RESULTS`` are given."""
+    (a_ids, a_edges), (b_ids, b_edges), (link_a, link_edges), (link_b, _), (cuts, cut_edges) = map(_opened, lists)
+    n = len(lists[0])
+    of_link = np.repeat(np.arange(n), np.diff(link_edges))
+    of_cut = np.repeat(np.arange(n), np.diff(cut_edges))
+    link_a, link_b = link_a + a_edges[of_link], link_b + b_edges[of_link]
+    cuts = cuts + link_edges[of_cut]
+    texts = group_texts(a_ids, a_edges, b_ids, b_edges, link_a[cuts], link_b[cuts])
+    shas = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
+    pair = a_ids[link_a] << 32 | b_ids[link_b]
+    order = np.lexsort((pair, of_link))
+    pair, of_pair = pair[order], of_link[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (of_pair[1:] != of_pair[:-1])
+    starts = np.flatnonzero(new)
+    times = np.diff(np.append(starts, len(pair)))
+    pair_edges = np.searchsorted(of_pair[starts], np.arange(n + 1)).astype(np.int32)
+    return [
+        *(pa.array(np.diff(e)) for e in (a_edges, b_edges, cut_edges, link_edges)),
+        pa.array(shas, pa.string()),
+        pa.ListArray.from_arrays(pa.array(pair_edges), pa.array(pair[starts])),
+        pa.ListArray.from_arrays(pa.array(pair_edges), pa.array(times.astype(np.int32))),
+    ]
 
-    def run(batches):
-        for batch in batches:
-            total = np.cumsum([k or 0 for k in batch.column(batch.num_columns - 3).value_lengths().to_pylist()])
-            start = 0
-            while start < batch.num_rows:
-                before = int(total[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(total, before + step, "right")))
-                yield one(batch.slice(start, stop - start))
-                start = stop
 
-    return rows.mapInArrow(run, schema)
+def measured(
+    docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "piece_bpe_32k.model", text_column: str = "text"
+) -> DataFrame:
+    """``docs`` with its text replaced by n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs (a << 32 | b) with the links of each.
+
+    Equal to measuring the lists of :func:`align`, which stay in the worker here.
+    """
+    need_columns(docs, text_column)
+    own = [c for c in docs.columns if c not in (*MEASURED, text_column)]
+    rows = docs.select(*own, text_of(text_column).alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema), MEASURES])
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        lists = align_texts(piece.column(piece.num_columns - 1).to_pylist(), tokens(a_name, b_name))
+        return pa.RecordBatch.from_arrays([*piece.columns[:-1], *measures_of(lists)], names=[*piece.schema.names[:-1], *MEASURED])
+
+    return map_texts(rows, run, schema, "_text", limit=1 << 20)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -364,6 +362,6 @@ def summary(docs: DataFrame, a_name: str = "byte_bpe_50k.json", b_name: str = "p
     need_columns(docs, "doc_id", "text")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     # Row numbers are drawn once: the result is stored.
-    rows = stored(measured(align(numbered, a_name, b_name)), "aligned")
+    rows = stored(measured(numbered, a_name, b_name), "aligned")
     made = scored(rows, pair_counts(rows), most_sent)
     return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

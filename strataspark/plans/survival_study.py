@@ -118,3 +118,37 @@ def test_by_age_stratum(cohort: DataFrame, cut: int = 70) -> DataFrame:
 
 def rate_ratio(cohort: DataFrame) -> DataFrame:
     return su.event_rate_ratio(cohort, F.col("has_hypertension"), "event")
+
+
+def run(
+    df: DataFrame,
+    target: str,
+    min_age: int = 40,
+    last_diagnosis: str = "2018-12-31",
+    measures: Sequence[str] = ("hba1c", "bmi"),
+    k: int = 5,
+    cut: int = 70,
+) -> dict[str, int]:
+    """Store the cohort and every result of the study below a folder; returns rows per table.
+
+    The folder must be shared by the executors.  The cohort is derived once,
+    with its measures imputed, and every result reads the stored one.  Each
+    table replaces its former state, so a run that was cut off is repeated.
+    """
+    spark = df.sparkSession
+    written: dict[str, int] = {}
+
+    def store(name: str, table: DataFrame) -> DataFrame:
+        written[name] = write_overwrite(table, f"{target}/{name}")
+        return scan_table(spark, f"{target}/{name}")
+
+    store("attrition", attrition(df, min_age, last_diagnosis))
+    cohort = store("cohort", analysis_cohort(df, min_age, last_diagnosis, measures, f"{target}/selection"))
+    store("summary", summary(cohort))
+    store("events_by_pattern", events_by_pattern(cohort))
+    store("curves_by_hypertension", curves_by_hypertension(cohort))
+    store("curves_by_pattern", curves_by_pattern(cohort, k))
+    store("test_by_hypertension", test_by_hypertension(cohort))
+    store("tests_by_age", test_by_age_stratum(cohort, cut))
+    store("rate_ratio", rate_ratio(cohort))
+    return written

@@ -187,14 +187,13 @@ def _(spark, sf):
     return claims.medication_usage(star_master(spark, sf), STAR_SPEC)
 
 
-@query(
-    "grouped_events",
-    with_("chronic")
-    + """SELECT comorbidity_pattern, COUNT(*) AS n, COUNT(*) FILTER (cv_event_occurred) AS events,
+EVENTS_SQL = """SELECT comorbidity_pattern, COUNT(*) AS n, COUNT(*) FILTER (cv_event_occurred) AS events,
          CAST(round_even(avg(CAST(cv_event_occurred AS INTEGER)), 4) AS DOUBLE) AS event_rate,
          CAST(round_even(round_even(avg(CAST(cv_event_occurred AS INTEGER)), 4) * 100, 2) AS DOUBLE) AS event_rate_pct
-         FROM chronic GROUP BY comorbidity_pattern""",
-)
+         FROM {source} GROUP BY comorbidity_pattern"""
+
+
+@query("grouped_events", with_("chronic") + EVENTS_SQL.format(source="chronic"))
 def _(spark, sf):
     return survival_study.events_by_pattern(survival_study_input(spark, sf))
 
@@ -314,17 +313,16 @@ def _(spark, sf):
     return pr.value_counts(star.chronic_cohort(spark, sf), "prefecture_code")
 
 
-@query(
-    "cohort_summary",
-    with_("chronic")
-    + """SELECT COUNT(*) AS n, MIN(follow_up_months) AS min_months, MAX(follow_up_months) AS max_months,
+SUMMARY_SQL = """SELECT COUNT(*) AS n, MIN(follow_up_months) AS min_months, MAX(follow_up_months) AS max_months,
          CAST(median(follow_up_months) AS DOUBLE) AS median_months, COUNT(*) FILTER (cv_event_occurred) AS events,
          round(avg(CAST(cv_event_occurred AS INTEGER)) * 100, 2) AS event_pct,
          COUNT(*) FILTER (has_hypertension) AS hypertension_count, COUNT(*) FILTER (has_dyslipidemia) AS dyslipidemia_count,
          COUNT(*) FILTER (has_ckd) AS ckd_count, round(avg(CAST(has_hypertension AS INTEGER)) * 100, 1) AS hypertension_pct,
          round(avg(CAST(has_dyslipidemia AS INTEGER)) * 100, 1) AS dyslipidemia_pct,
          round(avg(CAST(has_ckd AS INTEGER)) * 100, 1) AS ckd_pct, round(avg(age), 1) AS mean_age,
-         round(avg(CAST(sex = 'M' AS INTEGER)) * 100, 1) AS male_pct FROM chronic""",
-)
+         round(avg(CAST(sex = 'M' AS INTEGER)) * 100, 1) AS male_pct FROM """
+
+
+@query("cohort_summary", with_("chronic") + SUMMARY_SQL + "chronic")
 def _(spark, sf):
     return survival_study.summary(star.chronic_cohort(spark, sf))

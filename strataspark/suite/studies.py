@@ -13,11 +13,12 @@ from strataspark.plans import claims, survival_study
 from strataspark.session import scratch_path
 from strataspark.sources import star, tables
 from strataspark.sources.codes import AGE_LABELS, PUBLISHED_SUMMARY
+from strataspark.suite.aggregates import EVENTS_SQL, SUMMARY_SQL
 from strataspark.suite.binding import STAR_SPEC, star_claims
 from strataspark.suite.registry import ORACLE, query
 from strataspark.suite.sql import erfc_tail, ordinal, with_
 from strataspark.suite.sql import long_form as long_form_sql
-from strataspark.suite.survival import CURVE_SQL, SURVIVAL_SQL, events_sql, logrank_sql
+from strataspark.suite.survival import CURVE_SQL, RATIO_SQL, SURVIVAL_SQL, events_sql, logrank_sql
 
 _PROC = ["TJR", "BMD", "VISIT", "any_RA_surgery"]
 _PROC_PCT = ", ".join(f"round(avg({f}) * 100, 2) AS {f}" for f in _PROC)
@@ -152,3 +153,81 @@ def _(spark, sf):
     path = scratch_path(spark, "selection")
     cohort = survival_study.analysis_cohort(star.chronic_cohort(spark, sf), 40, "1995-12-31", ["bmi"], path)
     return cohort.groupBy("bmi_category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event") == 1).alias("events"))
+
+
+_PATTERN_SQL = (
+    with_("analysis")
+    + _COHORT
+    + f""", sizes AS (SELECT comorbidity_pattern, COUNT(*) AS n, CAST(SUM(event) AS BIGINT) AS events FROM cohort GROUP BY 1
+        ORDER BY n DESC, comorbidity_pattern LIMIT 5),
+      kept AS (SELECT * FROM cohort WHERE comorbidity_pattern IN (SELECT comorbidity_pattern FROM sizes)),
+      {events_sql('kept', 'comorbidity_pattern')}, {CURVE_SQL}
+      SELECT g AS comorbidity_pattern, t, curve.n AS n_at_risk, d AS n_events, c AS n_censored,
+        round({SURVIVAL_SQL}, 9) AS survival, sizes.n, sizes.events FROM curve JOIN sizes ON g = comorbidity_pattern"""
+)
+_OVERALL_SQL = (
+    with_("analysis")
+    + _COHORT
+    + f""", {logrank_sql('cohort', 'has_hypertension', 'FALSE', "'all'")}, p AS (SELECT *, {erfc_tail('chi2')} AS p FROM test)
+      SELECT o AS observed, round(e, 8) AS expected, round(v, 8) AS variance, round(chi2, 8) AS chi2, round(p, 8) AS p_value,
+        CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.05 THEN 'p<0.05' ELSE 'p>=0.05' END AS verdict FROM p"""
+)
+
+
+def _keyed(*columns: str) -> str:
+    return " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+
+
+# stored table -> (columns that make the key, SQL of its rows, columns of numbers, columns of text)
+SURVIVAL_STORED = {
+    "attrition": (["criterion"], ORACLE["attrition_cascade"], ["step", "n_remaining"], []),
+    "cohort": (
+        ["patient_id"],
+        with_("analysis")
+        + """, m AS (SELECT median(bmi) AS bmi, median(hba1c) AS hba1c FROM analysis), filled AS (
+            SELECT a.*, COALESCE(a.bmi, m.bmi) AS bmi_imputed, COALESCE(a.hba1c, m.hba1c) AS hba1c_imputed FROM analysis a, m)
+          SELECT patient_id, age, follow_up_months, CAST(cv_event_occurred AS INTEGER) AS event, round(bmi_imputed, 9) AS bmi_imputed,
+            round(hba1c_imputed, 9) AS hba1c_imputed, sex, comorbidity_pattern,
+            CASE WHEN bmi_imputed > 0 AND bmi_imputed <= 18.5 THEN 'Underweight' WHEN bmi_imputed > 18.5 AND bmi_imputed <= 25 THEN 'Normal'
+              WHEN bmi_imputed > 25 AND bmi_imputed <= 30 THEN 'Overweight' WHEN bmi_imputed > 30 AND bmi_imputed <= 100 THEN 'Obese' END AS bmi_category
+          FROM filled""",
+        ["age", "follow_up_months", "event", "bmi_imputed", "hba1c_imputed"], ["sex", "comorbidity_pattern", "bmi_category"],
+    ),
+    "summary": (
+        [], with_("analysis") + SUMMARY_SQL + "analysis",
+        ["n", "min_months", "max_months", "median_months", "events", "event_pct", "hypertension_count", "dyslipidemia_count", "ckd_count",
+         "hypertension_pct", "dyslipidemia_pct", "ckd_pct", "mean_age", "male_pct"], [],
+    ),
+    "events_by_pattern": (
+        ["comorbidity_pattern"], with_("analysis") + EVENTS_SQL.format(source="analysis"), ["n", "events", "event_rate", "event_rate_pct"], [],
+    ),
+    "curves_by_hypertension": (
+        ["has_hypertension", "t"], ORACLE["survival_study_curves"], ["n_at_risk", "n_events", "survival", "ci_lower", "ci_upper"], [],
+    ),
+    "curves_by_pattern": (
+        ["comorbidity_pattern", "t"], _PATTERN_SQL, ["n_at_risk", "n_events", "n_censored", "survival", "n", "events"], [],
+    ),
+    "test_by_hypertension": ([], _OVERALL_SQL, ["observed", "expected", "variance", "chi2", "p_value"], ["verdict"]),
+    "tests_by_age": (["stratum"], ORACLE["survival_study_tests"], ["observed", "chi2", "p_value"], []),
+    "rate_ratio": ([], with_("analysis") + RATIO_SQL.format(source="analysis"), ["rate_unexposed", "rate_exposed", "rate_ratio"], []),
+}
+_ROUNDED = {"survival": 9, "ci_lower": 9, "ci_upper": 9, "bmi_imputed": 9, "hba1c_imputed": 9, "expected": 8, "variance": 8, "chi2": 8, "p_value": 8}
+
+
+@query(
+    "survival_study_tables",
+    " UNION ALL ".join(
+        long_form_sql(name, sql, _keyed(*keys) if keys else "'all'", numbers, texts) for name, (keys, sql, numbers, texts) in SURVIVAL_STORED.items()
+    ),
+)
+def _(spark, sf):
+    """Store the cohort and every result of the survival study, then read them all back, value by value."""
+    path = scratch_path(spark, "survival_tables")
+    survival_study.run(star.chronic_cohort(spark, sf), path, 40, "1995-12-31")
+    parts = []
+    for name, (keys, _, numbers, texts) in SURVIVAL_STORED.items():
+        stored = tables.scan_table(spark, f"{path}/{name}")
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
+        values = [F.round(c, _ROUNDED[c]).alias(c) if c in _ROUNDED else F.col(c) for c in (*numbers, *texts)]
+        parts.append(long_form(stored.select(key.alias("row_key"), *values), name, "row_key"))
+    return reduce(DataFrame.unionByName, parts)

@@ -130,14 +130,13 @@ def _(spark, sf):
     )
 
 
-@query(
-    "event_rate_ratio",
-    with_("chronic")
-    + """, r AS (SELECT avg(CAST(cv_event_occurred AS INTEGER)) FILTER (NOT has_hypertension) AS u,
-           avg(CAST(cv_event_occurred AS INTEGER)) FILTER (has_hypertension) AS e FROM chronic)
+RATIO_SQL = """, r AS (SELECT avg(CAST(cv_event_occurred AS INTEGER)) FILTER (NOT has_hypertension) AS u,
+           avg(CAST(cv_event_occurred AS INTEGER)) FILTER (has_hypertension) AS e FROM {source})
        SELECT round(u * 100, 2) AS rate_unexposed, round(e * 100, 2) AS rate_exposed, round(e / nullif(u, 0), 2) AS rate_ratio
-       FROM r""",
-)
+       FROM r"""
+
+
+@query("event_rate_ratio", with_("chronic") + RATIO_SQL.format(source="chronic"))
 def _(spark, sf):
     cohort = star.chronic_cohort(spark, sf).withColumn("event", F.col("cv_event_occurred").cast("int"))
     return su.event_rate_ratio(cohort, F.col("has_hypertension"), "event")

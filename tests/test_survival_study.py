@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from strataspark.plans import dashboards, survival_study
 from strataspark.sources import star
+from strataspark.sources.tables import scan_table
 
 
 def test_study_runs_from_selection_to_test(spark, sf):
@@ -22,6 +23,22 @@ def test_study_runs_from_selection_to_test(spark, sf):
     assert survival_study.rate_ratio(cohort).first()["rate_ratio"] > 0
 
 
+def test_stored_run_holds_every_result(spark, sf, tmp_path):
+    everybody = star.chronic_cohort(spark, sf)
+    for _ in range(2):  # a second run replaces the first
+        written = survival_study.run(everybody, str(tmp_path), 40, "1995-12-31", k=3)
+    assert set(written) == {
+        "attrition", "cohort", "summary", "events_by_pattern", "curves_by_hypertension", "curves_by_pattern", "test_by_hypertension", "tests_by_age", "rate_ratio",
+    }
+    read = {n: scan_table(spark, f"{tmp_path}/{n}") for n in written}
+    assert all(df.count() == written[n] for n, df in read.items())
+    cohort = read["cohort"]
+    assert read["summary"].first()["n"] == written["cohort"] == read["attrition"].agg(F.min("n_remaining")).first()[0]
+    assert read["events_by_pattern"].agg(F.sum("events")).first()[0] == cohort.agg(F.sum("event")).first()[0]
+    assert read["curves_by_pattern"].select("comorbidity_pattern").distinct().count() == 3
+    assert read["test_by_hypertension"].first() == survival_study.test_by_hypertension(cohort).first()
+
+
 def test_dashboard_filters_agree_with_facets(spark, sf):
     base = dashboards.patient_base(star.chronic_cohort(spark, sf))
     chosen = {"sex": ["M"], "age_group": ["40-49", "50-59"], "prefecture_name": [], "comorbidity_pattern": []}
