@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions.scalar import age_at
 from strataspark.session import scratch_path
-from strataspark.sources import codes, star, tables
+from strataspark.sources import history, codes, star, tables
 from strataspark.sources.schemas import BRONZE, conform
 from strataspark.suite.registry import query
 from strataspark.suite.sql import with_
@@ -243,3 +243,39 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return tables.row_counts({t: star.read(spark, sf, t) for t in ALL_TABLES})
+
+
+# Three states of the orders: those before 1998; those of one more month, some with a raised price; the same without some of them.
+_STATES = {
+    "2024-03-01": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'",
+    "2024-03-02": """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+        FROM orders WHERE o_orderdate < TIMESTAMP '1998-02-01'""",
+    "2024-03-05": """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+        FROM orders WHERE o_orderdate < TIMESTAMP '1998-02-01' AND o_orderkey % 97 <> 5""",
+}
+
+
+def _change_store(spark, sf):
+    path = scratch_path(spark, "changes")
+    star.read(spark, sf, "orders").createOrReplaceTempView("orders_of_states")
+    for day, text in _STATES.items():
+        history.store_changes(spark.sql(text.replace("FROM orders", "FROM orders_of_states")), path, day, ["o_orderkey"])
+    return path
+
+
+@query("change_set_as_of", _STATES["2024-03-02"])
+def _(spark, sf):
+    """The state of a day between two stored ones, from change sets."""
+    return history.state_as_of(spark, _change_store(spark, sf), "2024-03-04")
+
+
+@query(
+    "change_set_sizes",
+    f"""WITH a AS ({_STATES['2024-03-01']}), b AS ({_STATES['2024-03-02']}), c AS ({_STATES['2024-03-05']})
+        SELECT DATE '2024-03-01' AS change_date, 'inserted' AS kind, COUNT(*) AS n FROM a
+        UNION ALL SELECT DATE '2024-03-02', 'inserted', COUNT(*) FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)
+        UNION ALL SELECT DATE '2024-03-02', 'changed', COUNT(*) FROM a JOIN b USING (o_orderkey) WHERE a.o_totalprice <> b.o_totalprice
+        UNION ALL SELECT DATE '2024-03-05', 'removed', COUNT(*) FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c)""",
+)
+def _(spark, sf):
+    return history.change_counts(spark, _change_store(spark, sf))
