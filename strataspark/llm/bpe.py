@@ -58,6 +58,12 @@ WORD_NORMALIZER = {
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def word_front_end(spec: dict) -> bool:
+    """Whether a tokenizer file cuts texts as word_bpe_49k.json does: lower-cased, by the word pattern, white space dropped."""
+    cutting = json.dumps(spec.get("pre_tokenizer"))
+    return spec.get("normalizer") == WORD_NORMALIZER and json.dumps(WORD_PATTERN) in cutting and '"behavior": "Removed"' in cutting
+
+
 def byte_characters() -> list[str]:
     """The character that byte-level files write for each byte: itself if it prints in Latin-1, else one from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -185,8 +191,7 @@ class Codec:
         # Pieces as text, and pieces in byte characters.
         self.known: dict[bool, dict[str, tuple[int, ...]]] = {True: {}, False: {}}
         self.byte_table = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        cutting = json.dumps(spec.get("pre_tokenizer"))
-        self.short = spec.get("normalizer") == WORD_NORMALIZER and json.dumps(WORD_PATTERN) in cutting
+        self.short = word_front_end(spec)
         letter, digit = _low_class("L"), _low_class("N")
         blank = r"\t-\r \u0085 "
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{blank}{letter}{digit}]+")

@@ -8,7 +8,10 @@ by word confirms them.  Documents are streamed; nothing is shuffled.
 
 The searchers are broadcast.  Benchmark texts above ``block_bytes`` are dealt
 into blocks of about that size, and each block is searched in a pass of its
-own that carries the spans found so far, so any benchmark can be used.
+own that carries the spans found so far, so any benchmark can be used.  Equal
+rows are one before they are dealt, so none can fill a block.  Searchers take
+some 80 bytes a byte of benchmark text, on the driver and in every worker:
+about 170 MB for a full block.
 
 Defined results: null or wordless texts have no words and no windows; items
 with the same words are all reported; an item without an id is reported as
@@ -32,6 +35,8 @@ RESULTS = ("n_words", "n_hit", "hit_spans", "hit_items")
 # Fixed value: words of the lower-cased text, as UTF-8 bytes: digits, a-z and everything beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BLOCK = 3
+# Benchmark text searched in one pass.
+BLOCK_BYTES = 2 << 20
 
 
 def words(text: str) -> list[bytes]:
@@ -47,11 +52,13 @@ class Searcher:
         self.default = length - self.block + 1
         self.shift: dict[tuple[int, ...], int] = {}
         self.buckets: dict[tuple[int, ...], list[tuple[int, tuple[int, ...], frozenset[str]]]] = defaultdict(list)
+        same: dict[frozenset[str], frozenset[str]] = {}  # one object for equal sets of names
         for window, items in windows.items():
             for end in range(self.block, length + 1):
                 block = window[end - self.block : end]
                 self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.buckets[window[-self.block :]].append((window[0], window, frozenset(items)))
+            names = frozenset(items)
+            self.buckets[window[-self.block :]].append((window[0], window, same.setdefault(names, names)))
 
     def search(self, ids: list[int], spans: list[tuple[int, int]], items: set[str]) -> None:
         length, block, default, shift, buckets = self.length, self.block, self.default, self.shift, self.buckets
@@ -107,13 +114,13 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_words, n_hit, hit_spans (word numbers, end exclusive) and hit_items (sorted)."""
     need_columns(docs, "text")
     need_columns(benchmark, "item_id", "text")
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), text_of().alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), text_of().alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -3,13 +3,15 @@
 A text is known by the SHA-256 of its normalised content, a tokenizer by the
 SHA-256 of its file and library version.  Counts are stored by both digests;
 only distinct contents that the cache lacks are encoded, once each, and are
-appended to it.  Normalising folds runs of ASCII white space into one space,
-which the tokenizers served here ignore between words.
+appended to it.
 
-Counting is exact but avoids the library's slow whole-text pass where that is
-safe: a text whose characters, lower-cased too, are all below U+0300 is cut into the library's
+Two short ways serve files that cut texts as word_bpe_49k.json does, and no
+others.  Normalising folds runs of ASCII white space into one space, which
+such files ignore between words; texts for all other files are known as they
+are.  And counting avoids the library's slow whole-text pass: a text whose characters, lower-cased too, are all below U+0300 is cut into the library's
 own pre-token pieces (they cannot interact), each distinct piece is encoded by
-the library once and remembered; any other text is encoded whole.
+the library once and remembered; any other text, and every text for other
+files, is encoded whole.
 
 Defined results: a null text is the empty text with 0 tokens; repeated rows
 are all returned; an empty table gives no rows and leaves the cache alone.
@@ -18,6 +20,7 @@ are all returned; an empty table gives no rows and leaves the cache alone.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import unicodedata
@@ -28,6 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspark.llm.bpe import word_front_end
 from strataspark.llm.common import map_texts, need_columns, stored, text_of
 
 CACHE = "digest string, tokenizer string, n_tokens long"
@@ -51,12 +55,13 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_pieces = _short(path)
         letter, digit, blank = _class("L"), _class("N"), r"\t-\r \u0085 "
         # Fixed value: the pre-token pattern of the tokenizer file, with classes spelt out below U+0300.
         self.piece = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{blank}{letter}{digit}]+")
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)))
-# Characters whose lower case stays one character below U+0300 take the fast way.
+        # Characters whose lower case stays one character below U+0300 take the fast way.
         near = [chr(c) for c in range(0x300) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x300]
         self.high = re.compile("[^" + "".join(f"\\u{ord(c):04x}" for c in near) + "]")
         self.known: dict[str, int] = {}
@@ -65,6 +70,8 @@ class PieceCounter:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
+        if not self.by_pieces:
+            return self.whole(texts)
         plain = [i for i, t in enumerate(texts) if not self.high.search(t)]
         rest = sorted(set(range(len(texts))) - set(plain))
         out = [0] * len(texts)
@@ -98,6 +105,13 @@ def _path(name: str) -> str:
     return name if os.path.exists(name) else public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=4)
+def _short(path: str) -> bool:
+    """Whether the short ways hold for a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        return word_front_end(json.load(f))
+
+
 @lru_cache(maxsize=4)
 def version_digest(name: str) -> str:
     import tokenizers
@@ -106,9 +120,9 @@ def version_digest(name: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-def content_digest(text: Column) -> Column:
-    """Digest of a text with runs of ASCII white space folded."""
-    return F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
+def content_digest(text: Column, fold: bool) -> Column:
+    """Digest of a text, with runs of ASCII white space folded where the tokenizer ignores them."""
+    return F.sha2((F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ") if fold else text).cast("binary"), 256)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +146,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_name: str, key: str
     spark = docs.sparkSession
     version = version_digest(tokenizer_name)
     texts = docs.select(F.col(key).alias("key"), text_of().alias("text"))
-    digest = content_digest(F.col("text")).alias("digest")
+    digest = content_digest(F.col("text"), _short(_path(tokenizer_name))).alias("digest")
     keyed = stored(texts.select("key", F.octet_length("text").cast("long").alias("n_bytes"), digest), "digests")
     had = read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
     missing = keyed.groupBy("digest").agg(F.min("key").alias("least")).join(had, "digest", "left_anti")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,23 @@ def test_shifts_never_skip_an_occurrence():
         spans = []
         decontaminate.Searcher(m, windows).search(ids, spans, set())
         assert spans == [(i, i + m) for i in range(50 - m + 1) if tuple(ids[i : i + m]) in windows]
+
+
+def test_memory_of_a_full_block_is_bounded():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=100))) for i in range(500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    held = decontaminate.Searchers(items, 10)
+    taken, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held.searchers and taken * decontaminate.BLOCK_BYTES / size < 200 << 20
+
+
+def test_equal_benchmark_rows_are_one(spark):
+    items = [(1, "one two three four")] * 50 + [(2, "one two three four")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(1, "zero one two three four five")], "doc_id long, text string")
+    rows = decontaminate.hits(d, b, block_bytes=len("one two three four")).collect()
+    assert rows[0].hit_items == ["1", "2"] and rows[0].n_hit == 4

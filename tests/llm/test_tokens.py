@@ -51,9 +51,17 @@ def test_awkward_table_and_warm_cache(spark, awkward, nothing, library, monkeypa
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in rows) == want
         stored = spark.read.parquet(cache)
         assert stored.count() == stored.select("digest").distinct().count() == 11  # blank texts share one digest with none
-    other = "byte_bpe_50k.json"
-    rows = tokens.count_tokens(awkward, cache, other).collect()
+
+
+@pytest.mark.parametrize("other", ["byte_bpe_50k.json", NAME])
+def test_other_tokenizers_equal_the_library_cold_and_warm(spark, awkward, other):
+    """Texts that differ in white space or case only are told apart where the tokenizer does."""
     second = Tokenizer.from_file(public_tokenizers.path(other))
-    plain = [r for r in awkward_rows() if r[1] and "\n" not in r[1] and r[0] == 9]
-    assert {r.n_tokens for r in rows if r.doc_id == 9} == {len(second.encode(p[1], add_special_tokens=False).ids) for p in plain}
-    assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
+    code = [(30, "def f():\n        return 1"), (31, "def f():\n\treturn 1"), (32, "DEF F(): RETURN 1"), (33, " two  spaces "), (34, "two spaces")]
+    docs = awkward.select("doc_id", "text").unionByName(spark.createDataFrame([*code, *enumerate(HARD, 100)], "doc_id long, text string"))
+    want = sorted((str(r[0]), len(second.encode(r[1] or "", add_special_tokens=False).ids)) for r in docs.collect())
+    cache = scratch_path(spark, "cache")
+    tokens.count_tokens(docs, cache, "word_bpe_49k.json").count()  # counts of another tokenizer do not disturb
+    for _ in range(2):
+        assert sorted((str(r.doc_id), r.n_tokens) for r in tokens.count_tokens(docs, cache, other).collect()) == want
+    assert spark.read.parquet(cache).select("tokenizer").distinct().count() == len({other, NAME})
