@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataspark.functions.hashing import mask_at_rate
 from strataspark.functions.scalar import safe_ratio
 from strataspark.operators import profile as pr
+from strataspark.operators import profile_states as states
 from strataspark.operators import rates as ra
 from strataspark.operators.report import compare_to_reference, metric_values
 from strataspark.session import scratch_path
@@ -124,3 +125,25 @@ def _(spark, sf):
 def _(spark, sf):
     rates = ra.stratified_rates(star_master(spark, sf), "age_group", ["MTX"], 1)
     return compare_to_reference(rates, "age_group", "MTX", codes.PUBLISHED_MTX)
+
+
+def _profile_sql(column: str, numeric: bool) -> str:
+    numbers = {"min": f"MIN({column})", "max": f"MAX({column})", "mean": f"round(avg({column}), 6)", "std": f"round(stddev_samp({column}), 6)"}
+    values = ", ".join(f"CAST({v if numeric else 'NULL'} AS DOUBLE) AS {k}" for k, v in numbers.items())
+    return f"SELECT '{column}' AS column_name, COUNT(*) AS rows, COUNT({column}) AS n, COUNT(*) - COUNT({column}) AS nulls, {values} FROM lineitem"
+
+
+@query(
+    "profile_merged",
+    " UNION ALL ".join(_profile_sql(c, c != "l_returnflag") for c in ("l_quantity", "l_extendedprice", "l_returnflag")),
+)
+def _(spark, sf):
+    """A profile of the lines united from the states of their years; the exact part of it."""
+    lines, path = star.read(spark, sf, "lineitem"), scratch_path(spark, "states")
+    dated = lines.withColumn("year", F.year("l_shipdate"))
+    # A few years: each is a part, as if it had arrived by itself.
+    for year in sorted(r["year"] or 0 for r in dated.select("year").distinct().collect()):
+        part = dated.filter(F.coalesce("year", F.lit(0)) == year)
+        states.store_states(part, path, f"y{year}", ["l_quantity", "l_extendedprice", "l_returnflag"])
+    merged = states.stored_profile(spark, path)
+    return merged.select("column_name", "rows", "n", "nulls", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
