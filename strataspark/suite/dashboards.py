@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataspark.operators import cube
 from strataspark.operators import dashboard as da
 from strataspark.operators.report import chart_series
 from strataspark.plans import claims
 from strataspark.plans import dashboards as plans
+from strataspark.session import scratch_path
 from strataspark.sources import codes, star
 from strataspark.suite.binding import STAR_SPEC, star_master
-from strataspark.suite.registry import query
+from strataspark.suite.registry import ORACLE, query
 from strataspark.suite.sql import ordinal, with_
 
 BASE_COLUMNS = """patient_id, sex, age, age_group, prefecture_code, prefecture_name, diagnosis_year, diabetes_diagnosis_date,
@@ -89,3 +91,34 @@ def _(spark, sf):
     published = {k: (v, codes.PUBLISHED_BIOLOGICS[k]) for k, v in codes.PUBLISHED_MTX.items()}
     paper = codes.reference_values(spark, published, "age_group", ["MTX_paper", "bDMARDs_paper"])
     return chart_series(usage, "age_group", ["MTX", "bDMARDs", "TNFI_ABT_ratio"], codes.AGE_LABELS, paper)
+
+
+_CHOSEN = {"sex": ["F"], "age_group": ["60-69", "70-79", "80+"], "prefecture_name": ["Tokyo", "Saitama", "Other"], "comorbidity_pattern": []}
+_CHOSEN_SQL = "sex = 'F' AND age_group IN ('60-69', '70-79', '80+') AND prefecture_name IN ('Tokyo', 'Saitama', 'Other')"
+
+
+def _cube(spark, sf, widest=None):
+    path = scratch_path(spark, "cube")
+    base = _base(spark, sf)
+    cube.store_cube(base, path, plans.FACETS, {"events": F.col("cv_event_occurred").cast("long")}, widest)
+    return path, base
+
+
+@query("cube_facets", ORACLE["facet_counts"])
+def _(spark, sf):
+    """The facets from a stored cube of all filter fields."""
+    path, base = _cube(spark, sf)
+    chosen = {"sex": ["M"], "age_group": ["40-49", "50-59"], "prefecture_name": ["Tokyo", "Other"], "comorbidity_pattern": []}
+    return cube.cube_facets(spark, path, plans.FACETS, chosen, base)
+
+
+@query(
+    "cube_bar",
+    with_("base")
+    + f"SELECT comorbidity_pattern, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CAST(cv_event_occurred AS INTEGER)) AS BIGINT) AS events "
+    + f"FROM base WHERE {_CHOSEN_SQL} GROUP BY comorbidity_pattern",
+)
+def _(spark, sf):
+    """Patterns and their events under three filters, from the cube."""
+    path, base = _cube(spark, sf)
+    return cube.cube_bar(spark, path, "comorbidity_pattern", _CHOSEN, base, {"events": F.col("cv_event_occurred").cast("long")})
