@@ -22,6 +22,12 @@ def _quantile_map(df: DataFrame, columns: Sequence[str], q: float) -> Column:
     over buckets to find the bucket of the rank, and only that bucket's values
     are put in order.  A value that repeats very often is one counted row
     throughout.
+
+    The bracket cannot miss.  A column of at most ``SKETCH_ACCURACY`` values is
+    its own bracket.  Of more values, n, a probe is off by at most
+    n / SKETCH_ACCURACY ranks, which is one at least, and is asked four times
+    that away from the wanted rank; the three that are left exceed what
+    rounding ranks can take.
     """
     values = [F.col(c).cast("double") for c in columns]
     slack = 4.0 / SKETCH_ACCURACY
@@ -29,13 +35,17 @@ def _quantile_map(df: DataFrame, columns: Sequence[str], q: float) -> Column:
     sketch = df.agg(
         *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
         *[F.percentile_approx(v, probes, SKETCH_ACCURACY).alias(f"p{i}") for i, v in enumerate(values)],
+        *[F.array(F.min(v), F.max(v)).alias(f"r{i}") for i, v in enumerate(values)],
     )
+
+    def probed(i: int, k: int) -> Column:
+        few = F.col(f"n{i}") <= SKETCH_ACCURACY
+        return F.when(few, F.get(f"r{i}", F.lit(k))).otherwise(F.get(f"p{i}", F.lit(k)))
+
     bounds = sketch.select(
         F.array(
             *[
-                F.struct(
-                    F.col(f"n{i}").alias("n"), F.get(f"p{i}", F.lit(0)).alias("low"), F.get(f"p{i}", F.lit(1)).alias("high")
-                )
+                F.struct(F.col(f"n{i}").alias("n"), probed(i, 0).alias("low"), probed(i, 1).alias("high"))
                 for i in range(len(columns))
             ]
         )

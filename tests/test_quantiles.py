@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -67,3 +68,14 @@ def test_columns_do_not_disturb_each_other(spark):
     assert [tuple(r) for r in medians(df, ["a", "b", "c"]).collect()] == [("a", 2.0), ("b", 20.0), ("c", None)]
     filled = impute_median(df, ["b", "c"]).orderBy("a").collect()
     assert [(r["b_imputed"], r["c_imputed"]) for r in filled] == [(10.0, None), (20.0, None), (30.0, None)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 31, 100, 10_007])
+def test_no_bracket_misses_a_rank(spark, n):
+    rng = random.Random(n)
+    values = [float(rng.randint(0, 50)) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(2)
+    for q in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):
+        place = (n - 1) * q
+        low, high = sorted(values)[math.floor(place)], sorted(values)[math.ceil(place)]
+        assert exact_quantiles(df, ["v"], q).first()["value"] == pytest.approx(low + (high - low) * (place - math.floor(place))), q
