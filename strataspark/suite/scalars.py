@@ -224,26 +224,24 @@ def _(spark, sf):
 
 @query(
     "additive_score",
-    with_("chronic")
-    + """SELECT patient_id, round(s, 6) AS risk, s > 2.75 AS high FROM (SELECT patient_id, CAST(0.5 AS DOUBLE)
-         + CAST(CASE WHEN age >= 75 THEN 2 WHEN age >= 55 THEN 1 ELSE 0 END AS DOUBLE)
-         + CAST(CASE WHEN has_hypertension THEN 0.75 ELSE 0 END AS DOUBLE)
-         + CAST(CASE WHEN has_ckd THEN 1.25 ELSE 0 END AS DOUBLE) AS s FROM chronic) x""",
+    """SELECT l_orderkey, l_linenumber, points, points >= 4 AS inspected FROM (SELECT l_orderkey, l_linenumber,
+         CAST(1 + CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 0.25 ELSE 0 END
+           + CASE WHEN l_discount * 100 >= 8 THEN 0.5 ELSE 0 END + CASE WHEN l_quantity < 3 THEN 1 ELSE 0 END
+           + CASE WHEN l_extendedprice > 50000 THEN 1.5 ELSE 0 END AS DOUBLE) AS points FROM lineitem) x""",
 )
 def _(spark, sf):
-    age = F.col("age")
-    score = scalar.additive_score(
-        0.5,
+    """Points of an order line for an inspection: each circumstance adds its own."""
+    points = scalar.additive_score(
+        1,
         [
-            (age >= 75, 2.0),
-            ((age >= 55) & (age < 75), 1.0),
-            (F.col("has_hypertension"), 0.75),
-            (F.col("has_ckd"), 1.25),
+            (F.col("l_returnflag") == "R", 2),
+            (F.col("l_linestatus") == "O", 0.25),
+            (F.col("l_discount") * 100 >= 8, 0.5),
+            (F.col("l_quantity") < 3, 1),
+            (F.col("l_extendedprice") > 50000, 1.5),
         ],
     )
-    return star.chronic_cohort(spark, sf).select(
-        "patient_id", F.round(score, 6).alias("risk"), (score > 2.75).alias("high")
-    )
+    return star.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", points.alias("points"), (points >= 4).alias("inspected"))
 
 
 @query(
