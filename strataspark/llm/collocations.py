@@ -160,7 +160,7 @@ def marked_pairs(docs: DataFrame, least: int = LEAST) -> np.ndarray:
         digests, counts = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(counts)], names=["digest", "n"])
 
-    counted = map_texts(_rows(docs), run, "digest long, n long", limit=8 << 20)
+    counted = map_texts(_rows(docs), run, "digest long, n long", limit=4 << 20)
     often = counted.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     places = F.array(F.col("digest").bitwiseAND(F.lit(BITS - 1)), F.shiftrightunsigned("digest", 37).bitwiseAND(F.lit(BITS - 1)))
     bits = often.select(F.explode(places).alias("at")).select(
@@ -188,7 +188,7 @@ def window_counts(docs: DataFrame, pairs: np.ndarray, longest: int = LONGEST) ->
             counts += found.values()
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["window", "n"])
 
-    return map_texts(_rows(docs), run, "window binary, n long", limit=8 << 20)
+    return map_texts(_rows(docs), run, "window binary, n long", limit=4 << 20)
 
 
 class Scan:
