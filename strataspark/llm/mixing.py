@@ -155,14 +155,28 @@ def assign(docs: DataFrame, knots: Column, repeats: int = 3, whole: bool = False
     return placed.select(*own, "source_size", "target", taken.alias("taken"), entries.alias("placements"))
 
 
-def in_training_order(assigned: DataFrame) -> DataFrame:
-    """One row per placement, range-sorted by position; a text is cut where the target ends inside it."""
-    rest = [c for c in assigned.columns if c not in (*RESULTS, "round", "position", "words")]
-    rows = assigned.select(*rest, F.inline("placements"))
+def in_training_order(assigned: DataFrame, keep: Sequence[str] = (), unplaced: bool = False) -> DataFrame:
+    """One row per placement, range-sorted by position; a text is cut where the target ends inside it.
+
+    ``keep`` names results of ``assign`` that stay beside the placement.  With
+    ``unplaced`` a document of which nothing is taken stays as one row at the
+    end, without round and position and with 0 words.
+    """
+    rest = [c for c in assigned.columns if c not in (*RESULTS, "round", "position", "words")] + list(keep)
+    unfold = F.inline_outer if unplaced else F.inline
+    rows = assigned.select(*rest, unfold("placements"))
+    if unplaced:
+        rows = rows.withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
     if "text" in rest and "size" in rest:
         head = F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words"), F.lit("}+"))
         rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), F.call_function("regexp_extract", F.col("text"), head, F.lit(0))).otherwise(F.col("text")))
-    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc()]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def per_document(ordered: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
+    """One row per document (``key``) of a training order: ``keep``, the words taken in all rounds, the first position."""
+    return ordered.groupBy(key, *keep).agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

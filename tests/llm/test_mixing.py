@@ -104,6 +104,37 @@ def test_whole_documents(spark):
     assert all(target[s] <= taken[s] + 1e-6 and taken[s] < target[s] + largest[s] and taken[s] <= 3 * size[s] for s in target)
 
 
+def test_query_derives_its_rows_from_the_stored_training_order(spark, sf, monkeypatch):
+    from strataspark.llm import suite
+
+    kept, plain = {}, suite.stored
+    monkeypatch.setattr(suite, "stored", lambda df, name: kept.setdefault(name, plain(df, name)))
+    rows = suite.QUERIES["op1_mix_sources"](spark, sf).collect()
+    order = kept["training_order"]
+    # Files come in order, and every position of a file is at least the last one of the file before.
+    files = order.withColumn("file", F.input_file_name()).collect()
+    by_file = {}
+    for r in files:
+        by_file.setdefault(r.file, []).append((r.position is None, r.position or 0.0, r.doc_id))
+    assert all(v == sorted(v) for v in by_file.values())
+    spans = sorted((v[0], v[-1]) for v in by_file.values())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    taken = {}
+    for r in files:
+        taken[r.row] = taken.get(r.row, 0) + r.words
+    assert len(rows) == len(taken) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert sorted(r.taken for r in rows) == sorted(taken.values())
+
+
+def test_unplaced_documents_end_the_order(awkward):
+    assigned = mixed(awkward)
+    ordered = mixing.in_training_order(assigned, keep=["target"], unplaced=True).collect()
+    ends = [r.position is None for r in ordered]
+    assert ends == sorted(ends) and "target" in ordered[0]
+    idle = assigned.filter("taken = 0").count()
+    assert idle and sum(ends) == idle and all(r.words == 0 for r in ordered if r.position is None)
+
+
 def test_empty_table_and_clashing_columns(nothing, awkward):
     assert mixed(nothing).count() == 0
     clash = awkward.withColumn("taken", F.lit("x")).withColumn("target", F.lit("x"))
